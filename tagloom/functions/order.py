@@ -12,7 +12,7 @@ def natural_key(text: Column) -> Column:
     Numbers compare by value (length, then digits), a number before any other
     character, letters before other signs, a tilde before everything.
     """
-    digits = lambda p: F.ltrim(F.lit("0"), p)
+    digits = lambda p: F.ltrim(p, F.lit("0"))
     return F.array_join(
         F.transform(
             F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]"), F.lit(0)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import blobs as blob_ops
 from tagloom.operators.compat import binding_words, extract_comps, resolve_comp_docs
-from tagloom.operators.defs import DEFAULT_RULES, extract_defs
+from tagloom.operators.defs import DEFAULT_RULES, defs_from_tags, extract_defs
 from tagloom.operators.docs import extract_docs
 from tagloom.operators.refs import known_idents, resolve, resolve_as_of, token_postings
 from tagloom.schema import INDEX_TABLES, SORT_COLUMNS
@@ -29,37 +30,68 @@ class IndexOptions:
     tags: DataFrame | None = field(default=None, compare=False)
 
 
-def content_tables(blobs: DataFrame, options: IndexOptions) -> dict[str, DataFrame]:
-    """What follows from the content of blobs alone."""
-    if options.tags is not None:
-        from tagloom.operators.defs import defs_from_tags
-
-        defs = defs_from_tags(options.tags, blobs, options.stop)
-    else:
-        defs = extract_defs(blobs, options.rules, options.stop, options.statements)
-    return {
-        "blobs": blobs,
-        "defs": defs,
-        "docs": extract_docs(blobs, lenient_closer=options.lenient_closer),
-        "comps": extract_comps(blobs, options.dts_projects),
-    }
-
-
-def build_index(files: DataFrame, options: IndexOptions = IndexOptions()) -> dict[str, DataFrame]:
-    """All index tables of ``files`` as lazy DataFrames."""
-    blobs = blob_ops.build_blobs(files)
-    paths = blob_ops.listing(files)
-    out = content_tables(blobs, options)
-    out["tokens"] = token_postings(blobs, out["defs"], options.edge_tokens)
-    if options.resolve == "as_of":
-        out["refs"] = resolve_as_of(out["tokens"], out["defs"], blobs)
-    else:
-        out["refs"] = resolve(out["tokens"], known_idents(out["defs"]))
-    out["comp_words"] = binding_words(blobs, paths)
-    out["comp_docs"] = resolve_comp_docs(out["comp_words"], out["comps"])
-    out["first_paths"] = blob_ops.first_paths(paths)
-    out["paths"] = paths
-    return out
+def table_plan(name: str, files: DataFrame, tables: Mapping[str, DataFrame],
+               options: IndexOptions) -> DataFrame:
+    """The plan of one index table, from ``files`` and the tables before it."""
+    blobs = lambda: tables["blobs"]
+    if name == "blobs":
+        return blob_ops.build_blobs(files)
+    if name == "paths":
+        return blob_ops.listing(files)
+    if name == "first_paths":
+        return blob_ops.first_paths(tables["paths"])
+    if name == "defs":
+        if options.tags is not None:
+            return defs_from_tags(options.tags, blobs(), options.stop)
+        return extract_defs(blobs(), options.rules, options.stop, options.statements)
+    if name == "tokens":
+        return token_postings(blobs(), tables["defs"], options.edge_tokens)
+    if name == "refs":
+        if options.resolve == "as_of":
+            return resolve_as_of(tables["tokens"], tables["defs"], blobs())
+        return resolve(tables["tokens"], known_idents(tables["defs"]))
+    if name == "docs":
+        return extract_docs(blobs(), lenient_closer=options.lenient_closer)
+    if name == "comps":
+        return extract_comps(blobs(), options.dts_projects)
+    if name == "comp_words":
+        return binding_words(blobs(), tables["paths"])
+    if name == "comp_docs":
+        return resolve_comp_docs(tables["comp_words"], tables["comps"])
+    raise KeyError(name)
+
+
+class LazyIndex(dict):
+    """Index tables as plans; a table asked for first brings those before it."""
+
+    def __init__(self, files: DataFrame, options: IndexOptions = IndexOptions()):
+        super().__init__()
+        self.files, self.options = files, options
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = table_plan(name, self.files, self, self.options)
+        return self[name]
+
+
+class StoredIndex(LazyIndex):
+    """As :class:`LazyIndex`, but every table is written below ``root`` when it is
+    first asked for, and read from there: the source is scanned, hashed and
+    deduplicated once, and each extractor reads the stored blobs."""
+
+    def __init__(self, files: DataFrame, root: str, options: IndexOptions = IndexOptions()):
+        super().__init__(files, options)
+        self.root = root
+
+    def __missing__(self, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        write_table(table_plan(name, self.files, self, self.options), name, path)
+        self[name] = read_table(self.files.sparkSession, name, path)
+        return self[name]
+
+
+def build_index(files: DataFrame, options: IndexOptions = IndexOptions()) -> LazyIndex:
+    """All index tables of ``files`` as DataFrames that nothing has run yet."""
+    return LazyIndex(files, options)
 
 
 def write_table(df: DataFrame, name: str, path: str) -> None:
@@ -91,34 +123,17 @@ WRITE_ORDER = ("blobs", "defs", "tokens", "refs", "docs", "comps", "comp_words",
                "first_paths", "paths")
 
 
-def write_index(spark: SparkSession, files: DataFrame, root: str,
-                options: IndexOptions = IndexOptions()) -> dict[str, DataFrame]:
-    """Build and store the index; later stages read the tables of earlier ones.
-
-    Content is read from the written ``blobs`` table by every extractor, so the
-    source is scanned, hashed and deduplicated once.
-    """
-    def store(name: str, df: DataFrame) -> DataFrame:
-        write_table(df, name, f"{root}/{name}")
-        return read_table(spark, name, f"{root}/{name}")
-
-    out = {"blobs": store("blobs", blob_ops.build_blobs(files))}
-    blobs = out["blobs"]
-    paths = blob_ops.listing(files)
-    content = content_tables(blobs, options)
-    for name in ("defs", "docs", "comps"):
-        out[name] = store(name, content[name])
-    out["tokens"] = store("tokens", token_postings(blobs, out["defs"], options.edge_tokens))
-    if options.resolve == "as_of":
-        refs = resolve_as_of(out["tokens"], out["defs"], blobs)
-    else:
-        refs = resolve(out["tokens"], known_idents(out["defs"]))
-    out["refs"] = store("refs", refs)
-    out["comp_words"] = store("comp_words", binding_words(blobs, paths))
-    out["comp_docs"] = store("comp_docs", resolve_comp_docs(out["comp_words"], out["comps"]))
-    out["first_paths"] = store("first_paths", blob_ops.first_paths(paths))
-    out["paths"] = store("paths", paths)
-    return out
+def write_index(files: DataFrame, root: str, options: IndexOptions = IndexOptions()) -> StoredIndex:
+    """Build and store the whole index of ``files``."""
+    index = StoredIndex(files, root, options)
+    # Stages before the last need paths too; for those the plan serves, so that
+    # the stored listing appears last.
+    index["paths"] = blob_ops.listing(files)
+    for name in WRITE_ORDER[:-1]:
+        index[name]
+    del index["paths"]
+    index["paths"]
+    return index
 
 
 def read_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:

@@ -158,50 +158,53 @@ def search_compatible(index: dict[str, DataFrame], queries: DataFrame, latest: D
 
 
 def search_json(result: DataFrame, queries: DataFrame) -> DataFrame:
-    """One JSON object per query. A result list is as long as what was found, so
-    this is for answers to be sent somewhere; keep tables in row form."""
-    item = F.struct(
-        "path",
-        F.when(F.col("section") == "definitions", F.element_at("lines", 1).cast("string"))
-        .otherwise(line_list_text(F.col("lines"))).alias("line"),
-        "type",
-    )
-    order = F.struct(F.col("path"), F.element_at("lines", 1), item)
-
-    def section(name: str) -> Column:
-        return F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("section") == name, order))), lambda s: s["col3"]
-        )
+    """One JSON object per query, empty lists where nothing was found.
 
+    An answer is as long as what was found; for bulk work keep the row form.
+    """
     keys = ["project", "version", "ident", "family"]
+    first = F.element_at("lines", 1)
+    defined = F.struct("type", "path", first.alias("line"))
+    placed = F.struct("path", line_list_text(F.col("lines")).alias("line"))
+
+    def rows(name: str, item: Column) -> Column:
+        return F.collect_list(F.when(F.col("section") == name, item))
+
     found = result.groupBy(*keys).agg(
-        *[section(n).alias(n) for n in ("definitions", "references", "documentations")]
+        rows("definitions", defined).alias("_d"),
+        rows("references", placed).alias("_r"),
+        rows("documentations", placed).alias("_c"),
     )
-    empty = F.array().cast(item_type())
-    full = queries.select(*keys).distinct().join(found, keys, "left")
-    # Definitions run by type from the back; the sort by path and line is stable under it.
     by_type = F.array_sort(
-        F.coalesce("definitions", empty),
-        lambda a, b: F.when(a["type"] > b["type"], -1).when(a["type"] < b["type"], 1)
-        .when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1)
-        .when(a["line"].cast("int") < b["line"].cast("int"), -1)
-        .when(a["line"].cast("int") > b["line"].cast("int"), 1).otherwise(0),
+        "_d",
+        lambda a, b: F.when(a["type"] != b["type"], F.when(a["type"] > b["type"], -1).otherwise(1))
+        .when(a["path"] != b["path"], F.when(a["path"] < b["path"], -1).otherwise(1))
+        .when(a["line"] != b["line"], F.when(a["line"] < b["line"], -1).otherwise(1))
+        .otherwise(0),
     )
-    return full.select(
-        *keys,
-        F.to_json(
-            F.struct(
-                by_type.alias("definitions"),
-                F.coalesce("references", empty).alias("references"),
-                F.coalesce("documentations", empty).alias("documentations"),
-            ),
-            {"ignoreNullFields": "false"},
-        ).alias("json"),
+    answer = F.to_json(
+        F.struct(
+            F.transform(
+                by_type, lambda d: F.struct(d["path"].alias("path"), d["line"].alias("line"), d["type"].alias("type"))
+            ).alias("definitions"),
+            *[
+                F.transform(
+                    F.array_sort(c),
+                    lambda r: F.struct(
+                        r["path"].alias("path"), r["line"].alias("line"), F.lit(None).cast("string").alias("type")
+                    ),
+                ).alias(n)
+                for c, n in (("_r", "references"), ("_c", "documentations"))
+            ],
+        ),
+        {"ignoreNullFields": "false"},
+    )
+    nothing = '{"definitions":[],"references":[],"documentations":[]}'
+    return (
+        queries.select(*keys).distinct()
+        .join(found.select(*keys, answer.alias("json")), keys, "left")
+        .withColumn("json", F.coalesce("json", F.lit(nothing)))
     )
-
-
-def item_type() -> str:
-    return "array<struct<path:string,line:string,type:string>>"
 
 
 def defs_by_type(result: DataFrame) -> DataFrame:

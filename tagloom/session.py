@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,10 +28,12 @@ def local_session(cpus: str | int = 8, app: str = "tagloom") -> SparkSession:
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the one the cluster names, or,
-    where none is named, a temporary one for local runs."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    where none is named, a temporary one for a local run, removed at its end."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
-        return named
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="tagloom-")
+    made = tempfile.mkdtemp(prefix="tagloom-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made

@@ -269,38 +269,39 @@ def web_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_from_text(rows)
 
 
-def raw_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(project, rev)``: a tag per order, in the naming habit of one of nine
-    projects."""
+def raw_tags(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """``(project, rev)``: a tag per order (of those in ``only(o_orderkey)``), in
+    the naming habit of one of nine projects."""
     k = F.col("o_orderkey")
     year, month = F.year("o_orderdate"), F.month("o_orderdate")
-    y, yy, m, key = _s(year), _s(year % 100), _s(month), _s(k)
-    patch = _s(F.floor(k / 9) % 50)
-    rc = F.when(F.col("o_orderstatus") == "P", _cat("-rc", _s(k % 5 + 1))).otherwise(F.lit(""))
+    # Per project the shapes of tags for order status P, F and any other.
     shapes = {
-        "plain": _cat("v", yy, ".", m, ".", patch, rc),
-        "underscored": _cat(_s(year % 10), "_", m, "_", patch),
-        "release-dir": F.when(rc != "", _cat("stable/", yy)).otherwise(
-            _cat("release/", yy, ".", m, ".", _s(k % 3))
-        ),
-        "release-caps": F.when(rc != "", _cat("beta-", yy, ".", m)).otherwise(_cat("RELEASE-", yy, ".", m, ".", patch)),
-        "dated": F.when(k % 2 == 0, _cat(y, F.lpad(m, 2, "0"), ".", patch)).otherwise(_cat("v", m, ".", patch, rc)),
-        "prefixed": F.when(rc != "", _cat("cvs/lib-", yy, "_", m))
-        .when(F.col("o_orderstatus") == "F", _cat("vendor/lib-", yy, ".", m, ".", patch))
-        .otherwise(_cat("lib-", yy, ".", m, ".", patch)),
-        "grouped": F.when(rc != "", _cat("LABEL_", y, "_", m))
-        .when(F.col("o_orderstatus") == "F", _cat("old-v1.", m, ".", patch))
-        .otherwise(_cat("v", y, ".", F.lpad(m, 2, "0"), ".", patch)),
-        "constant": F.when(rc != "", _cat("release_", m, "_", patch)).otherwise(_cat("v", m, ".", patch)),
-        "premarked": _cat(
-            F.when(F.col("o_orderstatus") == "F", "pre").otherwise(F.lit("")), yy, ".", m,
-            F.when(rc != "", _cat("-pre", _s(k % 5 + 1))).otherwise(F.lit("")),
-        ),
+        "plain": ("v<yy>.<m>.<n><rc>", "v<yy>.<m>.<n>", "v<yy>.<m>.<n>"),
+        "underscored": ("<d>_<m>_<n>",) * 3,
+        "release-dir": ("stable/<yy>", "release/<yy>.<m>.<k3>", "release/<yy>.<m>.<k3>"),
+        "release-caps": ("beta-<yy>.<m>", "RELEASE-<yy>.<m>.<n>", "RELEASE-<yy>.<m>.<n>"),
+        "dated": ("v<m>.<n><rc>", "v<m>.<n>", "v<m>.<n>"),
+        "prefixed": ("cvs/lib-<yy>_<m>", "vendor/lib-<yy>.<m>.<n>", "lib-<yy>.<m>.<n>"),
+        "grouped": ("LABEL_<y>_<m>", "old-v1.<m>.<n>", "v<y>.<mm>.<n>"),
+        "constant": ("release_<m>_<n>", "v<m>.<n>", "v<m>.<n>"),
+        "premarked": ("<yy>.<m>-pre<r>", "pre<yy>.<m>", "<yy>.<m>"),
+    }
+    which = (k % len(shapes)).cast("int")
+    status = F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3)
+    shape = F.when((which == 4) & (k % 2 == 0), "<y><mm>.<n>").otherwise(
+        F.element_at(F.array(*[F.lit(s) for three in shapes.values() for s in three]), which * 3 + status)
+    )
+    holes = {
+        "<yy>": _s(year % 100), "<y>": _s(year), "<d>": _s(year % 10),
+        "<mm>": F.lpad(_s(month), 2, "0"), "<m>": _s(month),
+        "<n>": _s(F.floor(k / len(shapes)) % 50), "<k3>": _s(k % 3),
+        "<rc>": _cat("-rc", _s(k % 5 + 1)), "<r>": _s(k % 5 + 1),
     }
-    which = k % len(shapes)
-    project = F.element_at(F.array(*[F.lit(p) for p in shapes]), (which + 1).cast("int"))
-    rev = F.lit(None).cast("string")
-    for i, shape in reversed(list(enumerate(shapes.values()))):
-        rev = F.when(which == i, shape).otherwise(rev)
+    rev = shape
+    for hole, value in holes.items():
+        rev = F.replace(rev, F.lit(hole), value)
+    project = F.element_at(F.array(*[F.lit(p) for p in shapes]), which + 1)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    if only is not None:
+        orders = orders.join(only, "o_orderkey", "left_semi")
     return orders.select(project.alias("project"), rev.alias("rev")).distinct()

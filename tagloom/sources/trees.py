@@ -20,7 +20,7 @@ def scan_paths(spark: SparkSession, root: str) -> DataFrame:
     tail = F.regexp_replace(
         F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), r"^[a-z]+:/+", "/"
     )
-    relative = F.substring_index(tail, F.concat(F.lit("/"), F.ltrim(F.lit("/"), here), F.lit("/")), -1)
+    relative = F.substring_index(tail, F.concat(F.lit("/"), F.ltrim(here, F.lit("/")), F.lit("/")), -1)
     parts = F.split(relative, "/", 3)
     return raw.select(
         parts[0].alias("project"), parts[1].alias("version"), parts[2].alias("path"),
