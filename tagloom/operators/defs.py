@@ -31,9 +31,11 @@ class DefRule:
     masked: bool = False
 
 
+DEFINE_RULE = DefRule("C", r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)", "macro", masked=True)
+
 #: Macros, assembler entry points, system calls, Kconfig symbols, DTS labels.
 DEFAULT_RULES = (
-    DefRule("C", r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)", "macro", masked=True),
+    DEFINE_RULE,
     DefRule("C", r"^\s*ENTRY\((\w+)\)", "function"),
     DefRule("C", r"^SYSCALL_DEFINE[0-9]\(\s*(\w+)\W", "function", prefix="sys_"),
     DefRule("K", r"^[ \t]*(?:menu)?config[ \t]+(\w+)[ \t]*$", "config", prefix="CONFIG_"),
@@ -156,13 +158,19 @@ def _enumerators(head: Column) -> Column:
     )
 
 
+def _settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions read as values. A generator stands
+    between, so the optimizer does not put their text into each use again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _statements(blobs: DataFrame) -> DataFrame:
     """C text as statements, condensed to candidate names before the shuffle."""
-    text, head = F.col("_text"), F.col("_head")
+    text, head, block = F.col("_text"), F.col("_head"), F.col("_block")
     bare = F.expr("substring(_text, 1, length(_text) - 1)")
+    term = F.substring(text, -1, 1)
     opens, closes = F.col("_term") == "{", F.col("_term") == "}"
     call = F.col("_call") != ""
-    block = F.regexp_extract(head, _BLOCK, 1)
     pieces = blobs.select(
         "project", "blob_id", "family",
         F.posexplode(
@@ -171,21 +179,26 @@ def _statements(blobs: DataFrame) -> DataFrame:
             )
         ).alias("_i", "_text"),
     )
-    pieces = (
-        pieces.withColumn("_term", F.substring(text, -1, 1))
-        .withColumn(
-            "_head",
-            F.when(text.contains("__attribute__"), F.regexp_replace(bare, _ATTRIBUTE, " ")).otherwise(bare),
-        )
-        .withColumn("_call", F.regexp_extract(head, _CALL, 2))
-        .withColumn("_call", F.when(F.col("_call").isin(*_NOT_FUNCTIONS), "").otherwise(F.col("_call")))
-        .withColumn("_prefix", F.when(call, F.regexp_extract(head, _CALL, 1)))
+    pieces = _settle(
+        pieces,
+        _term=term,
+        _nl=count_newlines(text),
+        _reset=(term == "}") & text.rlike(r"(?:^|\n)\}$"),
+        _head=F.when(text.contains("__attribute__"), F.regexp_replace(bare, _ATTRIBUTE, " ")).otherwise(bare),
+    ).drop("_text")
+    pieces = _settle(
+        pieces,
+        _call=F.when(head.contains("("), F.regexp_extract(head, _CALL, 2)).otherwise(""),
+        _block=F.when(opens, F.regexp_extract(head, _BLOCK, 1)).otherwise(""),
+        _typedef=head.rlike(r"^\s*(?:__extension__\s+)?typedef\b"),
     )
+    pieces = _settle(
+        pieces.withColumn("_call", F.when(F.col("_call").isin(*_NOT_FUNCTIONS), "").otherwise(F.col("_call"))),
+        _prefix=F.when(call, F.regexp_extract(head, _CALL, 1)),
+    )
+    declares = F.when(opens, head.contains("=")).otherwise(~closes & (~call | F.col("_typedef")))
     return pieces.select(
-        "project", "blob_id", "family", "_i", "_term", "_call",
-        count_newlines(text).alias("_nl"),
-        (closes & text.rlike(r"(?:^|\n)\}$")).alias("_reset"),
-        head.rlike(r"^\s*(?:__extension__\s+)?typedef\b").alias("_typedef"),
+        "project", "blob_id", "family", "_i", "_term", "_call", "_nl", "_reset", "_typedef",
         head.rlike(r"^\s*extern\b").alias("_extern"),
         F.when(~opens, None)
         .when(head.contains("="), "init")
@@ -194,9 +207,11 @@ def _statements(blobs: DataFrame) -> DataFrame:
         .when(head.rlike(r"^\s*(?:extern|namespace\b.*)\s*$"), "outer")
         .otherwise("block").alias("_kind"),
         F.coalesce(count_newlines(F.col("_prefix")), F.lit(0)).alias("_call_nl"),
-        F.coalesce(F.trim(F.regexp_replace("_prefix", r"\s+", " ")) != "", F.lit(False)).alias("_typed"),
-        (call & F.col("_prefix").rlike(r"\n[ \t]*$") | (call & (F.col("_i") == 0) & F.col("_prefix").rlike(r"^[ \t]*$")))
-        .alias("_at_start"),
+        F.coalesce(F.col("_prefix").rlike(r"\S"), F.lit(False)).alias("_typed"),
+        F.coalesce(
+            F.col("_prefix").rlike(r"\n[ \t]*$") | ((F.col("_i") == 0) & F.col("_prefix").rlike(r"^[ \t]*$")),
+            F.lit(False),
+        ).alias("_at_start"),
         F.when(
             opens & ~call & (block != ""),
             F.struct(
@@ -204,9 +219,9 @@ def _statements(blobs: DataFrame) -> DataFrame:
                 count_newlines(F.regexp_extract(head, r"^([\s\S]*?)\b(?:struct|union|enum)\b", 1)).alias("nl"),
             ),
         ).alias("_tag"),
-        head.rlike(r"^\s*(?:struct|union|enum)\s+\w+\s*$").alias("_forward"),
+        (~opens & head.rlike(r"^\s*(?:struct|union|enum)\s+\w+\s*$")).alias("_forward"),
         head.rlike(r"[\w*]\s+[\w*(]|\*\w").alias("_two_words"),
-        F.when(~closes, _declarators(head)).otherwise(_enumerators(head)).alias("_names"),
+        F.when(declares, _declarators(head)).when(closes, _enumerators(head)).alias("_names"),
     )
 
 
@@ -309,13 +324,19 @@ def clean_defs(defs: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     return kept.select(*DEF_COLUMNS)
 
 
+def extract_tags(blobs: DataFrame, rules=DEFAULT_RULES, statements: bool = True) -> DataFrame:
+    """Everything the rules find, uncleaned. ``at_start`` is null for line rules,
+    else it tells a function whose line begins with its name."""
+    found = line_defs(blobs, rules).withColumn("at_start", F.lit(None).cast("boolean"))
+    if statements:
+        found = found.unionByName(c_statement_defs(blobs.where("family = 'C'")))
+    return found
+
+
 def extract_defs(blobs: DataFrame, rules=DEFAULT_RULES, stop: DataFrame | None = None,
                  statements: bool = True) -> DataFrame:
     """Definitions of all blobs, by line rules and (unless off) C statements."""
-    found = line_defs(blobs, rules)
-    if statements:
-        found = found.unionByName(c_statement_defs(blobs.where("family = 'C'")).select(*DEF_COLUMNS))
-    return clean_defs(found, stop)
+    return clean_defs(extract_tags(blobs, rules, statements), stop)
 
 
 def defs_from_tags(tags: DataFrame, blobs: DataFrame, stop: DataFrame | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import split_lines
-from tagloom.operators.defs import c_statement_defs, line_defs, DefRule
+from tagloom.operators.defs import DEFINE_RULE, extract_tags
 from tagloom.schema import DOC_FAMILIES
 
 _OPENER = r"^[ \t]*/\*\*(?:[ \t]|$)"
@@ -80,28 +80,30 @@ def doc_blocks(blobs: DataFrame, lenient_closer: bool = False) -> DataFrame:
     )
 
 
-def _forced_c_defs(blobs: DataFrame) -> DataFrame:
-    """Every file read as C: macros, functions, prototypes, types, variables;
-    no members, no external variables."""
+def forced_c_tags(blobs: DataFrame) -> DataFrame:
+    """Documented files read as C, whatever their family."""
     some = blobs.where(F.col("family").isin(*DOC_FAMILIES) & F.col("content").contains("/**")).withColumn(
         "family", F.lit("C")
     )
-    macros = line_defs(some, (DefRule("C", r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)", "macro", masked=True),))
-    return macros.withColumn("at_start", F.lit(False)).unionByName(
-        c_statement_defs(some).where("type NOT IN ('member', 'externvar')")
-    )
+    return extract_tags(some, (DEFINE_RULE,))
+
+
+def doc_tags(tags: DataFrame) -> DataFrame:
+    """Tags that can carry documentation: macros, functions, prototypes, types
+    and variables; no members, no external variables, no assembler names."""
+    return tags.where(
+        (F.col("at_start").isNotNull() & ~F.col("type").isin("member", "externvar")) | (F.col("type") == "macro")
+    ).withColumn("at_start", F.coalesce("at_start", F.lit(False)))
 
 
-def doc_starts(blobs: DataFrame, defs: DataFrame | None = None) -> DataFrame:
+def doc_starts(blobs: DataFrame, tags: DataFrame) -> DataFrame:
     """``(project, blob_id, ident, start)``: the line before each definition's head.
 
     One name counts per line, the last in byte order. The head of a function
     whose line begins with its name lies above the lines that begin with a
     letter or underscore (split return types), and one line more is passed over.
     """
-    if defs is None:
-        defs = _forced_c_defs(blobs)
-    heads = defs.groupBy("project", "blob_id", "line").agg(
+    heads = doc_tags(tags).groupBy("project", "blob_id", "line").agg(
         F.max(F.struct("ident", "type", "at_start")).alias("_d")
     ).select("project", "blob_id", "line", "_d.*")
     plain = heads.where(~F.col("at_start")).select(
@@ -120,10 +122,18 @@ def doc_starts(blobs: DataFrame, defs: DataFrame | None = None) -> DataFrame:
     return plain.unionByName(split_heads)
 
 
-def extract_docs(blobs: DataFrame, defs: DataFrame | None = None, lenient_closer: bool = False) -> DataFrame:
-    """Documentation postings: ``line`` is the line of the comment opener."""
+def extract_docs(blobs: DataFrame, tags: DataFrame | None = None, lenient_closer: bool = False) -> DataFrame:
+    """Documentation postings: ``line`` is the line of the comment opener.
+
+    ``tags`` of the C files, where they are at hand, spare reading those again;
+    files of other families are read as C in any case.
+    """
+    if tags is None:
+        tags = forced_c_tags(blobs)
+    else:
+        tags = tags.where("family = 'C'").unionByName(forced_c_tags(blobs.where("family <> 'C'")))
     blocks = doc_blocks(blobs, lenient_closer)
-    found = blocks.join(doc_starts(blobs, defs), ["project", "blob_id", "ident"]).where(
+    found = blocks.join(doc_starts(blobs, tags), ["project", "blob_id", "ident"]).where(
         (F.col("start") >= F.col("line")) & (F.col("start") < F.col("stop"))
     )
     return found.join(blobs.select("project", "blob_id", "family"), ["project", "blob_id"]).select(

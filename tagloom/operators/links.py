@@ -132,9 +132,9 @@ def raw_links(paths: DataFrame, blobs: DataFrame, rules) -> DataFrame:
         .withColumn("_line", F.when(F.col("_pos") > 0, F.concat(F.lit("\n"), "_line")).otherwise(F.col("_line")))
         .select(
             "project", "blob_id", (F.col("_pos") + 1).alias("line"),
-            F.explode(F.concat(*[_found(r) for r in rules])).alias("_l"),
+            F.posexplode(F.concat(*[_found(r) for r in rules])).alias("nth", "_l"),
         )
-        .select("project", "blob_id", "line", "_l.rule", "_l.text")
+        .select("project", "blob_id", "line", "nth", "_l.rule", "_l.text")
     )
 
 
@@ -188,16 +188,12 @@ def extract_links(paths: DataFrame, blobs: DataFrame, rules, comps: DataFrame |
             exists, ["project", "version", "target"], "left_semi"
         )
     else:
-        # Several forms: each distinct list of candidates is settled once.
-        tries = tested.select("project", "version", "_targets").distinct().select(
-            "*", F.posexplode("_targets").alias("_i", "target")
-        )
-        settled = (
+        # Several forms: of the existing ones, the first of each link.
+        tries = tested.select(*columns, "nth", F.posexplode("_targets").alias("_i", "target"))
+        hits = (
             tries.join(exists, ["project", "version", "target"], "left_semi")
-            .groupBy("project", "version", "_targets")
-            .agg(F.min_by("target", "_i").alias("target"))
+            .groupBy(*columns, "nth").agg(F.min_by("target", "_i").alias("target"))
         )
-        hits = tested.join(settled, ["project", "version", "_targets"])
     return free.unionByName(hits.select(*columns, "target"))
 
 

@@ -33,16 +33,16 @@ def entries(paths: DataFrame) -> DataFrame:
     )
 
 
-def list_dir(paths: DataFrame, dirs: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
-    """Visible entries of the directories in ``dirs(project, version, dir)``.
+def list_dir(paths: DataFrame, dirs: DataFrame | None = None, blobs: DataFrame | None = None) -> DataFrame:
+    """Visible entries of the directories in ``dirs(project, version, dir)``, or of all.
 
     Directories come before files, then by name. Names with a leading dot are
     hidden. With ``blobs`` at hand a symbolic link shows what it points to.
     """
-    wanted = dirs.select("project", "version", strip_slashes(F.col("dir")).alias("dir")).distinct()
-    out = entries(paths).where(~F.col("name").startswith(".")).join(
-        wanted, ["project", "version", "dir"], "left_semi"
-    )
+    out = entries(paths).where(~F.col("name").startswith("."))
+    if dirs is not None:
+        wanted = dirs.select("project", "version", strip_slashes(F.col("dir")).alias("dir")).distinct()
+        out = out.join(wanted, ["project", "version", "dir"], "left_semi")
     out = out.withColumn("target", F.col("path"))
     if blobs is not None:
         links = (
@@ -74,7 +74,7 @@ def existing_paths(paths: DataFrame) -> DataFrame:
     """Files and the directories that directly hold a file."""
     files = paths.select("project", "version", "path")
     parents = files.select("project", "version", dir_name(F.col("path")).alias("path"))
-    return files.unionByName(parents).distinct()
+    return files.unionByName(parents.distinct())
 
 
 def path_exists(keys: DataFrame, paths: DataFrame) -> DataFrame:

@@ -20,53 +20,39 @@ def _words(line: Column, family: Column) -> Column:
     ).otherwise(F.regexp_extract_all(line, F.lit(f"[{WORD}]+"), F.lit(0)))
 
 
-def _open_end(text: Column, family: Column, at_start: bool) -> Column:
-    edge = "^[{}]" if at_start else "[{}]$"
-    # \z: '$' would also stand before a final newline.
-    edge = edge.replace("$", r"\z")
-    return F.when(family == "D", text.rlike(edge.format(DTS_WORD))).otherwise(
-        text.rlike(edge.format(WORD))
-    )
+def _drop_edge_words(text: Column, family: Column) -> Column:
+    """Blank a word with no delimiter before it (start) or behind it (end)."""
+
+    def cut(word: str) -> Column:
+        out = F.when(
+            F.substring(text, 1, 1).rlike(f"[{word}]"), F.regexp_replace(text, rf"\A[{word}]+", " ")
+        ).otherwise(text)
+        return F.when(
+            F.substring(text, -1, 1).rlike(f"[{word}]"), F.regexp_replace(out, rf"[{word}]+\z", " ")
+        ).otherwise(out)
 
+    return F.when(family == "D", cut(DTS_WORD)).otherwise(cut(WORD))
 
-def line_tokens(blobs: DataFrame, edge_tokens: str = "drop") -> DataFrame:
-    """``(project, blob_id, family, line, words)``: one row per line with words.
+
+def tokenize(blobs: DataFrame, edge_tokens: str = "drop") -> DataFrame:
+    """One row per token occurrence: ``(project, blob_id, family, line, token)``.
 
     A word with no delimiter before it (start of the file) or behind it (end of
-    the file) is not a token, unless ``edge_tokens='keep'``.
+    the file) is not a token, unless ``edge_tokens='keep'``. Each text is masked
+    once, each line matched once; nothing is shuffled.
     """
     family = F.col("family")
-    lines = (
-        blobs.where(family.isin(*REF_FAMILIES))
-        .select("project", "blob_id", "family", masked_text(F.col("content"), family).alias("_m"))
-        .select(
-            "project", "blob_id", "family",
-            _open_end(F.col("_m"), family, True).alias("_starts"),
-            _open_end(F.col("_m"), family, False).alias("_ends"),
-            F.size(split_lines(F.col("_m"))).alias("_n"),
-            F.posexplode(split_lines(F.col("_m"))).alias("_pos", "_line"),
-        )
-        .withColumn("words", _words(F.col("_line"), family))
+    masked = blobs.where(family.isin(*REF_FAMILIES)).select(
+        "project", "blob_id", "family", masked_text(F.col("content"), family).alias("_m")
     )
-    if edge_tokens == "drop":
-        first = (F.col("_starts") & (F.col("_pos") == 0)).cast("int")
-        last = (F.col("_ends") & (F.col("_pos") == F.col("_n") - 1)).cast("int")
-        lines = lines.withColumn(
-            "words",
-            F.when(
-                first + last > 0,
-                F.slice(F.col("words"), first + 1, F.greatest(F.size("words") - first - last, F.lit(0))),
-            ).otherwise(F.col("words")),
+    text = _drop_edge_words(F.col("_m"), family) if edge_tokens == "drop" else F.col("_m")
+    return (
+        masked.select("project", "blob_id", "family", text.alias("_m"))
+        .select("project", "blob_id", "family", F.posexplode(split_lines(F.col("_m"))).alias("_pos", "_line"))
+        .select(
+            "project", "blob_id", "family", (F.col("_pos") + 1).alias("line"),
+            F.explode(_words(F.col("_line"), family)).alias("token"),
         )
-    return lines.where(F.size("words") > 0).select(
-        "project", "blob_id", "family", (F.col("_pos") + 1).alias("line"), "words"
-    )
-
-
-def tokenize(blobs: DataFrame, edge_tokens: str = "drop") -> DataFrame:
-    """One row per token occurrence: ``(project, blob_id, family, line, token)``."""
-    return line_tokens(blobs, edge_tokens).select(
-        "project", "blob_id", "family", "line", F.explode("words").alias("token")
     )
 
 

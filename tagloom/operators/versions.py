@@ -45,53 +45,61 @@ class VersionRules:
     dts_support: bool = False
 
 
-def _matches(text: Column, keep: str, drop: str) -> Column:
-    test = F.lit(True)
-    if keep:
-        test = test & text.rlike(keep)
-    if drop:
-        test = test & ~text.rlike(drop)
-    return test
+_REWRITES = "array<struct<pattern:string,replacement:string>>"
+_GROUPS = "array<struct<grp:int,keep:string,drop:string,pattern:string,major:string,minor:string>>"
+_RULE_SCHEMA = (
+    f"project string, rev_keep string, to_version {_REWRITES}, to_rev {_REWRITES}, swap_from string, "
+    f"swap_to string, list_keep string, list_drop string, list_reversed boolean, groups {_GROUPS}, "
+    f"latest_keep string, latest_drop string, order_as {_REWRITES}"
+)
 
 
-def _rewrite(text: Column, rewrites: Rewrites) -> Column:
-    for pattern, replacement in rewrites:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+def _rule_row(rule: VersionRules) -> tuple:
+    swap = rule.swap or ("", "")
+    groups = [(i, g.keep, g.drop, g.pattern, g.major, g.minor) for i, g in enumerate(rule.groups)]
+    return (rule.project, rule.rev_keep, list(rule.to_version), list(rule.to_rev), *swap, rule.list_keep,
+            rule.list_drop, rule.list_reversed, groups, rule.latest_keep, rule.latest_drop, list(rule.order_as))
 
 
-def _per_project(rules, make, default: Column) -> Column:
-    """One column out of a rule per project; other projects use the default rule."""
-    out = None
-    for rule in rules:
-        test = F.col("project") == rule.project
-        out = F.when(test, make(rule)) if out is None else out.when(test, make(rule))
-    return default if out is None else out.otherwise(default)
+def _with_rules(df: DataFrame, rules) -> DataFrame:
+    """Put the rule of its project beside each row, as the struct ``_r``.
 
+    Rules are rows, one per project: the plan does not grow with their number.
+    """
+    spark = df.sparkSession
+    table = spark.createDataFrame([_rule_row(r) for r in rules], _RULE_SCHEMA)
+    default = spark.createDataFrame([_rule_row(VersionRules(""))], _RULE_SCHEMA)
+    rest = df.select("project").distinct().join(table.select("project"), "project", "left_anti")
+    fields = [c for c in table.columns if c != "project"]
+    one = F.struct(*fields).alias("_r")
+    by_project = table.select("project", one).unionByName(
+        rest.join(F.broadcast(default.drop("project").select(one)))
+    )
+    return df.join(F.broadcast(by_project), "project")
 
-_DEFAULT = VersionRules("")
 
+def _rule(name: str) -> Column:
+    return F.col(f"_r.{name}")
 
-def to_version(rules=()) -> Column:
-    """Version name of a revision; null where the project does not keep it."""
 
-    def make(rule: VersionRules) -> Column:
-        rev = F.col("rev")
-        out = F.translate(rev, *rule.swap) if rule.swap else rev
-        return F.when(_matches(rev, rule.rev_keep, ""), _rewrite(out, rule.to_version))
+def _matches(text: Column, keep: Column, drop: Column) -> Column:
+    return ((keep == "") | F.rlike(text, keep)) & ((drop == "") | ~F.rlike(text, drop))
 
-    return _per_project(rules, make, make(_DEFAULT))
 
+def _rewrite(text: Column, rewrites: Column) -> Column:
+    return F.aggregate(
+        rewrites, text, lambda acc, r: F.regexp_replace(acc, r["pattern"], r["replacement"])
+    )
 
-def to_rev(rules=()) -> Column:
-    """Revision of a version name: the way back."""
 
-    def make(rule: VersionRules) -> Column:
-        version = F.col("version")
-        out = F.translate(version, rule.swap[1], rule.swap[0]) if rule.swap else version
-        return _rewrite(out, rule.to_rev)
+def _swap(text: Column, old: Column, new: Column) -> Column:
+    return F.when(old != "", F.call_function("translate", text, old, new)).otherwise(text)
 
-    return _per_project(rules, make, make(_DEFAULT))
+
+def add_rev(versions: DataFrame, rules=()) -> DataFrame:
+    """Revision of each version name, worked out from the name alone."""
+    back = _rewrite(_swap(F.col("version"), _rule("swap_to"), _rule("swap_from")), _rule("to_rev"))
+    return _with_rules(versions, rules).withColumn("rev_again", back).drop("_r")
 
 
 def list_versions(raw_tags: DataFrame, rules=()) -> DataFrame:
@@ -101,30 +109,19 @@ def list_versions(raw_tags: DataFrame, rules=()) -> DataFrame:
     ``latest_key`` is the plain natural order that the search for the latest
     uses. Both are strings, so any sort, range or ``max_by`` can use them.
     """
-    version = F.col("version")
-
-    def stable(rule):
-        return _matches(version, rule.latest_keep, rule.latest_drop)
-
-    def listed(rule):
-        return _matches(version, rule.list_keep, rule.list_drop)
-
-    def order(rule):
-        return release_key(_rewrite(version, rule.order_as))
-
-    return (
-        raw_tags.select("project", "rev").distinct()
-        .withColumn("version", to_version(rules))
-        .where("version IS NOT NULL")
-        .select(
-            "project", "version", "rev",
-            _per_project(rules, order, order(_DEFAULT)).alias("natkey"),
-            natural_key(version).alias("latest_key"),
-            version.contains("-rc").alias("is_rc"),
-            _per_project(rules, listed, listed(_DEFAULT)).alias("is_listed"),
-            _per_project(rules, stable, stable(_DEFAULT)).alias("is_stable"),
-            _per_project(rules, lambda r: F.lit(r.list_reversed), F.lit(False)).alias("is_reversed"),
-        )
+    rev, version = F.col("rev"), F.col("version")
+    name = _rewrite(_swap(rev, _rule("swap_from"), _rule("swap_to")), _rule("to_version"))
+    kept = _with_rules(raw_tags.select("project", "rev").distinct(), rules).where(
+        (_rule("rev_keep") == "") | F.rlike(rev, _rule("rev_keep"))
+    )
+    return kept.withColumn("version", name).select(
+        "project", "version", "rev",
+        release_key(_rewrite(version, _rule("order_as"))).alias("natkey"),
+        natural_key(version).alias("latest_key"),
+        version.contains("-rc").alias("is_rc"),
+        _matches(version, _rule("list_keep"), _rule("list_drop")).alias("is_listed"),
+        _matches(version, _rule("latest_keep"), _rule("latest_drop")).alias("is_stable"),
+        _rule("list_reversed").alias("is_reversed"),
     )
 
 
@@ -171,28 +168,21 @@ def group_versions(versions: DataFrame, rules=()) -> DataFrame:
     """Versions with section number, major and minor, one row per section they
     fall into; constant entries of the rules are appended."""
     version = F.col("version")
-
-    def sections(rule: VersionRules) -> Column:
-        found = []
-        for number, group in enumerate(rule.groups):
-            hit = version.rlike(group.pattern)
-            found.append(
-                F.when(
-                    _matches(version, group.keep, group.drop),
-                    F.struct(
-                        F.lit(number).alias("grp"),
-                        F.when(hit, F.regexp_replace(version, group.pattern, group.major))
-                        .otherwise("FIXME").alias("major"),
-                        F.when(hit, F.regexp_replace(version, group.pattern, group.minor))
-                        .otherwise("FIXME").alias("minor"),
-                    ),
-                )
-            )
-        return F.array_compact(F.array(*found))
-
-    grouped = versions.withColumn(
-        "_g", F.explode(_per_project(rules, sections, sections(_DEFAULT)))
-    ).select("project", "_g.grp", "_g.major", "_g.minor", "version", "natkey")
+    grouped = (
+        _with_rules(versions, rules)
+        .select("project", "version", "natkey", F.explode("_r.groups").alias("_g"))
+        .where(_matches(version, F.col("_g.keep"), F.col("_g.drop")))
+        .withColumn("_hit", F.rlike(version, F.col("_g.pattern")))
+        .select(
+            "project", "_g.grp",
+            *[
+                F.when(F.col("_hit"), F.regexp_replace(version, F.col("_g.pattern"), F.col(f"_g.{part}")))
+                .otherwise("FIXME").alias(part)
+                for part in ("major", "minor")
+            ],
+            "version", "natkey",
+        )
+    )
     extra = [
         (rule.project, len(rule.groups) + i, *entry)
         for rule in rules for i, entry in enumerate(rule.constant)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import blobs as blob_ops
 from tagloom.operators.compat import binding_words, extract_comps, resolve_comp_docs
-from tagloom.operators.defs import DEFAULT_RULES, defs_from_tags, extract_defs
+from tagloom.operators.defs import DEFAULT_RULES, DEFINE_RULE, clean_defs, defs_from_tags, extract_tags
 from tagloom.operators.docs import extract_docs
 from tagloom.operators.refs import known_idents, resolve, resolve_as_of, token_postings
 from tagloom.schema import INDEX_TABLES, SORT_COLUMNS
@@ -40,10 +40,12 @@ def table_plan(name: str, files: DataFrame, tables: Mapping[str, DataFrame],
         return blob_ops.listing(files)
     if name == "first_paths":
         return blob_ops.first_paths(tables["paths"])
+    if name == "tags":
+        return extract_tags(blobs(), options.rules, options.statements)
     if name == "defs":
         if options.tags is not None:
             return defs_from_tags(options.tags, blobs(), options.stop)
-        return extract_defs(blobs(), options.rules, options.stop, options.statements)
+        return clean_defs(tables["tags"], options.stop)
     if name == "tokens":
         return token_postings(blobs(), tables["defs"], options.edge_tokens)
     if name == "refs":
@@ -51,7 +53,8 @@ def table_plan(name: str, files: DataFrame, tables: Mapping[str, DataFrame],
             return resolve_as_of(tables["tokens"], tables["defs"], blobs())
         return resolve(tables["tokens"], known_idents(tables["defs"]))
     if name == "docs":
-        return extract_docs(blobs(), lenient_closer=options.lenient_closer)
+        ours = options.statements and DEFINE_RULE in options.rules and options.tags is None
+        return extract_docs(blobs(), tables["tags"] if ours else None, options.lenient_closer)
     if name == "comps":
         return extract_comps(blobs(), options.dts_projects)
     if name == "comp_words":
@@ -119,7 +122,7 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 # Postings before listings: a version counts as indexed once its listing is there.
-WRITE_ORDER = ("blobs", "defs", "tokens", "refs", "docs", "comps", "comp_words", "comp_docs",
+WRITE_ORDER = ("blobs", "tags", "defs", "tokens", "refs", "docs", "comps", "comp_words", "comp_docs",
                "first_paths", "paths")
 
 

@@ -255,7 +255,7 @@ def latest_version(spark, d):
 
 @query
 def version_rewrite(spark, d):
-    return tag_versions(spark, d).select("project", "rev", "version").withColumn("rev_again", V.to_rev(TAG_RULES))
+    return V.add_rev(tag_versions(spark, d).select("project", "rev", "version"), TAG_RULES)
 
 
 @query
@@ -316,8 +316,7 @@ def file_raw(spark, d):
 @query
 def dir_listing(spark, d):
     paths = code_index(spark, d)["paths"]
-    dirs = LS.directories(paths).select("project", "version", F.col("path").alias("dir"))
-    return LS.list_dir(paths, dirs).select("version", "dir", "kind", "name", "size", "perm")
+    return LS.list_dir(paths).select("version", "dir", "kind", "name", "size", "perm")
 
 
 @query
@@ -801,7 +800,7 @@ def links_html(spark, d):
     paths = index["paths"]
     there = LS.existing_paths(paths).select(
         "version", F.col("path").alias("target"), F.lit(True).alias("_there")
-    )
+    ).distinct()
     return (
         L.extract_links(paths, index["blobs"], [href]).join(there, ["version", "target"], "left")
         .select("version", "path", "line", "text", "target", F.col("_there").isNotNull().alias("target_exists"))

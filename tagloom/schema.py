@@ -36,6 +36,8 @@ FIRST_PATHS = _struct(("project", _S), ("version", _S), ("blob_id", _S), ("path"
 DEFS = _struct(
     ("project", _S), ("ident", _S), ("blob_id", _S), ("type", _S), ("line", _I), ("family", _S),
 )
+#: Definitions as found, before cleaning; the source of ``defs`` and ``docs``.
+TAGS = _struct(*[(f.name, f.dataType) for f in DEFS], ("at_start", T.BooleanType()))
 #: Line lists are kept per (identifier, blob), duplicates included.
 POSTINGS = _struct(
     ("project", _S), ("ident", _S), ("blob_id", _S), ("lines", _LINES), ("family", _S),
@@ -46,6 +48,7 @@ DOCS = _struct(
 
 INDEX_TABLES: dict[str, T.StructType] = {
     "blobs": BLOBS,
+    "tags": TAGS,
     "defs": DEFS,
     "tokens": POSTINGS,
     "refs": POSTINGS,
@@ -61,6 +64,7 @@ INDEX_TABLES: dict[str, T.StructType] = {
 #: row-group statistics can skip rows on a point or prefix filter.
 SORT_COLUMNS: dict[str, list[str]] = {
     "blobs": ["blob_id"],
+    "tags": ["blob_id", "line"],
     "defs": ["ident", "blob_id", "line"],
     "tokens": ["ident", "blob_id"],
     "refs": ["ident", "blob_id"],
