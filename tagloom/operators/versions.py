@@ -66,16 +66,24 @@ def _with_rules(df: DataFrame, rules) -> DataFrame:
 
     Rules are rows, one per project: the plan does not grow with their number.
     """
-    spark = df.sparkSession
-    table = spark.createDataFrame([_rule_row(r) for r in rules], _RULE_SCHEMA)
-    default = spark.createDataFrame([_rule_row(VersionRules(""))], _RULE_SCHEMA)
-    rest = df.select("project").distinct().join(table.select("project"), "project", "left_anti")
+    table = df.sparkSession.createDataFrame([_rule_row(r) for r in rules], _RULE_SCHEMA)
     fields = [c for c in table.columns if c != "project"]
-    one = F.struct(*fields).alias("_r")
-    by_project = table.select("project", one).unionByName(
-        rest.join(F.broadcast(default.drop("project").select(one)))
-    )
-    return df.join(F.broadcast(by_project), "project")
+    # The rule list is code: one row per project, so broadcasting it is safe.
+    beside = F.broadcast(table.select("project", F.struct(*fields).alias("_r")))
+    return df.join(beside, "project", "left").withColumn("_r", F.coalesce("_r", _default_rule(table.schema)))
+
+
+def _default_rule(schema) -> Column:
+    """The rule of projects that have none, as a literal of the same type."""
+    row = _rule_row(VersionRules(""))
+    values = []
+    for field, value in zip(schema.fields[1:], row[1:]):
+        if isinstance(value, list):
+            value = F.array(*[F.struct(*[F.lit(v) for v in item]) for item in value])
+        else:
+            value = F.lit(value)
+        values.append(value.cast(field.dataType).alias(field.name))
+    return F.struct(*values)
 
 
 def _rule(name: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,12 @@ FILE_COLUMNS = FILES.fieldNames()
 def scan_paths(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root/<project>/<version>/<path>``, read in parallel."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    here = F.regexp_extract(F.lit(root.rstrip("/")), r"^(?:[a-z]+:/*)?(.*)$", 1)
+    # Paths come back with a scheme and percent codes; what follows the root counts.
+    here = "/" + re.sub(r"^[a-z]+:/+", "", root).strip("/") + "/"
     tail = F.regexp_replace(
         F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))"), r"^[a-z]+:/+", "/"
     )
-    relative = F.substring_index(tail, F.concat(F.lit("/"), F.ltrim(here, F.lit("/")), F.lit("/")), -1)
+    relative = F.regexp_extract(tail, f"{re.escape(here)}(.*)$", 1)
     parts = F.split(relative, "/", 3)
     return raw.select(
         parts[0].alias("project"), parts[1].alias("version"), parts[2].alias("path"),
