@@ -97,23 +97,45 @@ def build_index(files: DataFrame, options: IndexOptions = IndexOptions()) -> Laz
     return LazyIndex(files, options)
 
 
+#: Tables whose plan reads and matches whole texts right up to its end. Spreading
+#: rows by range samples its input first, which would run such a plan twice, so
+#: their rows are put down once as they come and spread from there.
+STAGED = ("tags", "tokens", "docs", "comps", "comp_words", "paths")
+
+
 def write_table(df: DataFrame, name: str, path: str) -> None:
     """Write one index table in full, partitioned by project and sorted for
     row-group skipping; identifier tables carry a bloom filter on the identifier.
 
     Rows are spread by range of their sort columns: files cover narrow key
     ranges, and a key that holds many rows is spread by the columns behind it.
+    Blobs stay where their dedup by hash put them.
     """
+    spark, columns = df.sparkSession, INDEX_TABLES[name].fieldNames()
+    parent, _, leaf = path.rpartition("/")
+    # A leading underscore, and no '=', hide the folder from readers of the parent.
+    rows, staging = df.select(*columns), f"{parent}/_staging-{leaf.replace('=', '-')}"
+    if name in STAGED:
+        rows.write.mode("overwrite").parquet(staging)
+        rows = spark.read.schema(INDEX_TABLES[name]).parquet(staging)
+    if name != "blobs":
+        rows = rows.repartitionByRange("project", *SORT_COLUMNS[name])
     writer = (
-        df.select(*INDEX_TABLES[name].fieldNames())
-        .repartitionByRange("project", *SORT_COLUMNS[name])
-        .sortWithinPartitions("project", *SORT_COLUMNS[name])
+        rows.sortWithinPartitions("project", *SORT_COLUMNS[name])
         .write.mode("overwrite")
         .partitionBy(*(["project", "version"] if name in ("paths", "first_paths") else ["project"]))
     )
     if "ident" in SORT_COLUMNS[name]:
         writer = writer.option("parquet.bloom.filter.enabled#ident", "true")
     writer.parquet(path)
+    if name in STAGED:
+        _delete(spark, staging)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder this module wrote, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:

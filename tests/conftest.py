@@ -13,6 +13,7 @@ def spark():
     from tagloom.session import local_session
 
     session = local_session(8, "tagloom-tests")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
     session.stop()
 
