@@ -30,6 +30,12 @@ V2 = [
 V3 = [("v3", *r[1:]) for r in V2] + [("v3", "Documentation/devicetree/bindings/use.c", V1[2][2])]
 
 
+@pytest.fixture(scope="module")
+def index(files, tmp_path_factory):
+    """The first two versions as a stored index."""
+    return write_index(files(V1 + V2), str(tmp_path_factory.mktemp("index") / "ix"))
+
+
 def rows(df):
     return sorted(map(str, df.collect()))
 
@@ -40,26 +46,21 @@ def same(a, b):
         assert rows(a[name].select(*columns)) == rows(b[name].select(*columns)), name
 
 
-def test_stored_equals_lazy(spark, files, tmp_path):
-    f = files(V1 + V2)
-    write_index(f, str(tmp_path / "ix"))
-    same(read_index(spark, str(tmp_path / "ix")), build_index(f))
+def test_stored_equals_lazy(spark, files, index):
+    same(read_index(spark, index.root), build_index(files(V1 + V2)))
 
 
-def test_partitioning_changes_nothing(files):
-    f = files(V1 + V2)
-    same(build_index(f.repartition(7)), build_index(f.orderBy(F.desc("path")).coalesce(1)))
+def test_partitioning_changes_nothing(files, index):
+    same(build_index(files(V1 + V2).orderBy(F.desc("path")).repartition(7)), index)
 
 
-def test_prefix_filter_reaches_the_scan(spark, files, tmp_path):
-    index = write_index(files(V1), str(tmp_path / "ix"))
+def test_prefix_filter_reaches_the_scan(index):
     plan = S.complete_prefix(index, "p", "fo")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(ident,fo)" in plan and "PartitionFilters: [isnotnull(project" in plan
     assert [r.ident for r in S.complete_prefix(index, "p", "fo").collect()] == ["foo"]
 
 
-def test_references_name_definitions_and_are_none(files):
-    index = build_index(files(V1 + V2))
+def test_references_name_definitions_and_are_none(index):
     refs, defs = explode_lines(index["refs"]), index["defs"]
     assert refs.join(defs.select("project", "ident"), ["project", "ident"], "left_anti").count() == 0
     assert refs.join(defs, ["project", "ident", "blob_id", "line"], "left_semi").count() == 0
@@ -80,8 +81,7 @@ def ask(spark, index, *queries, **kw):
     return {(r.version, r.ident, r.family, r.section, r.type, r.path, tuple(r.lines)) for r in got}
 
 
-def test_lookup(spark, files):
-    index = build_index(files(V1 + V2))
+def test_lookup(spark, index):
     foo = ask(spark, index, ("v1", "foo", "C"))
     # Definitions at the first path of a blob, documentation and references at all.
     assert {r[3:] for r in foo} == {
@@ -92,8 +92,7 @@ def test_lookup(spark, files):
     assert {r[5] for r in every if r[3] == "definitions"} == {"lib/a.c", "lib/copy.c"}
 
 
-def test_families_of_a_lookup(spark, files):
-    index = build_index(files(V1 + V2))
+def test_families_of_a_lookup(spark, index):
     sections = lambda family, ident="MAC": {
         (r[3], r[5]) for r in ask(spark, index, ("v2", ident, family))}
     assert sections("C") == {("definitions", "later.c"), ("references", "use.c")}
@@ -105,8 +104,7 @@ def test_families_of_a_lookup(spark, files):
     assert sections("K", "CONFIG_NET") == {("definitions", "Kconfig"), ("references", "Makefile")}
 
 
-def test_unknown_names_and_versions(spark, files):
-    index = build_index(files(V1 + V2))
+def test_unknown_names_and_versions(spark, index):
     assert ask(spark, index, ("v1", "nobody", "C"), ("v9", "foo", "C")) == set()
     q = spark.createDataFrame([("p", "v1", "MAC", "C"), ("p", "v1", "nobody", "C"), ("p", "v9", "foo", "C")],
                               "project string, version string, ident string, family string")
@@ -114,8 +112,7 @@ def test_unknown_names_and_versions(spark, files):
     assert got == {"MAC": (True, True), "nobody": (False, True), "foo": (True, False)}
 
 
-def test_compatible_lookup(spark, files):
-    index = build_index(files(V1 + V2))
+def test_compatible_lookup(spark, index):
     q = spark.createDataFrame([("p", "v2", "ven,dev", "B"), ("p", "v1", "ven,dev", "B")],
                               "project string, version string, ident string, family string")
     got = {(r.version, r.section, r.type, r.path, tuple(r.lines)) for r in S.search_compatible(index, q).collect()}
@@ -136,8 +133,7 @@ def test_json_answer(spark, files):
     assert got["foo"]["references"] == [{"path": "use.c", "line": "4,4", "type": None}]
 
 
-def test_completion_scope(spark, files):
-    index = build_index(files(V1 + V2))
+def test_completion_scope(spark, index):
     q = spark.createDataFrame([("p", "", "C"), ("p", "", "K"), ("p", "CON", "K"), ("p", "ven", "B")],
                               "project string, prefix string, family string")
     got = lambda **kw: {(r.prefix, r.family, r.rank, r.ident) for r in S.autocomplete(index, q, **kw).collect()}
@@ -167,7 +163,7 @@ class Lost(Exception):
 
 
 @pytest.mark.parametrize("last", ["refs", "paths"])
-def test_batch_lost_half_way(spark, files, tmp_path, last):
+def test_batch_lost_half_way(spark, files, index, tmp_path, last):
     root = str(tmp_path / "ix")
 
     def die(name):
@@ -181,7 +177,7 @@ def test_batch_lost_half_way(spark, files, tmp_path, last):
         ingest_batch(files(V2), 1, root, step=die)
     assert {n: rows(read_batches(spark, root)[n]) for n in names} == before
     ingest_batch(files(V2), 1, root)
-    same(read_batches(spark, root), build_index(files(V1 + V2)))
+    same(read_batches(spark, root), index)
 
 
 def test_blob_stream_by_state(spark, files, tmp_path):
