@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.paths import (
-    C_EXTENSIONS, DTS_EXTENSIONS, base_name, dir_name, extension, is_binding, join_path, stem,
+    C_EXTENSIONS, DTS_EXTENSIONS, dir_name, extension, is_binding, join_path, stem,
 )
 from tagloom.functions.text import split_lines
 from tagloom.operators.listing import existing_paths

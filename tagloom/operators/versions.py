@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.order import natural_key, release_key
@@ -133,6 +133,11 @@ def list_versions(raw_tags: DataFrame, rules=()) -> DataFrame:
     )
 
 
+def dts_projects(spark: SparkSession, rules) -> DataFrame:
+    """Projects with devicetree support, for the extraction of compatible strings."""
+    return spark.createDataFrame([(r.project,) for r in rules if r.dts_support], "project string")
+
+
 def in_natural_order(versions: DataFrame) -> DataFrame:
     return versions.orderBy("project", "natkey", "version")
 

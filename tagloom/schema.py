@@ -19,11 +19,6 @@ FILES = _struct(
     ("blob_id", _S), ("size", _L), ("content", _S),
 )
 
-VERSIONS = _struct(
-    ("project", _S), ("version", _S), ("rev", _S), ("natkey", _S), ("latest_key", _S),
-    ("grp", _I), ("major", _S), ("minor", _S), ("is_rc", T.BooleanType()), ("is_listed", T.BooleanType()),
-    ("is_stable", T.BooleanType()),
-)
 BLOBS = _struct(
     ("project", _S), ("blob_id", _S), ("filename", _S), ("family", _S),
     ("first_version", _S), ("first_key", _S), ("size", _L), ("content", _S),

@@ -66,3 +66,13 @@ def test_resolve_version(spark):
     latest = spark.createDataFrame([("p", "v2", "v3-rc1")], "project string, latest string, latest_rc string")
     got = {tuple(r) for r in V.resolve_version(queries, latest).collect()}
     assert got == {("p", "v2"), ("p", "v9"), ("q", None)}
+
+
+def test_compatible_strings_of_supporting_projects_only(spark, files):
+    from tagloom.operators.blobs import build_blobs
+    from tagloom.operators.compat import extract_comps
+
+    row = ("v1", "a.dts", 'compatible = "x,y";\n')
+    blobs = build_blobs(files([row], "on").unionByName(files([row], "off")))
+    on = V.dts_projects(spark, [V.VersionRules("on", dts_support=True), V.VersionRules("off")])
+    assert [r.project for r in extract_comps(blobs, on).collect()] == ["on"]
