@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagloom.llm import jaccard
+from tagloom.llm import bpe, jaccard, packing
 from tagloom.llm.common import read, ship
 
 QUERIES: dict = {}
@@ -22,6 +24,25 @@ def query(fn):
     return run
 
 
+@query
+def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded and decoded again; digests of ids and bytes."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(read(spark, d, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    return bpe.decode(ids, path, pattern).select(
+        "doc_id",
+        F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
