@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, jaccard, packing
+from tagloom.llm import bpe, chat, jaccard, packing, quality, secrets
 from tagloom.llm.common import read, ship
 
 QUERIES: dict = {}
@@ -63,7 +63,34 @@ def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior of good quality of every document: its text, its source and the language within it."""
+    docs = read(spark, d, "documents")
+    model = quality.train(docs, read(spark, d, "labels"))
+    scored = quality.score(docs.select("doc_id", "text", "source", "lang"), model)
+    return scored.select("doc_id", "evidence", "site_rate", "score", (F.col("score") >= quality.KEEP).alias("keep"))
+
+
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
     return jaccard.jaccard_components(read(spark, d, "documents"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Secrets in every document: counts by kind, digest of the base spans, all spans."""
+    found = secrets.scan(read(spark, d, "documents").select("doc_id", "text")).drop("text")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(listed(F.filter("secrets", lambda s: s["kind"] != "random")), 256).alias("base_sha256"),
+        listed("secrets").alias("spans"),
+    )
