@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, jaccard, packing, quality, secrets
+from tagloom.llm import bpe, chat, jaccard, jpeg, licenses, packing, quality, secrets
 from tagloom.llm.common import read, ship
 
 QUERIES: dict = {}
@@ -63,6 +63,39 @@ def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op6_media_jpeg(spark: SparkSession, d: str) -> DataFrame:
+    """Every document stored as a JPEG and read back."""
+    media = jpeg.encode_media(read(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return jpeg.decode_media(media).select(
+        "doc_id",
+        F.col("note").cast("long").alias("n_bytes"),
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumb_hash").alias("feature"),
+    )
+
+
+@query
+def op7_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    """License phrases and templates in every document."""
+    found = licenses.scan(read(spark, d, "documents").select("doc_id", "text")).drop("text")
+    labels = lambda m: F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))), ",")
+    return found.withColumn("b", F.filter("matches", lambda m: m["base"])).select(
+        "doc_id",
+        "n_words",
+        F.size("b").cast("long").alias("n_base"),
+        F.array_min(F.transform("b", lambda m: m["start"])).alias("first_word"),
+        F.array_max(F.transform("b", lambda m: m["start"])).alias("last_word"),
+        labels(F.col("b")).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 @query
 def op8_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Posterior of good quality of every document: its text, its source and the language within it."""
