@@ -33,32 +33,69 @@ SLACK = 24
 FAN_IN = 8
 #: Underfull bins that one task hands on.
 CARRY = 4_000
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words that a worker remembers.
+REMEMBERED = 800_000
 
 _MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,place:bigint>"
 _BINS = f"round int, grp bigint, bin bigint, used int, open boolean, members array<{_MEMBER}>"
 _ARROW = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("place", pa.int64())])
 
 
-class Words(dict):
+class Words:
     """Ids of a text's words, packed. The tokenizer drops white space and never looks across it, so the
-    ids of a text are those of its blank-separated words, and each distinct word is tokenized once."""
+    ids of a text are those of its blank-separated words, and each distinct word is tokenized once; a
+    letters-only word and the punctuation after it are apart, too. New letters-only words of a text are
+    tokenized together: each ends with its only end-of-word token."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, stems: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(stems):
+            return [self._one(s) for s in stems]
+        packed, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [packed[a:b] for a, b in zip(at, at[1:])]
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()  # ASCII letters; the tokenizer would, after composing marks (of which there are none)
+        found, known = text.split(), self.known
+        new: dict[bytes, bytes] = {}
+        if missing := set(found).difference(known):
+            parted, stems = {}, {}
+            for w in missing:
+                stem = w.rstrip(b".,!?")
+                s = stem.decode()
+                if s.isalpha() and s.lower().isalpha():
+                    parted[w] = stem
+                    if stem not in known:
+                        stems[stem] = s
+            if stems:
+                new.update(zip(stems, self._letters(list(stems.values()))))
+            for w in missing - stems.keys():
+                if w in parted:
+                    tail = w[len(parted[w]) :]
+                    if tail not in known:
+                        known[tail] = self._one(tail.decode())
+                    new[w] = (known[parted[w]] if parted[w] in known else new[parted[w]]) + known[tail]
+                else:
+                    new[w] = self._one(w.decode())
+            if len(known) < REMEMBERED:  # once full it stays: frequent words have come by then
+                known.update(new)
+                new = {}
+        if new:
+            return b"".join([new[w] if w in new else known[w] for w in found])
+        return b"".join(map(known.__getitem__, found))
 
 
 @lru_cache(maxsize=2)
