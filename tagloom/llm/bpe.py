@@ -19,8 +19,13 @@ from pyspark.sql import DataFrame
 
 from tagloom.llm.common import add_columns, as_bytes
 
-#: Pieces and pairs of tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pieces, and pairs of tokens, that a worker remembers; once full it stays, as frequent ones come early.
+REMEMBERED = 200_000
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
 class Vocabulary:
@@ -31,14 +36,11 @@ class Vocabulary:
     """
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.tokens: dict[int, bytes] = {i: t for t, i in ranks.items()}
-        self.ids: dict[str, int] = {t.decode("latin-1"): i for t, i in ranks.items()}
+        self.ids: dict[str, int] = {t.decode("latin-1"): i for t, i in read_ranks(path).items()}
         self.texts = {i: t for t, i in self.ids.items()}
         #: The two tokens whose merge gives a token; none for single bytes.
         self.parts: dict[int, tuple[int, int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i in sorted(self.texts):
             text = self.texts[i]
@@ -83,11 +85,11 @@ class Vocabulary:
                 return True
 
     def neighbours(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._stand(a, b)
+            known = self._stand(a, b)
+            if len(self.pairs) < REMEMBERED:
+                self.pairs[a << 32 | b] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -129,11 +131,9 @@ class Codec:
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= REMEMBERED:
-                    self.clear()
                 ids = vocabulary.encode_piece(piece.encode())
                 packed = b"".join(i.to_bytes(4, "little") for i in ids)
-                if len(piece) <= 64:
+                if len(piece) <= 64 and len(self) < REMEMBERED:
                     self[piece] = packed
                 return packed
 
@@ -143,9 +143,6 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, memoryview(ids).cast("I").tolist()))
-
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
@@ -153,6 +150,15 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> dict[int, bytes]:
+    return {i: t for t, i in read_ranks(path).items()}
+
+
+def decode_ids(ids: bytes, path: str) -> bytes:
+    return b"".join(map(tokens(path).__getitem__, memoryview(ids).cast("I").tolist()))
+
+
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with ``ids_col``: the token ids of the whole text as little-endian unsigned 32-bit integers
     (binary, 4 bytes a token). Null and empty texts have no ids (empty binary). ``path`` must name the
@@ -165,12 +171,11 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     return add_columns(df, run, [text_col], f"`{ids_col}` binary")
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with ``out_col``: the bytes of the ids (binary: ids may end within a character). Null ids
     give empty bytes; an id that the vocabulary lacks is an error."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        c = codec(path, pattern)
-        return {out_col: pa.array([c.decode(i or b"") for i in batch.column(1).to_pylist()], pa.binary())}
+        return {out_col: pa.array([decode_ids(i or b"", path) for i in batch.column(1).to_pylist()], pa.binary())}
 
     return add_columns(df, run, [ids_col], f"`{out_col}` binary")

@@ -60,6 +60,14 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(binary).to_pylist()]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes, so that what a task makes of one stays small."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def add_columns(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], inputs: list[str], added: str, keep: list[str] | None = None
 ) -> DataFrame:
@@ -77,7 +85,7 @@ def add_columns(
     names = extra.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             made = fn(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[made[n] for n in names]], names=["kept", *names])
 

@@ -29,7 +29,7 @@ def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     """Every document encoded and decoded again; digests of ids and bytes."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(read(spark, d, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.decode(ids, path).select(
         "doc_id",
         F.expr("CAST(length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
