@@ -38,6 +38,17 @@ nodes AS (SELECT doc_id AS id FROM sets),
 SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN comp ON id = doc_id
 """
 
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
 #: Lengths of the template's control strings: start and sep, turn, end.
 OP5 = r"""
 WITH t AS (
@@ -59,6 +70,7 @@ FROM o GROUP BY conv_id
 """
 
 ORACLES = {
+    "op3_zip_warc": OP3,
     "op5_chat_formatting": OP5,
     "op9_ngram_jaccard_join": OP9,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, jaccard, jpeg, licenses, packing, quality, secrets
+from tagloom.llm import bpe, chat, jaccard, jpeg, licenses, packing, quality, secrets, warc
 from tagloom.llm.common import read, ship
 
 QUERIES: dict = {}
@@ -37,6 +37,13 @@ def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op3_zip_warc(spark: SparkSession, d: str) -> DataFrame:
+    """Every page written as a WARC record into ZIP archives, and read back from them."""
+    found = warc.round_trip(spark, read(spark, d, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
