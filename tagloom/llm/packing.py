@@ -34,7 +34,7 @@ FAN_IN = 8
 #: Underfull bins that one task hands on.
 CARRY = 4_000
 #: Words that a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 
 _MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,place:bigint>"
 _BINS = f"round int, grp bigint, bin bigint, used int, open boolean, members array<{_MEMBER}>"
