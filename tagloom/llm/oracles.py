@@ -38,6 +38,25 @@ nodes AS (SELECT doc_id AS id FROM sets),
 SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN comp ON id = doc_id
 """
 
+OP2 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+),
+able AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM v
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda y: y * y)) > 0
+),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM able x JOIN able y ON x.vec_id <> y.vec_id AND len(x.u) = len(y.u)
+  WHERE list_dot_product(x.u, y.u) >= 0.95
+),
+nodes AS (SELECT vec_id AS id FROM v),
+{components_sql("nodes", "links")},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+FROM comp LEFT JOIN counts ON a = id
+"""
+
 OP3 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
@@ -70,6 +89,7 @@ FROM o GROUP BY conv_id
 """
 
 ORACLES = {
+    "op2_embedding_near_dedup": OP2,
     "op3_zip_warc": OP3,
     "op5_chat_formatting": OP5,
     "op9_ngram_jaccard_join": OP9,

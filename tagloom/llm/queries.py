@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, jaccard, jpeg, licenses, packing, quality, secrets, warc
+from tagloom.llm import bpe, chat, jaccard, jpeg, licenses, neardup, packing, quality, secrets, warc
 from tagloom.llm.common import read, ship
 
 QUERIES: dict = {}
@@ -37,6 +37,12 @@ def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op2_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Links, components and survivors of all vectors by cosine 0.95."""
+    return neardup.near_duplicates(read(spark, d, "embeddings"))
+
+
 @query
 def op3_zip_warc(spark: SparkSession, d: str) -> DataFrame:
     """Every page written as a WARC record into ZIP archives, and read back from them."""
@@ -54,7 +60,10 @@ def op4_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
     """Every conversation, and one whose texts hold control strings, formatted and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
-    tricky = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    tricky = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"),
+        F.lit(said).alias("text"),
+    )
     turns = read(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     out = chat.format_conversations(turns.union(tricky))
     back = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_spans(F.col("formatted"), F.col("loss_spans")).alias("loss"))
