@@ -67,7 +67,7 @@ class Model:
         return np.array([features(t) @ self.weights for t in texts])
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> Model:
     """Ridge-penalized logistic regression by Newton steps."""
     rate = (y.sum() + 1) / (len(y) + 2)
     base = math.log(rate / (1 - rate))
