@@ -100,7 +100,7 @@ def central_directory(read: Ranged, size: int) -> dict[str, tuple[int, int, int,
     """name -> (method, stored size, size, offset of the local header). ``ValueError`` if the file is no ZIP."""
     tail_at = max(0, size - 65_557)  # end record and the longest comment
     tail = read(tail_at, size - tail_at)
-    end = tail.rfind(b"PK\x05\x06")
+    end = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))  # the record itself takes 22 bytes
     while end >= 0 and end + 22 + struct.unpack("<H", tail[end + 20 : end + 22])[0] != len(tail):
         end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
