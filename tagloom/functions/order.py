@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 def natural_key(text: Column) -> Column:
     """A string whose byte order is the order of ``sort -V``.
 
-    Numbers compare by value (length, then digits), a number before any other
-    character, letters before other signs, a tilde before everything.
+    Numbers compare by value (length, then digits; the length itself is written
+    with its own length before it, so that no number is too long), a number before any
+    other character, letters before other signs, a tilde before everything.
     """
     digits = lambda p: F.ltrim(p, F.lit("0"))
+    size = lambda p: F.length(digits(p)).cast("string")
     return F.array_join(
         F.transform(
             F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]"), F.lit(0)),
             lambda p: F.when(
                 p.rlike("^[0-9]"),
-                F.concat(F.lit("0"), F.lpad(F.length(digits(p)).cast("string"), 3, "0"), digits(p)),
+                F.concat(F.lit("0"), F.length(size(p)).cast("string"), size(p), digits(p)),
             )
             .when(p.rlike("^[A-Za-z]$"), p)
             .when(p == "~", F.lit(" "))

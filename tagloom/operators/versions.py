@@ -14,15 +14,21 @@ Rewrites = tuple[tuple[str, str], ...]
 
 @dataclass(frozen=True)
 class Group:
-    """A section of the version menu: tags that match ``keep`` and not ``drop``,
-    split by ``pattern`` into major and minor; where the pattern does not match,
-    both are ``FIXME``."""
+    """A section of the version menu: tags that begin with ``starts`` and hold no ``without``.
 
-    keep: str = ""
-    drop: str = ""
-    pattern: str = r"^(v[0-9]*)\.([0-9]*)(.*)$"
-    major: str = "$1"
-    minor: str = "$1.$2"
+    A tag, less the prefix ``strip``, falls into fields at ``sep``. The first field, with ``lead`` before
+    it, is its major; the first two, the second up to where its digits end, are its minor. Either can be a
+    fixed title instead. Tags of one field, or whose first field is not a number (a ``v`` may stand before
+    it), have ``FIXME`` for what is not fixed.
+    """
+
+    starts: str = ""
+    without: str = ""
+    sep: str = "."
+    strip: str = ""
+    lead: str = ""
+    major: str = ""
+    minor: str = ""
 
 
 @dataclass(frozen=True)
@@ -46,7 +52,7 @@ class VersionRules:
 
 
 _REWRITES = "array<struct<pattern:string,replacement:string>>"
-_GROUPS = "array<struct<grp:int,keep:string,drop:string,pattern:string,major:string,minor:string>>"
+_GROUPS = "array<struct<grp:int,starts:string,without:string,sep:string,strip:string,lead:string,major:string,minor:string>>"
 _RULE_SCHEMA = (
     f"project string, rev_keep string, to_version {_REWRITES}, to_rev {_REWRITES}, swap_from string, "
     f"swap_to string, list_keep string, list_drop string, list_reversed boolean, groups {_GROUPS}, "
@@ -56,7 +62,7 @@ _RULE_SCHEMA = (
 
 def _rule_row(rule: VersionRules) -> tuple:
     swap = rule.swap or ("", "")
-    groups = [(i, g.keep, g.drop, g.pattern, g.major, g.minor) for i, g in enumerate(rule.groups)]
+    groups = [(i, g.starts, g.without, g.sep, g.strip, g.lead, g.major, g.minor) for i, g in enumerate(rule.groups)]
     return (rule.project, rule.rev_keep, list(rule.to_version), list(rule.to_rev), *swap, rule.list_keep,
             rule.list_drop, rule.list_reversed, groups, rule.latest_keep, rule.latest_drop, list(rule.order_as))
 
@@ -180,20 +186,22 @@ def filter_versions(versions: DataFrame, pattern: str) -> DataFrame:
 def group_versions(versions: DataFrame, rules=()) -> DataFrame:
     """Versions with section number, major and minor, one row per section they
     fall into; constant entries of the rules are appended."""
-    version = F.col("version")
+    version, g = F.col("version"), lambda name: F.col(f"_g.{name}")
+    own = F.when(version.startswith(g("strip")), F.substring(version, F.length(g("strip")) + 1, F.length(version))).otherwise(version)
+    first, second = F.get("_fields", F.lit(0)), F.get("_fields", F.lit(1))
+    # What is left of a field without its leading digits is what follows them.
+    digits = F.substring(second, F.lit(1), F.length(second) - F.length(F.ltrim(second, F.lit("0123456789"))))
+    numbered = second.isNotNull() & (F.call_function("translate", first, F.lit("v0123456789"), F.lit("")) == "")
+    head = F.concat(g("lead"), first)
+    title = lambda fixed, made: F.when(fixed != "", fixed).when(numbered, made).otherwise("FIXME")
     grouped = (
         _with_rules(versions, rules)
         .select("project", "version", "natkey", F.explode("_r.groups").alias("_g"))
-        .where(_matches(version, F.col("_g.keep"), F.col("_g.drop")))
-        .withColumn("_hit", F.rlike(version, F.col("_g.pattern")))
+        .where(version.startswith(g("starts")) & ((g("without") == "") | ~version.contains(g("without"))))
+        .withColumn("_fields", F.call_function("split", own, F.concat(F.lit(r"\Q"), g("sep"), F.lit(r"\E"))))
         .select(
-            "project", "_g.grp",
-            *[
-                F.when(F.col("_hit"), F.regexp_replace(version, F.col("_g.pattern"), F.col(f"_g.{part}")))
-                .otherwise("FIXME").alias(part)
-                for part in ("major", "minor")
-            ],
-            "version", "natkey",
+            "project", "_g.grp", title(g("major"), head).alias("major"),
+            title(g("minor"), F.concat(head, g("sep"), digits)).alias("minor"), "version", "natkey",
         )
     )
     extra = [
@@ -257,9 +265,12 @@ def latest_version(versions: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def resolve_version(queries: DataFrame, latest: DataFrame) -> DataFrame:
-    """Replace ``latest`` and ``latest-rc`` in a query table."""
+    """Replace ``latest`` and ``latest-rc`` in a query table.
+
+    ``latest`` has one row per project, so it is sent to the queries: a project with most of them is no hot key.
+    """
     return (
-        queries.join(latest, "project", "left")
+        queries.join(F.broadcast(latest), "project", "left")
         .withColumn(
             "version",
             F.when(F.col("version") == "latest", F.col("latest"))

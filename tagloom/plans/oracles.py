@@ -9,9 +9,11 @@ from __future__ import annotations
 
 
 def _natkey(expr: str) -> str:
-    return f"""array_to_string(list_transform(regexp_extract_all({expr}, '[0-9]+|[^0-9]'), lambda p:
-        CASE WHEN regexp_matches(p, '^[0-9]') THEN '0' || lpad(length(ltrim(p, '0'))::VARCHAR, 3, '0') || ltrim(p, '0')
-             WHEN regexp_matches(p, '^[A-Za-z]$') THEN p WHEN p = '~' THEN ' ' ELSE '{{' || p END), '')"""
+    """Natural order as a list of (class, number of digits, text): lists and structs compare by their parts."""
+    return f"""list_transform(regexp_extract_all({expr}, '[0-9]+|[^0-9]'), lambda p: CASE
+        WHEN p = '~' THEN {{'c': 0, 'n': 0, 't': ''}}
+        WHEN regexp_matches(p, '^[0-9]') THEN {{'c': 1, 'n': length(ltrim(p, '0')), 't': ltrim(p, '0')}}
+        WHEN regexp_matches(p, '^[A-Za-z]$') THEN {{'c': 2, 'n': 0, 't': p}} ELSE {{'c': 3, 'n': 0, 't': p}} END)"""
 
 
 def _git_id(expr: str) -> str:
@@ -282,36 +284,35 @@ def _fold(expr: str) -> str:
 def _tags(name: str, source: str) -> str:
     """Tags of the orders in ``source`` in nine habits, then their versions."""
     y, yy, m = "year(o_orderdate)", "(year(o_orderdate) % 100)", "month(o_orderdate)"
-    patch = "((o_orderkey // 9) % 50)"
+    n = "((o_orderkey // 9) % 50)"
     rc = "(CASE WHEN o_orderstatus = 'P' THEN '-rc' || (o_orderkey % 5 + 1) ELSE '' END)"
     is_p, is_f = "o_orderstatus = 'P'", "o_orderstatus = 'F'"
     mm = f"lpad({m}::VARCHAR, 2, '0')"
     return f"""
 {name}_raw AS (SELECT DISTINCT
-    ['plain', 'underscored', 'release-dir', 'release-caps', 'dated', 'prefixed', 'grouped', 'constant', 'premarked'][o_orderkey % 9 + 1] AS project,
+    ['plain', 'dashed', 'shipped', 'codename', 'calendar', 'labelled', 'backwards', 'archive', 'early'][o_orderkey % 9 + 1] AS project,
     CASE o_orderkey % 9
-      WHEN 0 THEN 'v' || {yy} || '.' || {m} || '.' || {patch} || {rc}
-      WHEN 1 THEN ({y} % 10) || '_' || {m} || '_' || {patch}
-      WHEN 2 THEN CASE WHEN {is_p} THEN 'stable/' || {yy} ELSE 'release/' || {yy} || '.' || {m} || '.' || (o_orderkey % 3) END
-      WHEN 3 THEN CASE WHEN {is_p} THEN 'beta-' || {yy} || '.' || {m} ELSE 'RELEASE-' || {yy} || '.' || {m} || '.' || {patch} END
-      WHEN 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN {y} || {mm} || '.' || {patch} ELSE 'v' || {m} || '.' || {patch} || {rc} END
-      WHEN 5 THEN CASE WHEN {is_p} THEN 'cvs/lib-' || {yy} || '_' || {m}
-                       WHEN {is_f} THEN 'vendor/lib-' || {yy} || '.' || {m} || '.' || {patch}
-                       ELSE 'lib-' || {yy} || '.' || {m} || '.' || {patch} END
-      WHEN 6 THEN CASE WHEN {is_p} THEN 'LABEL_' || {y} || '_' || {m} WHEN {is_f} THEN 'old-v1.' || {m} || '.' || {patch}
-                       ELSE 'v' || {y} || '.' || {mm} || '.' || {patch} END
-      WHEN 7 THEN CASE WHEN {is_p} THEN 'release_' || {m} || '_' || {patch} ELSE 'v' || {m} || '.' || {patch} END
-      ELSE CASE WHEN {is_f} THEN 'pre' ELSE '' END || {yy} || '.' || {m} || CASE WHEN {is_p} THEN '-pre' || (o_orderkey % 5 + 1) ELSE '' END
+      WHEN 0 THEN format('v{{}}.{{}}.{{}}{{}}', {yy}, {m}, {n}, {rc})
+      WHEN 1 THEN format('{{}}-{{}}-{{}}', {y} % 10, {m}, {n})
+      WHEN 2 THEN CASE WHEN {is_p} THEN format('{{}}.{{}}+try', {yy}, {m}) ELSE format('{{}}.{{}}.{{}}+ship', {yy}, {m}, o_orderkey % 3) END
+      WHEN 3 THEN CASE WHEN {is_p} THEN format('fox-{{}}.{{}}', {yy}, {m}) WHEN {is_f} THEN format('owl-{{}}.{{}}.{{}}', {yy}, {m}, {n})
+                       ELSE format('fox-{{}}.{{}}.{{}}', {yy}, {m}, {n}) END
+      WHEN 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN format('{{}}w{{}}.{{}}', {y}, {mm}, {n}) ELSE format('v{{}}.{{}}{{}}', {m}, {n}, {rc}) END
+      WHEN 5 THEN CASE WHEN {is_p} THEN format('draft/{{}}.{{}}', {yy}, {m}) WHEN {is_f} THEN format('L_{{}}_{{}}', {y}, {m})
+                       ELSE format('v{{}}.{{}}.{{}}', {yy}, {m}, {n}) END
+      WHEN 6 THEN format('v{{}}.{{}}.{{}}', {y}, {mm}, {n})
+      WHEN 7 THEN CASE WHEN {is_p} THEN format('attic:{{}}:{{}}', {m}, {n}) ELSE format('v{{}}.{{}}', {m}, {n}) END
+      ELSE CASE WHEN {is_p} THEN format('early:{{}}.{{}}', {yy}, {m}) WHEN {is_f} THEN format('{{}}.{{}}.{{}}', {yy}, {m}, {n})
+                ELSE format('{{}}.{{}}', {yy}, {m}) END
     END AS rev FROM {source}),
 {name}_v AS (SELECT project, rev, CASE project
-      WHEN 'underscored' THEN translate(rev, '_.', '._')
-      WHEN 'release-dir' THEN CASE WHEN regexp_matches(rev, '^release/') THEN regexp_replace(replace(rev, 'release/', 'v'), '\\.0$', '') END
-      WHEN 'release-caps' THEN CASE WHEN starts_with(rev, 'RELEASE') THEN replace(rev, 'RELEASE-', 'v') END
+      WHEN 'dashed' THEN translate(rev, '-.', '.-')
+      WHEN 'shipped' THEN CASE WHEN suffix(rev, '+ship') THEN 'v' || left(rev, -5) END
       ELSE rev END AS version FROM {name}_raw),
-{name} AS (SELECT *, {_natkey("(CASE WHEN project = 'premarked' AND starts_with(version, 'pre') THEN substr(version, 4) || '-pre' ELSE version END) || '.0'")} AS natkey,
+{name} AS (SELECT *, {_natkey("(CASE WHEN prefix(version, 'early:') THEN substr(version, 7) || '~early' ELSE version END) || '.0'")} AS natkey,
       {_natkey('version')} AS latest_key, contains(version, '-rc') AS is_rc,
-      NOT (project = 'prefixed' AND contains(version, 'cvs')) AS is_listed,
-      CASE WHEN project = 'dated' THEN regexp_matches(version, '^(19|20)') ELSE NOT contains(version, '-rc') END AS is_stable
+      NOT contains(version, 'draft') AS is_listed,
+      CASE WHEN project = 'calendar' THEN contains(version, 'w') ELSE NOT contains(version, '-rc') END AS is_stable
       FROM {name}_v WHERE version IS NOT NULL)"""
 
 
@@ -319,35 +320,35 @@ TAGS = _tags("tags", "orders")
 BOTH_TAGS = TAGS + "," + _tags("done", "(SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))")
 
 
-def _split(pattern: str, major: str, minor: str) -> tuple[str, str]:
-    return tuple(
-        f"CASE WHEN regexp_matches(version, '{pattern}') THEN regexp_replace(version, '{pattern}', '{out}') ELSE 'FIXME' END"
-        for out in (major, minor)
-    )
-
-
-_V = r"^(v[0-9]*)\.([0-9]*)(.*)$"
+# Sections by (project, test, number, text that is split, separator, lead, fixed major, fixed minor).
 _SECTIONS = [
-    ("plain", "true", 0, *_split(_V, r"\1", r"\1.\2")),
-    ("underscored", "true", 0, *_split(r"^([0-9]*)\.([0-9]*)(.*)$", r"v\1", r"\1.\2")),
-    ("release-dir", "true", 0, *_split(_V, r"\1", r"\1.\2")),
-    ("release-caps", "true", 0, *_split(_V, r"\1", r"\1.\2")),
-    ("dated", "NOT starts_with(version, 'v')", 0, *_split(r"^([0-9]{4})([0-9]{2})(.*)$", r"\1", r"\1\2")),
-    ("dated", "starts_with(version, 'v')", 1, *_split(_V, r"\1", r"\1.\2")),
-    ("prefixed", "NOT contains(version, 'vendor') AND NOT contains(version, 'cvs')", 0,
-     *_split(r"^lib-([0-9]*)(\.[0-9]*)(.*)$", r"v\1", r"v\1\2")),
-    ("prefixed", "contains(version, 'vendor')", 1, *_split(r"^vendor/lib-([0-9]*)(\.[0-9]*)(.*)$", "vendor", r"v\1\2")),
-    ("grouped", "starts_with(version, 'v')", 0, *_split(r"^(v[0-9]{4})\.([0-9][0-9])(.*)$", r"\1", r"\1.\2")),
-    ("grouped", "starts_with(version, 'old')", 1, "'old'", "'by-version'"),
-    ("grouped", "starts_with(version, 'LABEL')", 2, "'old'", "'by-date'"),
-    ("constant", "regexp_matches(version, '^v[0-9]')", 0, *_split(_V, r"\1", r"\1.\2")),
-    ("constant", "contains(version, 'release')", 1, *_split(r"^(release)_([0-9_]*)$", "old", r"\1")),
-    ("premarked", "true", 0, *_split(r"^(pre)?([0-9]*)\.([0-9]*)(.*)$", r"v\2", r"v\2.\3")),
+    ("plain", "", 0, "version", ".", "", "", ""),
+    ("dashed", "", 0, "version", ".", "s", "", ""),
+    ("shipped", "", 0, "version", ".", "", "", ""),
+    ("codename", "fox-", 0, "substr(version, 5)", ".", "", "fox", ""),
+    ("codename", "owl-", 1, "substr(version, 5)", ".", "", "owl", ""),
+    ("calendar", "", 0, "version", "w", "", "", ""),
+    ("calendar", "v", 1, "version", ".", "", "", ""),
+    ("labelled", "v", 0, "version", ".", "", "", ""),
+    ("labelled", "L_", 1, "version", ".", "", "labels", "by date"),
+    ("backwards", "", 0, "version", ".", "", "", ""),
+    ("archive", "v", 0, "version", ".", "", "", ""),
+    ("archive", "attic:", 1, "substr(version, 7)", ":", "", "attic", ""),
+    ("early", "", 0, "replace(version, 'early:', '')", ".", "v", "", ""),
 ]
-GROUPED = "grouped AS (" + " UNION ALL ".join(
-    f"SELECT project, {number} AS grp, {major} AS major, {minor} AS minor, version, natkey FROM tags WHERE project = '{project}' AND {test}"
-    for project, test, number, major, minor in _SECTIONS
-) + f""" UNION ALL SELECT DISTINCT project, 2, 'old', 'initial', 'initial', {_natkey("'initial.0'")} FROM tags WHERE project = 'constant')"""
+
+
+def _section(project, starts, number, text, sep, lead, major, minor) -> str:
+    first, second = f"split_part({text}, '{sep}', 1)", f"split_part({text}, '{sep}', 2)"
+    major = f"'{major}'" if major else f"'{lead}' || {first}"
+    minor = f"'{minor}'" if minor else f"'{lead}' || {first} || '{sep}' || regexp_extract({second}, '^[0-9]*')"
+    more = " AND NOT contains(version, 'v')" if (project, number) == ("calendar", 0) else ""
+    return f"""SELECT project, {number} AS grp, {major} AS major, {minor} AS minor, version, natkey
+        FROM tags WHERE project = '{project}' AND prefix(version, '{starts}'){more}"""
+
+
+GROUPED = "grouped AS (" + " UNION ALL ".join(_section(*x) for x in _SECTIONS) + f"""
+    UNION ALL SELECT DISTINCT project, 2, 'attic', 'start', 'start', {_natkey("'start.0'")} FROM tags WHERE project = 'archive')"""
 
 LINKS = "version, path, line::INT AS line"
 
@@ -357,13 +358,13 @@ def oracles() -> dict[str, str]:
     search = f"WITH {CODE}, {IDENT_QUERIES}, {SEARCH}"
     return {
         # versions
-        "versions_natural": f"WITH {TAGS} SELECT project, version, natkey, row_number() OVER (PARTITION BY project ORDER BY natkey, version) AS seq FROM tags",
+        "versions_natural": f"WITH {TAGS} SELECT project, version, row_number() OVER (PARTITION BY project ORDER BY natkey, version) AS seq FROM tags",
         "projects": f"WITH {TAGS} SELECT DISTINCT project FROM tags",
         "versions_new": f"WITH {BOTH_TAGS} SELECT t.project, t.version, t.rev FROM tags t ANTI JOIN done d ON d.project = t.project AND d.version = t.version",
         "versions_rules": f"WITH {TAGS} SELECT project, version, is_rc, is_listed, is_stable FROM tags",
-        "versions_filter": f"WITH {TAGS} SELECT project, version FROM tags WHERE regexp_matches(version, 'V.*RC|LABEL|release', 'i')",
+        "versions_filter": f"WITH {TAGS} SELECT project, version FROM tags WHERE regexp_matches(version, 'V.*RC|l_|ATTIC', 'i')",
         "versions_grouped": f"WITH {TAGS}, {GROUPED} SELECT project, grp, major, minor, version FROM grouped",
-        "version_tree": f"WITH {BOTH_TAGS}, {GROUPED} SELECT g.* FROM grouped g SEMI JOIN done d ON d.project = g.project AND d.version = g.version",
+        "version_tree": f"WITH {BOTH_TAGS}, {GROUPED} SELECT g.project, g.grp, g.major, g.minor, g.version FROM grouped g SEMI JOIN done d ON d.project = g.project AND d.version = g.version",
         "version_tree_nodes": f"""WITH {BOTH_TAGS}, {GROUPED}
             SELECT project, major, minor, count(*) AS n_versions, arg_max(version, (natkey, version)) AS newest
             FROM grouped g SEMI JOIN done d ON d.project = g.project AND d.version = g.version GROUP BY ALL""",
@@ -371,10 +372,11 @@ def oracles() -> dict[str, str]:
                 (SELECT DISTINCT project, version FROM done) d ON d.project = t.project AND d.version = t.version)
             SELECT project,
                 coalesce(arg_max(version, (latest_key, version)) FILTER (ok AND is_stable), arg_min(version, (latest_key, version)) FILTER (is_stable)) AS latest,
-                coalesce(arg_max(version, (natkey, version)) FILTER (ok AND is_listed), arg_min(version, (natkey, version)) FILTER (is_listed)) AS latest_rc
+                CASE WHEN project = 'backwards'
+                  THEN coalesce(arg_min(version, (natkey, version)) FILTER (ok AND is_listed), arg_max(version, (natkey, version)) FILTER (is_listed))
+                  ELSE coalesce(arg_max(version, (natkey, version)) FILTER (ok AND is_listed), arg_min(version, (natkey, version)) FILTER (is_listed)) END AS latest_rc
             FROM x GROUP BY project""",
-        "version_rewrite": f"""WITH {TAGS} SELECT project, rev, version, rev AS rev_again FROM tags WHERE project <> 'release-dir'
-            UNION ALL SELECT project, rev, version, rev FROM tags WHERE project = 'release-dir'""",
+        "version_rewrite": f"WITH {TAGS} SELECT project, rev, version, rev AS rev_again FROM tags",
         "queries_resolved": f"WITH {CODE}, {IDENT_QUERIES} SELECT DISTINCT 'code' AS project, version, ident, family FROM ident_queries",
         # files
         "paths_scan": f"{code} SELECT 'code' AS project, version, path, blob_id, octet_length(encode(content)) AS size FROM paths",

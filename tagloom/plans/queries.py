@@ -158,37 +158,19 @@ def path_queries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# Naming habits of the tag lens, one rule set per project.
+# Naming habits of the tag lens: nine invented projects.
 TAG_RULES = (
     V.VersionRules("plain"),
-    V.VersionRules("underscored", swap=("_.", "._"),
-                   groups=(V.Group(pattern=r"^([0-9]*)\.([0-9]*)(.*)$", major="v$1"),)),
-    V.VersionRules("release-dir", rev_keep=r"^release/[0-9]*\.[0-9]*\.[0-9]*$",
-                   to_version=((r"^release/", "v"), (r"\.0$", "")),
-                   to_rev=((r"(v[0-9]*\.[0-9]*)$", "$1.0"), ("^v", "release/"))),
-    V.VersionRules("release-caps", rev_keep="^RELEASE", to_version=(("^RELEASE-", "v"),),
-                   to_rev=(("^v", "RELEASE-"),)),
-    V.VersionRules("dated", latest_keep="^(19|20)", latest_drop="", groups=(
-        V.Group(drop="^v", pattern=r"^([0-9]{4})([0-9]{2})(.*)$", minor="$1$2"),
-        V.Group(keep="^v"),
-    )),
-    V.VersionRules("prefixed", list_drop="cvs", groups=(
-        V.Group(keep="lib", drop="vendor|cvs", pattern=r"^lib-([0-9]*)(\.[0-9]*)(.*)$", major="v$1", minor="v$1$2"),
-        V.Group(keep="vendor", drop="cvs", pattern=r"^vendor/lib-([0-9]*)(\.[0-9]*)(.*)$",
-                major="vendor", minor="v$1$2"),
-    )),
-    V.VersionRules("grouped", groups=(
-        V.Group(keep="^v", pattern=r"^(v[0-9]{4})\.([0-9][0-9])(.*)$"),
-        V.Group(keep="^old", pattern="^.*$", major="old", minor="by-version"),
-        V.Group(keep="^LABEL", pattern="^.*$", major="old", minor="by-date"),
-    )),
-    V.VersionRules("constant", groups=(
-        V.Group(keep="^v[0-9].*"),
-        V.Group(keep="release", pattern=r"^(release)_([0-9_]*)$", major="old", minor="$1"),
-    ), constant=(("old", "initial", "initial"),)),
-    # Marked pre-releases sort before the release they lead up to.
-    V.VersionRules("premarked", order_as=((r"^pre(.*)$", "$1-pre"),),
-                   groups=(V.Group(pattern=r"^(pre)?([0-9]*)\.([0-9]*)(.*)$", major="v$2", minor="v$2.$3"),)),
+    V.VersionRules("dashed", swap=("-.", ".-"), groups=(V.Group(lead="s"),)),
+    V.VersionRules("shipped", rev_keep=r"\+ship$", to_version=((r"\+ship$", ""), ("^", "v")), to_rev=(("^v", ""), ("$", "+ship"))),
+    V.VersionRules("codename", groups=(V.Group("fox-", strip="fox-", major="fox"), V.Group("owl-", strip="owl-", major="owl"))),
+    V.VersionRules("calendar", latest_keep="w", latest_drop="", groups=(V.Group(without="v", sep="w"), V.Group("v"))),
+    V.VersionRules("labelled", list_drop="draft", groups=(V.Group("v"), V.Group("L_", major="labels", minor="by date"))),
+    V.VersionRules("backwards", list_reversed=True),
+    V.VersionRules("archive", groups=(V.Group("v"), V.Group("attic:", strip="attic:", sep=":", major="attic")),
+                   constant=(("attic", "start", "start"),)),
+    # What is marked as early comes before the release it leads up to.
+    V.VersionRules("early", order_as=(("^early:(.*)$", "$1~early"),), groups=(V.Group(strip="early:", lead="v"),)),
 )
 
 
@@ -207,7 +189,7 @@ def indexed_tags(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def versions_natural(spark, d):
-    return V.sequence_versions(tag_versions(spark, d)).select("project", "version", "natkey", "seq")
+    return V.sequence_versions(tag_versions(spark, d)).select("project", "version", "seq")
 
 
 @query
@@ -227,7 +209,7 @@ def versions_rules(spark, d):
 
 @query
 def versions_filter(spark, d):
-    return V.filter_versions(tag_versions(spark, d), "V.*RC|LABEL|release").select("project", "version")
+    return V.filter_versions(tag_versions(spark, d), "V.*RC|l_|ATTIC").select("project", "version")
 
 
 @query
@@ -238,7 +220,7 @@ def versions_grouped(spark, d):
 @query
 def version_tree(spark, d):
     return V.version_tree(tag_versions(spark, d), indexed_tags(spark, d), TAG_RULES).select(
-        "project", "grp", "major", "minor", "version", "natkey"
+        "project", "grp", "major", "minor", "version"
     )
 
 

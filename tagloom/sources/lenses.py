@@ -277,25 +277,25 @@ def raw_tags(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) ->
     # Per project the shapes of tags for order status P, F and any other.
     shapes = {
         "plain": ("v<yy>.<m>.<n><rc>", "v<yy>.<m>.<n>", "v<yy>.<m>.<n>"),
-        "underscored": ("<d>_<m>_<n>",) * 3,
-        "release-dir": ("stable/<yy>", "release/<yy>.<m>.<k3>", "release/<yy>.<m>.<k3>"),
-        "release-caps": ("beta-<yy>.<m>", "RELEASE-<yy>.<m>.<n>", "RELEASE-<yy>.<m>.<n>"),
-        "dated": ("v<m>.<n><rc>", "v<m>.<n>", "v<m>.<n>"),
-        "prefixed": ("cvs/lib-<yy>_<m>", "vendor/lib-<yy>.<m>.<n>", "lib-<yy>.<m>.<n>"),
-        "grouped": ("LABEL_<y>_<m>", "old-v1.<m>.<n>", "v<y>.<mm>.<n>"),
-        "constant": ("release_<m>_<n>", "v<m>.<n>", "v<m>.<n>"),
-        "premarked": ("<yy>.<m>-pre<r>", "pre<yy>.<m>", "<yy>.<m>"),
+        "dashed": ("<d>-<m>-<n>",) * 3,
+        "shipped": ("<yy>.<m>+try", "<yy>.<m>.<k3>+ship", "<yy>.<m>.<k3>+ship"),
+        "codename": ("fox-<yy>.<m>", "owl-<yy>.<m>.<n>", "fox-<yy>.<m>.<n>"),
+        "calendar": ("v<m>.<n><rc>", "v<m>.<n>", "v<m>.<n>"),
+        "labelled": ("draft/<yy>.<m>", "L_<y>_<m>", "v<yy>.<m>.<n>"),
+        "backwards": ("v<y>.<mm>.<n>",) * 3,
+        "archive": ("attic:<m>:<n>", "v<m>.<n>", "v<m>.<n>"),
+        "early": ("early:<yy>.<m>", "<yy>.<m>.<n>", "<yy>.<m>"),
     }
     which = (k % len(shapes)).cast("int")
     status = F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(3)
-    shape = F.when((which == 4) & (k % 2 == 0), "<y><mm>.<n>").otherwise(
+    shape = F.when((which == 4) & (k % 2 == 0), "<y>w<mm>.<n>").otherwise(
         F.element_at(F.array(*[F.lit(s) for three in shapes.values() for s in three]), which * 3 + status)
     )
     holes = {
         "<yy>": _s(year % 100), "<y>": _s(year), "<d>": _s(year % 10),
         "<mm>": F.lpad(_s(month), 2, "0"), "<m>": _s(month),
         "<n>": _s(F.floor(k / len(shapes)) % 50), "<k3>": _s(k % 3),
-        "<rc>": _cat("-rc", _s(k % 5 + 1)), "<r>": _s(k % 5 + 1),
+        "<rc>": _cat("-rc", _s(k % 5 + 1)),
     }
     rev = shape
     for hole, value in holes.items():
