@@ -42,6 +42,11 @@ def closed_lines(text: Column) -> Column:
     return F.slice(split_lines(text), F.lit(1), F.size(split_lines(text)) - 1)
 
 
+def trim_blanks(text: Column) -> Column:
+    """The text without blank space before it."""
+    return F.ltrim(text, F.lit(" \t\r\n\f\x0b"))
+
+
 def count_newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -134,6 +139,8 @@ def mask_for_statements(text: Column) -> Column:
 
 
 # --- validation --------------------------------------------------------------
+#
+# The characters that names and paths of a question may consist of.
 
 
 def valid_project(name: Column) -> Column:

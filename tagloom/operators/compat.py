@@ -6,16 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.paths import is_binding
-from tagloom.functions.text import closed_lines
+from tagloom.functions.text import closed_lines, trim_blanks
 from tagloom.schema import COMP_FAMILIES
 
-_IN_CODE = r"""\.compatible\s*=\s*"([^"]+?)\""""
-_STRING = r'"([^"]+?)"'
-_DTS_LINE = r"^\s*compatible"
-#: Words with at most one comma inside, Unicode letters included.
+# Fixed value: a word of a bindings document, Unicode letters included, at most one comma inside.
 _WORD = r"(?U)[\w-]+,?[\w-]+"
 
 
+def binding_strings(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
+
+
+def quoted_texts(line: Column) -> Column:
+    """Texts between quotes, in order: every second piece that a quote follows."""
+    pieces = F.split(line, '"')
+    return F.filter(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda t, i: (i % 2 == 1) & (t != ""))
+
+
+def strings_behind(line: Column, word: str) -> Column:
+    """Quoted texts behind the first ``word`` of a line; none without it."""
+    at = F.locate(word, line)
+    return F.when(at > 0, quoted_texts(F.substring(line, at + len(word), F.length(line)))).otherwise(F.array().cast("array<string>"))
+
+
+def strings_in_code(line: Column) -> Column:
+    """What members called ``.compatible`` are set to: the quoted text right behind an equals sign."""
+    behind = F.split(line, "[.]compatible")
+    values = F.transform(F.slice(behind, F.lit(2), F.size(behind)), trim_blanks)
+    set_to = F.transform(F.filter(values, lambda v: v.startswith("=")), lambda v: trim_blanks(F.substring(v, F.lit(2), F.length(v))))
+    return F.flatten(F.transform(F.filter(set_to, lambda v: v.startswith('"')), lambda v: F.slice(quoted_texts(v), F.lit(1), F.lit(1))))
+
+
 def _lines(blobs: DataFrame, pretest: Column | None = None) -> DataFrame:
     some = blobs if pretest is None else blobs.where(pretest)
     return some.select(
@@ -44,8 +65,8 @@ def extract_comps(blobs: DataFrame, projects: DataFrame | None = None) -> DataFr
         blobs, F.col("family").isin(*COMP_FAMILIES) & F.col("content").contains("compatible")
     ).where(F.col("_line").contains("compatible"))
     in_code = F.col("family") == "C"
-    found = F.when(in_code, F.regexp_extract_all("_line", F.lit(_IN_CODE), F.lit(1))).when(
-        F.col("_line").rlike(_DTS_LINE), F.regexp_extract_all("_line", F.lit(_STRING), F.lit(1))
+    found = F.when(in_code, strings_in_code(F.col("_line"))).when(
+        trim_blanks(F.col("_line")).startswith("compatible"), quoted_texts(F.col("_line"))
     )
     return _postings(lines.withColumn("_found", found))
 
@@ -59,7 +80,7 @@ def binding_blobs(blobs: DataFrame, paths: DataFrame) -> DataFrame:
 def binding_words(blobs: DataFrame, paths: DataFrame) -> DataFrame:
     """Every word of the bindings documents that could be a compatible string."""
     lines = _lines(binding_blobs(blobs, paths).withColumn("family", F.lit("B")))
-    return _postings(lines.withColumn("_found", F.regexp_extract_all("_line", F.lit(_WORD), F.lit(0))))
+    return _postings(lines.withColumn("_found", binding_strings(F.col("_line"))))
 
 
 def extract_comp_docs(blobs: DataFrame, paths: DataFrame, comps: DataFrame) -> DataFrame:

@@ -33,11 +33,16 @@ class DefRule:
 
 DEFINE_RULE = DefRule("C", r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)", "macro", masked=True)
 
+def called(macro: str, end: str, prefix: str = "") -> DefRule:
+    """A macro whose first argument names a function; ``end``: what may follow the argument."""
+    return DefRule("C", rf"^\s*{macro}\(\s*([A-Za-z0-9_]+)\s*[{end}]", "function", prefix)
+
+
 #: Macros, assembler entry points, system calls, Kconfig symbols, DTS labels.
 DEFAULT_RULES = (
     DEFINE_RULE,
-    DefRule("C", r"^\s*ENTRY\((\w+)\)", "function"),
-    DefRule("C", r"^SYSCALL_DEFINE[0-9]\(\s*(\w+)\W", "function", prefix="sys_"),
+    called("ENTRY", ")"),
+    called("SYSCALL_DEFINE[0-9]", ",)", prefix="sys_"),
     DefRule("K", r"^[ \t]*(?:menu)?config[ \t]+(\w+)[ \t]*$", "config", prefix="CONFIG_"),
     DefRule("D", r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)", "macro", masked=True),
     DefRule("D", r"^[ \t]*([A-Za-z_]\w*)[ \t]*:(?:[^:]|$)", "label", masked=True),

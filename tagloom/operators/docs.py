@@ -17,10 +17,44 @@ from tagloom.functions.text import split_lines
 from tagloom.operators.defs import DEFINE_RULE, extract_tags
 from tagloom.schema import DOC_FAMILIES
 
-_OPENER = r"^[ \t]*/\*\*(?:[ \t]|$)"
-_SKIP = r"^[ \t]*$|^[ \t]+\*/|^[ \t]+\*(?:[ \t]|$)"
-_LENIENT = _SKIP + r"|^[ \t]+\*\*/"
-_HEADER = r"^[ \t]+\*[ \t]+(?:(?:struct|enum|union|typedef)[ \t]+)?([A-Za-z_]\w*)(?:[ \t(:]|$)"
+_KINDS = ("struct", "enum", "union", "typedef")
+
+
+def _begins(text: Column, mark: str) -> Column:
+    """``mark`` alone, or with blank space behind it."""
+    return (text == mark) | text.startswith(mark + " ") | text.startswith(mark + "\t")
+
+
+def _body(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t"))
+
+
+def _opens(line: Column) -> Column:
+    return _begins(_body(line), "/**")
+
+
+def _passed_over(line: Column, lenient_closer: bool) -> Column:
+    """Empty lines, and indented lines of a comment or with its end."""
+    body = _body(line)
+    star = body.startswith("*/") | _begins(body, "*")
+    if lenient_closer:
+        star = star | body.startswith("**/")
+    return (body == "") | ((body != line) & star)
+
+
+def _is_name(text: Column) -> Column:
+    return F.coalesce(text.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.lit(False))
+
+
+def header_name(line: Column) -> Column:
+    """The name that the first line of a documentation comment speaks of, null if none: its first word,
+    or the second behind a kind of type, up to a bracket or colon."""
+    body = _body(line)
+    words = F.transform(F.split(_body(F.substring(body, F.lit(2), F.length(body))), "[ \t]+"), lambda w: F.get(F.split(w, "[(:]"), F.lit(0)))
+    first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    typed = F.get(F.split(body, "[ \t]+"), F.lit(1)).isin(*_KINDS)
+    name = F.when(typed & _is_name(second), second).when(_is_name(first), first)
+    return F.when((body != line) & _begins(body, "*"), name)
 
 
 def line_flags(text: Column, lenient_closer: bool = False) -> Column:
@@ -29,8 +63,8 @@ def line_flags(text: Column, lenient_closer: bool = False) -> Column:
     return F.array_join(
         F.transform(
             split_lines(text),
-            lambda x: F.when(x.rlike(_OPENER), "o")
-            .when(x.rlike(_LENIENT if lenient_closer else _SKIP), "s")
+            lambda x: F.when(_opens(x), "o")
+            .when(_passed_over(x, lenient_closer), "s")
             .when(x.rlike("^[A-Za-z_]"), "a")
             .otherwise("n"),
         ),
@@ -53,7 +87,7 @@ def doc_blocks(blobs: DataFrame, lenient_closer: bool = False) -> DataFrame:
     runs = with_flags.select(
         "project", "blob_id", "_lines",
         F.filter(
-            F.transform("_lines", lambda x, i: F.when(x.rlike(_OPENER), i + 1)), lambda v: v.isNotNull()
+            F.transform("_lines", lambda x, i: F.when(_opens(x), i + 1)), lambda v: v.isNotNull()
         ).alias("_at"),
         F.regexp_extract_all(flags, F.lit("o[^o]*"), F.lit(0)).alias("_runs"),
     )
@@ -73,9 +107,8 @@ def doc_blocks(blobs: DataFrame, lenient_closer: bool = False) -> DataFrame:
             )
         ).alias("_b"),
     )
-    header = F.col("_b.header")
-    return candidates.where(header.rlike(_HEADER)).select(
-        "project", F.regexp_extract(header, _HEADER, 1).alias("ident"), "blob_id",
+    return candidates.withColumn("_name", header_name(F.col("_b.header"))).where("_name IS NOT NULL").select(
+        "project", F.col("_name").alias("ident"), "blob_id",
         F.col("_b.line").cast("int").alias("line"), F.col("_b.stop").cast("int").alias("stop"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -11,64 +12,161 @@ from pyspark.sql import functions as F
 from tagloom.functions.paths import (
     C_EXTENSIONS, DTS_EXTENSIONS, dir_name, extension, is_binding, join_path, stem,
 )
-from tagloom.functions.text import split_lines
+from tagloom.functions.text import split_lines, trim_blanks
+from tagloom.operators.compat import binding_strings, strings_behind, strings_in_code
 from tagloom.operators.listing import existing_paths
 
 
+Reader = Callable[[Column], Column]
+
+
 @dataclass(frozen=True)
 class LinkRule:
     """One kind of link.
 
-    Applies to files by ``extensions``, ``stems`` or ``suffix`` (of the path),
-    and not to paths matching ``except_paths``. On each line that holds ``hint``,
-    behind ``after`` if given, ``pattern`` group 1 is the link text. The target is an
-    identifier of family ``ident_family``, or a path: ``target`` with ``{}`` for
-    the text, taken from the directory of the file or, when ``absolute``, from
-    the root. ``check`` keeps links to existing paths only; several ``target``
-    forms are then tried in order.
+    Applies to files by ``extensions``, ``stems`` or ``suffix`` (of the path), and not to paths matching
+    ``except_paths``. ``read`` makes an array of link texts of a line that holds ``hint``; a line other
+    than the first comes with a newline before it. The target is an identifier of family
+    ``ident_family``, or a path: ``target`` with ``{}`` for the text, taken from the directory of the file
+    or, when ``absolute``, from the root. ``check`` keeps links to existing paths only; several ``target``
+    forms are then tried in order. ``gated`` rules hold in projects with devicetree support only.
     """
 
     name: str
-    pattern: str
+    read: Reader
     extensions: tuple[str, ...] = ()
     stems: tuple[str, ...] = ()
     suffix: str = ""
     bindings: bool = False
     except_paths: str = ""
-    after: str = ""
-    skip_text: str = ""
+    skip_prefix: str = ""
     ident_family: str = ""
     target: tuple[str, ...] = ("{}",)
     absolute: bool = False
     check: bool = False
     hint: str = ""
+    gated: bool = False
+
+
+# --- readers -----------------------------------------------------------------
+
+_NONE = "array<string>"
+
+
+def _only(condition: Column, text: Column) -> Column:
+    return F.when(condition, F.array(text)).otherwise(F.array().cast(_NONE))
+
+
+def named(keyword: str, opening: str, closing: str, last: bool = False) -> Reader:
+    """The text between ``opening`` and the next (or last) ``closing`` of a line that begins with ``keyword``."""
+
+    def read(line: Column) -> Column:
+        body = trim_blanks(line)
+        rest = trim_blanks(F.substring(body, F.lit(len(keyword) + 1), F.length(body)))
+        inner = F.substring(rest, F.lit(2), F.length(rest))
+        text = F.substring_index(inner, closing, 1)
+        if last:
+            text = F.substring(inner, F.lit(1), F.length(inner) - F.length(F.substring_index(inner, closing, -1)) - 1)
+        return _only(body.startswith(keyword) & rest.startswith(opening) & inner.contains(closing), text)
+
+    return read
+
+
+def words(line: Column) -> Column:
+    """Words with blank space before them."""
+    parts = F.split(line, "[ \t\r\n]+")
+    return F.slice(parts, F.lit(2), F.size(parts))
+
+
+def _is_path(text: Column, signs: str = "-") -> Column:
+    return text.rlike(f"^[A-Za-z0-9_/{signs}]+$")
+
+
+def _file_path(text: Column) -> Column:
+    """A directory and a file name: ``a/b.c``, not from the root."""
+    name = F.substring_index(text, "/", -1)
+    folder = F.substring(text, F.lit(1), F.length(text) - F.length(name))
+    return text.contains("/") & ~text.startswith("/") & (name != "") & _is_path(text, ".-") & ~folder.contains(".")
+
+
+def _values(line: Column) -> Column:
+    """What stands behind blank space or an equals sign, without a ``-I`` before it, up to a bracket."""
+    parts = F.flatten(F.transform(words(line), lambda w: F.split(w, "=")))
+    return F.transform(parts, lambda p: F.substring_index(F.when(p.startswith("-I"), F.substring(p, F.lit(3), F.length(p))).otherwise(p), ")", 1))
+
+
+def make_dirs(line: Column) -> Column:
+    found = F.filter(words(line), lambda w: w.endswith("/") & (F.length(w) > 1) & _is_path(w))
+    return F.transform(found, lambda w: F.substring(w, F.lit(1), F.length(w) - 1))
+
+
+def make_dtbs(line: Column) -> Column:
+    before = lambda w: F.substring(w, F.lit(1), F.length(w) - F.length(F.substring_index(w, ".dtb", -1)) - 4)
+    return F.filter(F.transform(F.filter(words(line), lambda w: w.contains(".dtb")), before), lambda t: _is_path(t, "+.-"))
+
+
+def make_files(line: Column) -> Column:
+    return F.filter(_values(line), _file_path)
+
+
+def make_objects(line: Column) -> Column:
+    """``x.o``, unless it is assigned to."""
+    w = words(line)
+    ended = lambda t: ~F.substring(t, F.length(F.substring_index(t, ".o", 1)) + 3, F.lit(1)).rlike("[A-Za-z0-9_]")
+    assigned = lambda i: F.coalesce(F.get(w, i + 1).isin("=", ":="), F.lit(False))
+    found = F.filter(w, lambda t, i: t.contains(".o") & ended(t) & ~(t.endswith(".o") & assigned(i)))
+    return F.filter(F.transform(found, lambda t: F.substring_index(t, ".o", 1)), lambda t: _is_path(t))
+
+
+def make_from_root(line: Column) -> Column:
+    root = "$(srctree)/"
+    # The bracket of the variable would end a value: it is taken off first.
+    plain = F.replace(line, F.lit(root), F.lit("\x01"))
+    found = F.filter(_values(plain), lambda t: t.startswith("\x01"))
+    return F.filter(F.transform(found, lambda t: F.substring(t, F.lit(2), F.length(t))), lambda t: ~t.contains("/") & _is_path(t, ".-") | _file_path(t))
+
+
+def make_subdirs(line: Column) -> Column:
+    w = words(line)
+    at = F.filter(F.transform(w, lambda t, i: F.when(t.endswith("subdir-y") & F.get(w, i + 1).isin("+=", ":="), F.get(w, i + 2))), lambda t: t.isNotNull())
+    return F.filter(F.transform(at, lambda t: F.regexp_extract(t, "^[A-Za-z0-9_-]+", 0)), lambda t: t != "")
+
+
+def config_names(line: Column) -> Column:
+    behind = F.split(line, "CONFIG_")
+    tails = F.transform(F.slice(behind, F.lit(2), F.size(behind)), lambda t: F.regexp_extract(t, "^[A-Za-z0-9_]+", 0))
+    return F.transform(F.filter(tails, lambda t: t != ""), lambda t: F.concat(F.lit("CONFIG_"), t))
+
+
+def matches(pattern: str) -> Reader:
+    """Group 1 of every match of a pattern of the user's own."""
+    return lambda line: F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+
+
+def plain_source(line: Column) -> Column:
+    return F.filter(named("source", '"', '"')(line), lambda t: _is_path(t, ".-"))
 
 
 _CODE = C_EXTENSIONS + DTS_EXTENSIONS
 _MAKE = ("Makefile",)
 
-COMP_CODE = LinkRule("comp_code", r"""\.compatible\s*=\s*"([^"]+?)\"""", extensions=C_EXTENSIONS,
-                     ident_family="B", hint="compatible")
-COMP_DTS = LinkRule("comp_dts", r'"([^"]+?)"', extensions=DTS_EXTENSIONS, after="compatible",
-                    ident_family="B", hint="compatible")
-COMP_DOCS = LinkRule("comp_docs", r"(?U)([\w-]+,?[\w-]+)", bindings=True, ident_family="B")
-INCLUDE = LinkRule("include", r'^\s*#include\s*"([^"]*)"', extensions=_CODE, hint="#include")
-SYS_INCLUDE = LinkRule("sysinclude", r"^\s*#include\s*<([^>]*)>", extensions=_CODE, skip_text="^asm/",
+COMP_CODE = LinkRule("comp_code", strings_in_code, extensions=C_EXTENSIONS, ident_family="B", hint="compatible", gated=True)
+COMP_DTS = LinkRule("comp_dts", lambda line: strings_behind(line, "compatible"), extensions=DTS_EXTENSIONS,
+                    ident_family="B", hint="compatible", gated=True)
+COMP_DOCS = LinkRule("comp_docs", binding_strings, bindings=True, ident_family="B", gated=True)
+INCLUDE = LinkRule("include", named("#include", '"', '"'), extensions=_CODE, hint="#include")
+SYS_INCLUDE = LinkRule("sysinclude", named("#include", "<", ">"), extensions=_CODE, skip_prefix="asm/",
                        target=("include/{}",), absolute=True, check=True, hint="#include")
-DEFCONFIG = LinkRule("defconfig", r"(CONFIG_\w+)", suffix="defconfig", ident_family="K", hint="CONFIG_")
-CONFIG_IN = LinkRule("config_in", r'^\s*source\s*"(.*)"', stems=("Config",), absolute=True, hint="source")
-KCONFIG = LinkRule("kconfig", r'^\s*source\s*"([\w/_.-]+)"', stems=("Kconfig",), absolute=True, hint="source")
-DTSI = LinkRule("dtsi", r'^\s*/include/\s*"([^"]*)"', extensions=DTS_EXTENSIONS, hint="/include/")
-MAKE_DIR = LinkRule("make_dir", r"(?<=\s)([-\w/]+)/(?=\s|$)", stems=_MAKE, target=("{}/Makefile",), check=True, hint="/")
-MAKE_DTB = LinkRule("make_dtb", r"(?<=\s)([-\w/+.]+)\.dtb", stems=_MAKE, target=("{}.dts",), hint=".dtb")
-MAKE_FILE = LinkRule("make_file", r"(?:(?<=[\s=])|(?<=-I))(?!/)([-\w/]+/[-\w.]+)(?=\s|\)|$)", stems=_MAKE,
-                     check=True, hint="/")
-MAKE_O = LinkRule("make_o", r"(?<=\s)([-\w/]+)\.o(?!\w)(?! :?=)", stems=_MAKE, target=("{}.c",), hint=".o")
-MAKE_SRCTREE = LinkRule("make_srctree",
-                        r"(?:(?<=[\s=])|(?<=-I))\$\(srctree\)/((?:[-\w/]+/)?[-\w.]+)(?=\s|\)|$)",
-                        stems=_MAKE, absolute=True, check=True, hint="$(srctree)/")
-MAKE_SUBDIR = LinkRule("make_subdir", r"subdir-y\s+(?:\+=|:=)\s+([-\w]+)", stems=_MAKE,
-                       target=("{}/Makefile",), hint="subdir-y")
+DEFCONFIG = LinkRule("defconfig", config_names, suffix="defconfig", ident_family="K", hint="CONFIG_")
+CONFIG_IN = LinkRule("config_in", named("source", '"', '"', last=True), stems=("Config",), absolute=True, hint="source")
+KCONFIG = LinkRule("kconfig", plain_source, stems=("Kconfig",), absolute=True, hint="source")
+DTSI = LinkRule("dtsi", named("/include/", '"', '"'), extensions=DTS_EXTENSIONS, hint="/include/")
+MAKE_DIR = LinkRule("make_dir", make_dirs, stems=_MAKE, target=("{}/Makefile",), check=True, hint="/")
+MAKE_DTB = LinkRule("make_dtb", make_dtbs, stems=_MAKE, target=("{}.dts",), hint=".dtb")
+MAKE_FILE = LinkRule("make_file", make_files, stems=_MAKE, check=True, hint="/")
+MAKE_O = LinkRule("make_o", make_objects, stems=_MAKE, target=("{}.c",), hint=".o")
+MAKE_SRCTREE = LinkRule("make_srctree", make_from_root, stems=_MAKE, absolute=True, check=True, hint="$(srctree)/")
+MAKE_SUBDIR = LinkRule("make_subdir", make_subdirs, stems=_MAKE, target=("{}/Makefile",), hint="subdir-y")
 
 DEFAULT_LINKS = (COMP_CODE, COMP_DTS, COMP_DOCS, INCLUDE)
 KCONFIG_LINKS = (KCONFIG, DEFCONFIG)
@@ -98,36 +196,17 @@ def applies(rule: LinkRule) -> Column:
 def _found(rule: LinkRule) -> Column:
     """Links of one rule on one line, as an array of structs."""
     line = F.col("_line")
-    where = F.regexp_extract(line, rule.after + "(.*)$", 1) if rule.after else line
-    texts = F.regexp_extract_all(where, F.lit(rule.pattern), F.lit(1))
-    test = F.col(f"_on_{rule.name}")
-    if rule.hint:
-        test = test & line.contains(rule.hint)
-    structs = F.transform(
-        texts,
-        lambda t: F.struct(F.lit(rule.name).alias("rule"), t.alias("text")),
-    )
-    if rule.skip_text:
-        structs = F.filter(structs, lambda s: ~s["text"].rlike(rule.skip_text))
-    return F.when(test, structs).otherwise(F.array().cast("array<struct<rule:string,text:string>>"))
+    structs = F.transform(rule.read(line), lambda t: F.struct(F.lit(rule.name).alias("rule"), t.alias("text")))
+    if rule.skip_prefix:
+        structs = F.filter(structs, lambda s: ~s["text"].startswith(rule.skip_prefix))
+    if not rule.hint:
+        return structs
+    return F.when(line.contains(rule.hint), structs).otherwise(F.array().cast("array<struct<rule:string,text:string>>"))
 
 
-def raw_links(paths: DataFrame, blobs: DataFrame, rules) -> DataFrame:
-    """Link texts per blob, before targets are worked out.
-
-    A blob is searched once, for the union of the rules of its paths; its paths
-    come in again afterwards without content.
-    """
-    rules = tuple(rules)
-    on = [F.max(applies(r)).alias(f"_on_{r.name}") for r in rules]
-    any_on = reduce(lambda a, b: a | b, [F.col(f"_on_{r.name}") for r in rules])
-    wanted = paths.groupBy("project", "blob_id").agg(*on).where(any_on)
+def _texts(blobs: DataFrame, rules) -> DataFrame:
     return (
-        wanted.join(blobs.select("project", "blob_id", "content"), ["project", "blob_id"])
-        .select(
-            "project", "blob_id", *[f"_on_{r.name}" for r in rules],
-            F.posexplode(split_lines(F.col("content"))).alias("_pos", "_line"),
-        )
+        blobs.select("project", "blob_id", F.posexplode(split_lines(F.col("content"))).alias("_pos", "_line"))
         # The newline before a line counts as blank space in front of a word.
         .withColumn("_line", F.when(F.col("_pos") > 0, F.concat(F.lit("\n"), "_line")).otherwise(F.col("_line")))
         .select(
@@ -138,11 +217,40 @@ def raw_links(paths: DataFrame, blobs: DataFrame, rules) -> DataFrame:
     )
 
 
-def extract_links(paths: DataFrame, blobs: DataFrame, rules, comps: DataFrame | None = None) -> DataFrame:
+def raw_links(paths: DataFrame, blobs: DataFrame, rules) -> DataFrame:
+    """Link texts per blob, before targets are worked out.
+
+    Texts are read where the blobs lie, from blobs that hold a rule's hint; content never moves, only what was
+    read meets the paths. Rules without a hint read blobs that one of their paths asks for.
+    """
+    hinted, free = [r for r in rules if r.hint], [r for r in rules if not r.hint]
+    out = None
+    if hinted:
+        some = reduce(lambda a, b: a | b, [F.col("content").contains(h) for h in sorted({r.hint for r in hinted})])
+        out = _texts(blobs.where(some), hinted)
+    if free:
+        ids = paths.where(reduce(lambda a, b: a | b, [applies(r) for r in free])).select("project", "blob_id").distinct()
+        more = _texts(blobs.join(ids, ["project", "blob_id"], "left_semi"), free)
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
+def rules_of(spark, by_project: dict[str, tuple[LinkRule, ...]]) -> DataFrame:
+    """``(project, rule)``: which rules hold in which project, for :func:`extract_links`."""
+    rows = [(project, r.name) for project, rules in by_project.items() for r in rules]
+    return spark.createDataFrame(rows, "project string, rule string")
+
+
+def extract_links(
+    paths: DataFrame, blobs: DataFrame, rules, comps: DataFrame | None = None,
+    allowed: DataFrame | None = None, dts_projects: DataFrame | None = None,
+) -> DataFrame:
     """``(project, version, path, line, rule, text, target_kind, target)``.
 
     Rules with a check keep only links whose target exists in the same version;
-    words of bindings documents count when ``comps`` holds them.
+    words of bindings documents count when ``comps`` holds them. ``allowed`` (project, rule) names the rules
+    of each project, ``dts_projects`` (project) those where gated rules hold; without them all rules hold
+    everywhere. Rules of the same kind with other options per project take names of their own.
     """
     rules = tuple(rules)
     rule_is = lambda r: F.col("rule") == r.name
@@ -151,6 +259,13 @@ def extract_links(paths: DataFrame, blobs: DataFrame, rules, comps: DataFrame |
         F.array_compact(F.array(*[F.when(applies(r), F.lit(r.name)) for r in rules])).alias("_rules"),
     ).where(F.size("_rules") > 0)
     found = raw_links(paths, blobs, rules)
+    # Both tables are as small as the code that names projects and rules.
+    if allowed is not None:
+        found = found.join(F.broadcast(allowed.select("project", "rule").distinct()), ["project", "rule"], "left_semi")
+    if dts_projects is not None:
+        gated = F.col("rule").isin(*[r.name for r in rules if r.gated])
+        with_dts = F.broadcast(dts_projects.select("project").distinct().withColumn("_dts", F.lit(True)))
+        found = found.join(with_dts, "project", "left").where(~gated | F.col("_dts").isNotNull()).drop("_dts")
     if comps is not None:
         docs = [r.name for r in rules if r.bindings]
         is_doc = F.col("rule").isin(*docs) if docs else F.lit(False)

@@ -788,7 +788,7 @@ def links_make_subdir(spark, d):
 def links_html(spark, d):
     """A rule of the user's own: rooted page links, with a flag whether a page is there."""
     index = web_index(spark, d)
-    href = L.LinkRule("href", r'href="(/[^"]*)"', absolute=True, hint="href")
+    href = L.LinkRule("href", L.matches(r'href="(/[^"]*)"'), absolute=True, hint="href")
     paths = index["paths"]
     there = LS.existing_paths(paths).select(
         "version", F.col("path").alias("target"), F.lit(True).alias("_there")
