@@ -14,42 +14,68 @@ def listing(files: DataFrame) -> DataFrame:
     return files.select("project", "version", "path", "blob_id", "kind", "perm", "size")
 
 
-def build_blobs(files: DataFrame) -> DataFrame:
+def first_names(files: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """``(project, blob_id, path, first_version, first_key)``: where each content was first seen, oldest
+    version, then smallest path.
+
+    ``versions(project, version, natkey, seq, is_reversed)``, as :func:`sequence_versions` numbers them,
+    gives the project's own order (versions that it lacks come last, in plain order); without it versions
+    are in natural order. Content is not read.
+    """
+    rows = files.select("project", "blob_id", "version", "path").withColumn("first_key", release_key(F.col("version")))
+    place = F.lit(0)
+    if versions is not None:
+        own = versions.select(
+            "project", "version", F.col("natkey").alias("_own"),
+            F.when(F.col("is_reversed"), -F.col("seq")).otherwise(F.col("seq")).alias("_place"),
+        )
+        rows = rows.join(own, ["project", "version"], "left").withColumn("first_key", F.coalesce("_own", "first_key"))
+        place = F.coalesce("_place", F.lit(2**62))
+    first = Window.partitionBy("project", "blob_id").orderBy(place, "first_key", "path")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(
+        "project", "blob_id", "path", F.col("version").alias("first_version"), "first_key"
+    )
+
+
+def build_blobs(files: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """One row per distinct content.
 
-    The name of a blob is the one it was first seen under (oldest version, then
-    smallest path), and its family follows that name. ``row_number() = 1`` is
-    cut to one row per blob before the shuffle, so copies, however many, never
-    meet in one task.
+    The name of a blob is the one it was first seen under, and its family follows that name.
+    ``row_number() = 1`` is cut to one row per blob before the shuffle, so copies, however many, never
+    meet in one task. With ``versions`` the names are found from the listing alone and meet one copy of each
+    content afterwards.
     """
-    first = Window.partitionBy("project", "blob_id").orderBy("first_key", "path")
-    return (
-        files.withColumn("first_key", release_key(F.col("version")))
-        .withColumn("_n", F.row_number().over(first))
-        .where("_n = 1")
-        .select(
-            "project",
-            "blob_id",
-            base_name(F.col("path")).alias("filename"),
-            file_family(F.col("path")).alias("family"),
-            F.col("version").alias("first_version"),
-            "first_key",
-            "size",
-            "content",
+    if versions is None:
+        first = Window.partitionBy("project", "blob_id").orderBy("first_key", "path")
+        named = (
+            files.withColumn("first_key", release_key(F.col("version")))
+            .withColumn("_n", F.row_number().over(first))
+            .where("_n = 1")
+            .withColumn("first_version", F.col("version"))
         )
+    else:
+        any_copy = Window.partitionBy("project", "blob_id").orderBy("size")
+        copies = files.select("project", "blob_id", "size", "content").withColumn("_n", F.row_number().over(any_copy)).where("_n = 1")
+        named = copies.join(first_names(files, versions), ["project", "blob_id"])
+    return named.select(
+        "project",
+        "blob_id",
+        base_name(F.col("path")).alias("filename"),
+        file_family(F.col("path")).alias("family"),
+        "first_version",
+        "first_key",
+        "size",
+        "content",
     )
 
 
-def new_blobs(files: DataFrame, blobs: DataFrame) -> DataFrame:
+def new_blobs(files: DataFrame, blobs: DataFrame, versions: DataFrame | None = None) -> DataFrame:
     """Blobs of ``files`` that ``blobs`` does not hold yet.
 
-    Known ids are taken off by key alone; content is carried only for the rest.
+    Copies go first, inside the map tasks; known ids are then taken off where that dedup has put each
+    content, so a content crosses the network once.
     """
-    fresh = (
-        files.select("project", "blob_id").distinct()
-        .join(blobs.select("project", "blob_id"), ["project", "blob_id"], "left_anti")
-    )
-    return build_blobs(files.join(fresh, ["project", "blob_id"], "left_semi"))
+    return build_blobs(files, versions).join(blobs.select("project", "blob_id"), ["project", "blob_id"], "left_anti")
 
 
 def read_blob(blobs: DataFrame, keys: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.paths import is_binding
@@ -79,7 +79,20 @@ def binding_blobs(blobs: DataFrame, paths: DataFrame) -> DataFrame:
 
 def binding_words(blobs: DataFrame, paths: DataFrame) -> DataFrame:
     """Every word of the bindings documents that could be a compatible string."""
-    lines = _lines(binding_blobs(blobs, paths).withColumn("family", F.lit("B")))
+    return words_of(binding_blobs(blobs, paths))
+
+
+def new_binding_files(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """``(project, blob_id, content)``, one row per content below the bindings directory in ``files`` that
+    ``seen(project, blob_id)`` lacks."""
+    key = ["project", "blob_id"]
+    below = files.where(is_binding(F.col("path"))).select(*key, "path", "content").join(seen, key, "left_anti")
+    first = Window.partitionBy(*key).orderBy("path")
+    return below.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*key, "content")
+
+
+def words_of(bindings: DataFrame) -> DataFrame:
+    lines = _lines(bindings.withColumn("family", F.lit("B")))
     return _postings(lines.withColumn("_found", binding_strings(F.col("_line"))))
 
 

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from tagloom.functions.paths import ancestors, base_name, dir_name, join_path, strip_slashes
 
 
+def of_versions(paths: DataFrame, keys: DataFrame) -> DataFrame:
+    """The listings of the versions that ``keys`` speak of; stored listings of others are not read.
+
+    The test of the version's name, true of every name, tells the planner that the keys are worth
+    asking before the scan.
+    """
+    asked = keys.where("version <> ''").select("project", "version").distinct()
+    return paths.join(asked, ["project", "version"], "left_semi")
+
+
 def directories(paths: DataFrame) -> DataFrame:
     """Every directory a file implies, the root (empty path) included.
 
@@ -39,6 +49,8 @@ def list_dir(paths: DataFrame, dirs: DataFrame | None = None, blobs: DataFrame |
     Directories come before files, then by name. Names with a leading dot are
     hidden. With ``blobs`` at hand a symbolic link shows what it points to.
     """
+    if dirs is not None:
+        paths = of_versions(paths, dirs)
     out = entries(paths).where(~F.col("name").startswith("."))
     if dirs is not None:
         wanted = dirs.select("project", "version", strip_slashes(F.col("dir")).alias("dir")).distinct()
@@ -46,13 +58,13 @@ def list_dir(paths: DataFrame, dirs: DataFrame | None = None, blobs: DataFrame |
     out = out.withColumn("target", F.col("path"))
     if blobs is not None:
         links = (
-            out.where("perm = '120000'")
+            out.where("perm <=> '120000'")
             .join(blobs.select("project", "blob_id", "content"), ["project", "blob_id"])
             .withColumn("kind", F.lit("symlink"))
             .withColumn("target", join_path(F.col("dir"), F.col("content")))
             .select(*out.columns)
         )
-        out = out.where("perm <> '120000'").unionByName(links)
+        out = out.where("NOT perm <=> '120000'").unionByName(links)
     return out.select("project", "version", "dir", "kind", "name", "target", "size", "perm").orderBy(
         "project", "version", "dir", F.when(F.col("kind") == "tree", 0).otherwise(1), "name"
     )
@@ -60,6 +72,7 @@ def list_dir(paths: DataFrame, dirs: DataFrame | None = None, blobs: DataFrame |
 
 def path_type(paths: DataFrame, keys: DataFrame) -> DataFrame:
     """``blob``, ``tree`` or null for ``keys(project, version, path)``."""
+    paths = of_versions(paths, keys)
     known = paths.select("project", "version", F.col("path").alias("_p"), F.lit("blob").alias("type")).unionByName(
         directories(paths).select("project", "version", F.col("path").alias("_p"), F.lit("tree").alias("type"))
     )
@@ -82,7 +95,7 @@ def path_exists(keys: DataFrame, paths: DataFrame) -> DataFrame:
     return (
         keys.withColumn("_p", strip_slashes(F.col("path")))
         .join(
-            existing_paths(paths).withColumnRenamed("path", "_p"),
+            existing_paths(of_versions(paths, keys)).withColumnRenamed("path", "_p"),
             ["project", "version", "_p"],
             "left_semi",
         )

@@ -78,8 +78,8 @@ class LazyIndex(dict):
 
 class StoredIndex(LazyIndex):
     """As :class:`LazyIndex`, but every table is written below ``root`` when it is
-    first asked for, and read from there: the source is scanned, hashed and
-    deduplicated once, and each extractor reads the stored blobs."""
+    first asked for, and read from there: each extractor reads the stored blobs
+    and the stored listing, not the source."""
 
     def __init__(self, files: DataFrame, root: str, options: IndexOptions = IndexOptions()):
         super().__init__(files, options)
@@ -100,7 +100,7 @@ def build_index(files: DataFrame, options: IndexOptions = IndexOptions()) -> Laz
 #: Tables whose plan reads and matches whole texts right up to its end. Spreading
 #: rows by range samples its input first, which would run such a plan twice, so
 #: their rows are put down once as they come and spread from there.
-STAGED = ("tags", "tokens", "docs", "comps", "comp_words", "paths")
+STAGED = ("tags", "tokens", "docs", "comps", "comp_words")
 
 
 def write_table(df: DataFrame, name: str, path: str) -> None:
@@ -151,13 +151,17 @@ WRITE_ORDER = ("blobs", "tags", "defs", "tokens", "refs", "docs", "comps", "comp
 def write_index(files: DataFrame, root: str, options: IndexOptions = IndexOptions()) -> StoredIndex:
     """Build and store the whole index of ``files``."""
     index = StoredIndex(files, root, options)
-    # Stages before the last need paths too; for those the plan serves, so that
-    # the stored listing appears last.
-    index["paths"] = blob_ops.listing(files)
+    # The source is read twice: once for the listing, put down under a hidden name for all tables that
+    # need it, and once for the blobs. The listing is published last.
+    hidden = f"{root}/_listing"
+    blob_ops.listing(files).write.mode("overwrite").parquet(hidden)
+    index["paths"] = files.sparkSession.read.schema(INDEX_TABLES["paths"]).parquet(hidden)
     for name in WRITE_ORDER[:-1]:
         index[name]
-    del index["paths"]
-    index["paths"]
+    path = f"{root}/paths"
+    write_table(index["paths"], "paths", path)
+    index["paths"] = read_table(files.sparkSession, "paths", path)
+    _delete(files.sparkSession, hidden)
     return index
 
 

@@ -9,9 +9,9 @@ from tagloom.operators.blobs import build_blobs
 from tagloom.operators.refs import explode_lines, extract_refs
 from tagloom.operators.defs import extract_defs
 from tagloom.plans import search as S
-from tagloom.plans.index import build_index, read_index, write_index
-from tagloom.schema import INDEX_TABLES
-from tagloom.streaming.ingest import compact, fresh_blob_stream, ingest_available, ingest_batch, read_batches, stream_files
+from tagloom.plans.index import IndexOptions, build_index, read_index, write_index
+from tagloom.schema import FILES, INDEX_TABLES
+from tagloom.streaming.ingest import MANIFEST, compact, fresh_blob_stream, ingest_available, ingest_batch, read_batches
 
 V1 = [
     ("v1", "lib/a.c", "/**\n * foo - does\n */\nint foo(int a)\n{\n\treturn later(a);\n}\n"),
@@ -143,21 +143,85 @@ def test_completion_scope(spark, index):
     assert ("ven", "B", 1, "ven,dev") in got()
 
 
-def test_stream_equals_batch(spark, files, tmp_path):
+def manifest(spark, tmp_path, landing, n, version, files_df, count=None):
+    """Writes a version over several files, then its manifest."""
+    place = tmp_path / f"place{n}"
+    files_df.repartition(3).write.parquet(str(place))
+    part = tmp_path / f"manifest{n}"
+    rows = [("p", version, str(place), files_df.count() if count is None else count)]
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(str(part))
+    (data,) = part.glob("*.parquet")
+    (landing / f"{n}.parquet").write_bytes(data.read_bytes())
+
+
+@pytest.mark.parametrize("options", [IndexOptions(), IndexOptions(resolve="as_of")])
+def test_stream_equals_batch(spark, files, tmp_path, options):
     landing, root = tmp_path / "landing", str(tmp_path / "ix")
     landing.mkdir()
     for n, version in enumerate((V1, V2, V3)):
-        part = tmp_path / f"part{n}"
-        files(version).coalesce(1).write.parquet(str(part))
-        data = next(part.glob("*.parquet"))
-        (landing / f"{n}.parquet").write_bytes(data.read_bytes())
+        manifest(spark, tmp_path, landing, n, version[0][0], files(version))
         if n != 1:  # the second run brings two versions, in batches of their own
-            ingest_available(spark, str(landing), root, str(tmp_path / "cp"), files_per_batch=1)
-    same(read_batches(spark, root), build_index(files(V1 + V2 + V3)))
+            ingest_available(spark, str(landing), root, str(tmp_path / "cp"), options, files_per_batch=1)
+    same(read_batches(spark, root), build_index(files(V1 + V2 + V3), options))
     compact(spark, root, str(tmp_path / "plain"))
     same(read_index(spark, str(tmp_path / "plain")), read_batches(spark, root))
 
 
+def test_incomplete_version_fails_and_may_come_again(spark, files, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "ix")
+    landing.mkdir()
+    manifest(spark, tmp_path, landing, 0, "v1", files(V1), count=files(V1).count() + 1)
+    with pytest.raises(Exception, match="other numbers of files"):
+        ingest_available(spark, str(landing), root, str(tmp_path / "cp"))
+    assert read_batches(spark, root)["paths"].isEmpty()
+    again = tmp_path / "again"
+    again.mkdir()
+    manifest(spark, tmp_path, again, 1, "v1", files(V1))
+    manifest(spark, tmp_path, again, 2, "v1", files(V1))
+    with pytest.raises(Exception, match="several manifests"):
+        ingest_available(spark, str(again), root, str(tmp_path / "cp2"))
+    (again / "2.parquet").unlink()
+    ingest_available(spark, str(again), root, str(tmp_path / "cp3"))
+    same(read_batches(spark, root), build_index(files(V1)))
+    with pytest.raises(ValueError, match="indexed already"):
+        ingest_batch(files(V1), 9, root)
+
+
+def test_stored_content_is_not_read_again(spark, files, tmp_path, monkeypatch):
+    """No plan of a second batch scans the content of stored blobs."""
+    from tagloom.streaming import ingest
+
+    root, plans = str(tmp_path / "ix"), []
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # whole paths in plans
+    ingest_batch(files(V1), 0, root)
+    real = ingest.write_table
+
+    def spying(df, name, path):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        real(df, name, path)
+
+    monkeypatch.setattr(ingest, "write_table", spying)
+    ingest_batch(files(V2), 1, root)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [x for plan in plans for x in plan.split("\n") if "FileScan" in x and f"{root}/blobs" in x and "batch=1" not in x]
+    assert scans, [x for plan in plans for x in plan.split("\n") if "FileScan" in x][:3]
+    assert not [x for x in scans if "content:string" in x]
+
+
+def test_first_names_in_the_projects_own_order(spark, files):
+    from tagloom.operators.blobs import build_blobs
+    from tagloom.operators.versions import VersionRules, list_versions, sequence_versions
+
+    rows = [(v, f"{v}.c", "int x;\n") for v in ("early:1.2", "1.2", "1.1")]
+    made = files(rows)
+    tags = made.select("project", F.col("version").alias("rev"))
+    for rule, want in ((VersionRules("p"), "1.1"), (VersionRules("p", list_reversed=True), "early:1.2"),
+                       (VersionRules("p", list_reversed=True, order_as=(("^early:(.*)$", "$1~early"),)), "1.2")):
+        versions = sequence_versions(list_versions(tags, (rule,)))
+        (blob,) = build_blobs(made, versions).collect()
+        assert blob.first_version == want and blob.filename == want + ".c"
+
+
 class Lost(Exception):
     pass
 
@@ -182,7 +246,7 @@ def test_batch_lost_half_way(spark, files, index, tmp_path, last):
 
 def test_blob_stream_by_state(spark, files, tmp_path):
     files(V1 + V2).write.parquet(str(tmp_path / "in"))
-    stream = fresh_blob_stream(stream_files(spark, str(tmp_path / "in")))
+    stream = fresh_blob_stream(spark.readStream.schema(FILES).parquet(str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("fresh").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("fresh").count() == build_blobs(files(V1 + V2)).count()
