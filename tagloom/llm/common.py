@@ -115,7 +115,7 @@ def byte_map(rows: DataFrame, cells: int, chunk: int = 4096) -> np.ndarray:
         .mapInArrow(pack, "at long, block binary")
     )
     out = np.zeros(cells, np.uint8)
-    for r in packed.toLocalIterator():
+    for r in packed.collect():  # ``cells`` bytes together
         out[r["at"] * chunk : (r["at"] + 1) * chunk] = np.frombuffer(bytes(r["block"]), np.uint8)
     return out
 
@@ -151,7 +151,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
 
     def stars() -> pa.RecordBatch:
-        rows = [(x, r) for x in list(forest.parent) if (r := forest.find(x)) != x]
+        rows = [(x, forest.find(x)) for x in list(forest.parent)]
         u, v = zip(*rows) if rows else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -169,32 +169,24 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, component) of every node of ``edges`` (two long columns), component its smallest reachable node.
 
-    Each task first reduces its edges to a forest; then large-star and small-star rounds (a minimum
-    per node by partial aggregation, joined back) run until nothing changes. Every round is a stored
-    table. A hub with very many links is only ever joined, never gathered, and skewed join
-    partitions can be split.
+    By contraction: each task reduces its edges to a forest, whose trees have their smallest node as root, and
+    gives each of its nodes with its root. A node that several tasks have seen ties their roots together; these ties are the edges of the next, smaller
+    graph. When none are left, labels are handed back level by level. Every level is one stored table. A
+    node's group holds a row per task at most, and a hub with very many links is only ever joined.
     """
     a, b = edges.columns
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = stored(e.mapInArrow(_forests, "u long, v long").distinct(), f"{tag}-forest")
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.expr("xxhash64(u, v) % 1000003"))).first())
-
-    seen = state(e)
-    while seen[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{tag}-large")
-        large = stored(
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(),
-            f"{tag}-large",
-        )
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-small")
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{tag}-small")
-        now = state(e)
-        if now == seen:
+    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    levels: list[DataFrame] = []
+    while True:
+        roots = e.mapInArrow(_forests, "u long, v long").groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
+        level = stored(roots.select("u", "m", F.filter("vs", lambda v: v != F.col("m")).alias("others")), tag)
+        levels.append(level)
+        ties = level.where("size(others) > 0")
+        if ties.isEmpty():
             break
-        seen = now
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+        e = ties.select(F.explode("others").alias("u"), F.col("m").alias("v"))
+    known = levels[-1].select(F.col("u").alias("node"), F.col("m").alias("component"))
+    for level in reversed(levels[:-1]):
+        up = known.withColumnRenamed("node", "m")
+        known = level.select("u", "m").join(up, "m", "left").select(F.col("u").alias("node"), F.coalesce("component", "m").alias("component"))
+    return known
