@@ -393,6 +393,10 @@ def oracles() -> dict[str, str]:
         "dir_listing": f"""{code}, {DIRS}
             SELECT version, {_dir('path')} AS dir, 'blob' AS kind, {_base('path')} AS name, octet_length(encode(content)) AS size, '100644' AS perm FROM paths
             UNION ALL SELECT version, {_dir('dir')}, 'tree', {_base('dir')}, NULL, '040000' FROM dirs WHERE dir <> ''""",
+        "dir_listing_asked": f"""{code}, {DIRS}, {PATH_QUERIES}, asked AS (SELECT DISTINCT version, trim(path, '/') AS dir FROM path_queries), every AS (
+            SELECT version, {_dir('path')} AS dir, 'blob' AS kind, {_base('path')} AS name, octet_length(encode(content)) AS size, '100644' AS perm FROM paths
+            UNION ALL SELECT version, {_dir('dir')}, 'tree', {_base('dir')}, NULL, '040000' FROM dirs WHERE dir <> '')
+            SELECT * FROM every SEMI JOIN asked USING (version, dir)""",
         "path_type": f"""{code}, {DIRS}, {PATH_QUERIES}
             SELECT q.version, q.path, CASE WHEN p.path IS NOT NULL THEN 'blob' WHEN d.dir IS NOT NULL THEN 'tree' END AS type
             FROM path_queries q LEFT JOIN paths p ON p.version = q.version AND p.path = trim(q.path, '/')
@@ -406,7 +410,7 @@ def oracles() -> dict[str, str]:
             {_fold("(path || '/.././../' || href)")} AS above FROM h""",
         "family_counts": f"WITH {PROSE} SELECT {_family('path')} AS family, count(*) AS n_files FROM doc_f GROUP BY 1",
         # tokens
-        "tokens": f"{prose} SELECT family, token, count(*) AS n FROM toks WHERE family <> 'D' GROUP BY ALL",
+        "tokens": f"{prose} SELECT family, token, count(*) AS n FROM toks GROUP BY ALL",
         "tokens_by_line": f"{prose} SELECT blob_id, line, count(*) AS n_tokens FROM toks GROUP BY ALL",
         "tokens_dts": f"""WITH {PROSE}, {CONFIG.replace('defs AS', 'defs_c AS').replace('refs AS', 'refs_c AS').split('asked AS')[0].rstrip().rstrip(',')}
             SELECT 'prose' AS project, token, count(*) AS n FROM toks WHERE family = 'D' GROUP BY ALL
@@ -414,9 +418,17 @@ def oracles() -> dict[str, str]:
                 SELECT 'node_' || n || '_' || c AS token FROM dts UNION ALL SELECT 'VENDOR' || n || '_' || c FROM dts
                 UNION ALL SELECT unnest(['include', 'node', 'reg']) FROM dts
                 UNION ALL SELECT 'compatible' FROM sup) GROUP BY token""",
-        "token_lines": f"""{code} SELECT blob_id, token, line, count(*) AS n FROM (
-                SELECT blob_id, ident AS token, line FROM defs WHERE NOT starts_with(ident, 'item_') UNION ALL
-                SELECT blob_id, 'part_' || pk, (5 + i)::INT FROM item_b, unnest(range(1, ln + 1)) AS t(i), (VALUES (1), (2)) AS twice(x)) GROUP BY ALL""",
+        "token_lines": f"""{code} SELECT blob_id, token, line::INT AS line, count(*) AS n FROM (
+                SELECT blob_id, unnest(['int', 'order_' || k, 'void']) AS token, 4 AS line FROM order_b
+                UNION ALL SELECT blob_id, unnest(['return', (k % 100)::VARCHAR]), 6 FROM order_b
+                UNION ALL SELECT blob_id, 'include', 1 FROM item_b
+                UNION ALL SELECT blob_id, unnest(['int', 'item_' || pk || '_' || ln, 'void']), 4 FROM item_b
+                UNION ALL SELECT blob_id, unnest(['use', 'part_' || pk, 'part_' || pk]), 5 + i FROM item_b, unnest(range(1, ln + 1)) AS t(i)
+                UNION ALL SELECT blob_id, unnest(['define', 'part_' || p_partkey, p_size::VARCHAR]), row_number() OVER (PARTITION BY chunk ORDER BY p_partkey)
+                    FROM part JOIN part_b ON p_partkey // 64 = chunk WHERE chunk IN (SELECT chunk FROM part_f)
+                UNION ALL SELECT blob_id, unnest(CASE WHEN r = 1 THEN ['int', 'supp_' || s_suppkey] ELSE ['extern', 'int', 'supp_' || s_suppkey] END), r
+                    FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY s_suppkey) AS r FROM supplier JOIN supp_b ON s_suppkey // 100 = chunk
+                          WHERE chunk IN (SELECT chunk FROM supp_f))) GROUP BY ALL""",
         "masked_tokens": f"""{code} SELECT token, count(*) AS n FROM (
                 SELECT unnest(['int', 'order_' || k, 'void', 'return', (k % 100)::VARCHAR]) AS token FROM order_b
                 UNION ALL SELECT unnest(['include', 'int', 'item_' || pk || '_' || ln, 'void']) FROM item_b
@@ -490,7 +502,7 @@ def oracles() -> dict[str, str]:
             ('C', 'C'), ('D', 'D'), ('K', 'C'), ('K', 'K'), ('K', 'M')) AS t(requested, family) USING (family) GROUP BY ALL""",
         "defs_by_type": f"{search} SELECT 'code' AS project, version, ident, family, type, count(*) AS n_rows, count(DISTINCT path) AS n_files FROM found WHERE section = 'definitions' GROUP BY ALL",
         "result_summary": f"""{search} SELECT 'code' AS project, version, ident, family, section, type, path, n_rows, n_lines::BIGINT AS n_lines,
-            CASE WHEN n_rows <= 3 THEN lines END AS shown_lines FROM (SELECT *, count(*) OVER (PARTITION BY version, ident, family, section) AS n_rows FROM found)""",
+            lines, CASE WHEN n_rows <= 3 THEN lines END AS shown_lines FROM (SELECT *, count(*) OVER (PARTITION BY version, ident, family, section) AS n_rows FROM found)""",
         "queries_validated": """WITH w AS (SELECT DISTINCT role AS version, unnest(regexp_split_to_array(text, '[ \\n]+')) AS ident FROM conversations)
             SELECT 'code' AS project, version, ident, 'C' AS family, regexp_matches(ident, '^[A-Za-z0-9_,.+?#-]+$') AS accepted,
             CASE WHEN NOT regexp_matches(ident, '^[A-Za-z0-9_,.+?#-]+$') THEN 'ident' END AS rejected_for FROM w""",
@@ -513,6 +525,11 @@ def oracles() -> dict[str, str]:
             FROM item_f i JOIN part_f p ON p.version = i.version AND p.chunk = pk // 64 WHERE ln % 2 = 0""",
         "links_defconfig": f"""{config} SELECT version, path, 1 AS line, 'defconfig' AS rule, 'CONFIG_NATION_' || n AS text, 'ident K' AS target_kind, 'CONFIG_NATION_' || n AS target FROM defconfig
             UNION ALL SELECT version, path, 2, 'defconfig', 'CONFIG_ABSENT', 'ident K', 'CONFIG_ABSENT' FROM defconfig""",
+        "link_rules": f"""{config} SELECT 'config' AS project, p.version, p.path, line, CASE family WHEN 'C' THEN 'comp_code' ELSE 'comp_dts' END AS rule,
+                ident AS text, 'ident B' AS target_kind, ident AS target FROM comps JOIN paths p USING (blob_id) WHERE family IN ('C', 'D')
+            UNION ALL SELECT 'config', version, path, x.line, 'defconfig', x.name, 'ident K', x.name FROM defconfig,
+                unnest([{{'line': 1, 'name': 'CONFIG_NATION_' || n}}, {{'line': 2, 'name': 'CONFIG_ABSENT'}}]) AS t(x)
+            UNION ALL SELECT 'bare', version, path, 1, 'dtsi', 'common_' || n || '.dtsi', 'path', dir || '/common_' || n || '.dtsi' FROM dts""",
         "links_config_in": f"""{config} SELECT version, path, 1 AS line, 'config_in' AS rule, dir || '/Kconfig' AS text, 'path' AS target_kind, dir || '/Kconfig' AS target FROM config_in
             UNION ALL SELECT version, path, 2, 'config_in', dir || '/none.in', 'path', dir || '/none.in' FROM config_in""",
         "links_kconfig": f"{config} SELECT version, path, 4 AS line, 'kconfig' AS rule, dir || '/sub/Makefile' AS text, 'path' AS target_kind, dir || '/sub/Makefile' AS target FROM kconfig",

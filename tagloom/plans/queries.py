@@ -301,6 +301,13 @@ def dir_listing(spark, d):
     return LS.list_dir(paths).select("version", "dir", "kind", "name", "size", "perm")
 
 
+@query
+def dir_listing_asked(spark, d):
+    """The directories that are asked for, of the versions asked for."""
+    asked = path_queries(spark, d).select("project", "version", F.col("path").alias("dir"))
+    return LS.list_dir(code_index(spark, d)["paths"], asked).select("version", "dir", "kind", "name", "size", "perm")
+
+
 @query
 def path_type(spark, d):
     return LS.path_type(code_index(spark, d)["paths"], path_queries(spark, d)).select(
@@ -358,7 +365,7 @@ def family_counts(spark, d):
 @query
 def tokens(spark, d):
     """Token counts of the documents."""
-    blobs = prose_index(spark, d)["blobs"].where("family <> 'D'")
+    blobs = prose_index(spark, d)["blobs"]
     return TK.tokenize(blobs).groupBy("family", "token").agg(F.count("*").alias("n"))
 
 
@@ -378,8 +385,7 @@ def tokens_dts(spark, d):
 @query
 def token_lines(spark, d):
     blobs = code_index(spark, d)["blobs"]
-    words = TK.tokenize(blobs).where(F.col("token").rlike("^(part|order|supp)_"))
-    return words.groupBy("blob_id", "token", "line").agg(F.count("*").alias("n"))
+    return TK.tokenize(blobs).groupBy("blob_id", "token", "line").agg(F.count("*").alias("n"))
 
 
 @query
@@ -784,6 +790,18 @@ def links_make_subdir(spark, d):
     return _config_links(spark, d, L.MAKE_SUBDIR)
 
 
+@query
+def link_rules(spark, d):
+    """Two projects with the same files, only one of which has devicetree support; each with rules of its own."""
+    files = lenses.config_files(spark, d)
+    both = files.unionByName(files.withColumn("project", F.lit("bare")))
+    rules = {"config": (L.COMP_CODE, L.COMP_DTS, L.DEFCONFIG), "bare": (L.COMP_DTS, L.DTSI)}
+    with_dts = V.dts_projects(spark, (V.VersionRules("config", dts_support=True), V.VersionRules("bare")))
+    every = tuple(dict.fromkeys(r for some in rules.values() for r in some))
+    found = L.extract_links(B.listing(both), B.build_blobs(both), every, allowed=L.rules_of(spark, rules), dts_projects=with_dts)
+    return found.select("project", *LINK_COLUMNS)
+
+
 @query
 def links_html(spark, d):
     """A rule of the user's own: rooted page links, with a flag whether a page is there."""

@@ -119,8 +119,11 @@ def ident_exists(index: dict[str, DataFrame], queries: DataFrame, latest: DataFr
     """Whether each identifier is defined in any version, and whether the
     version asked for is indexed."""
     wanted = _prepared(queries, latest)
-    defined = index["defs"].select("project", "ident").distinct().withColumn("_d", F.lit(True))
-    strings = index["comps"].select("project", "ident").distinct().withColumn("_b", F.lit(True))
+    # Only names that are asked for get as far as the dedup.
+    asked = wanted.select("project", "ident").distinct()
+    among = lambda table: index[table].select("project", "ident").join(asked, ["project", "ident"], "left_semi").distinct()
+    defined = among("defs").withColumn("_d", F.lit(True))
+    strings = among("comps").withColumn("_b", F.lit(True))
     there = index["paths"].select("project", "version").distinct().withColumn("_v", F.lit(True))
     return (
         wanted.join(defined, ["project", "ident"], "left")
@@ -215,12 +218,13 @@ def defs_by_type(result: DataFrame) -> DataFrame:
 
 
 def result_summary(result: DataFrame, most: int = 100) -> DataFrame:
-    """Rows as they are shown: in a section of more than ``most`` rows the line
-    numbers give way to their count."""
+    """Rows with their lines, and as they are shown: in a section of more than ``most`` rows the
+    line numbers shown give way to their count."""
     keys = ["project", "version", "ident", "family", "section"]
     sizes = result.groupBy(*keys).agg(F.count("*").alias("n_rows"))
     return result.join(sizes, keys).select(
         *keys, "type", "path", "n_rows", F.size("lines").cast("bigint").alias("n_lines"),
+        line_list_text(F.col("lines")).alias("lines"),
         F.when(F.col("n_rows") <= most, line_list_text(F.col("lines"))).alias("shown_lines"),
     )
 
@@ -246,10 +250,10 @@ def autocomplete(index: dict[str, DataFrame], prefixes: DataFrame, k: int = 10,
                  scope: str = "all") -> DataFrame:
     """First ``k`` names per query ``(project, prefix, family)``, in byte order.
 
-    Names are cut to the prefix lengths that are asked for, and of each prefix
-    only the first ``k`` names go on: the ranking limit works inside each map
-    task, so a prefix shared by a third of all names costs no more than others.
-    Prefixes then meet queries in an equi join.
+    Names are cut to the prefix lengths that are asked for, and only prefixes that
+    are asked for are ranked; of each the first ``k`` names go on: the ranking limit
+    works inside each map task, so a prefix shared by a third of all names costs no
+    more than others. Prefixes then meet queries in an equi join.
     """
     asked = prefixes.select(
         "project", "prefix",
@@ -263,6 +267,7 @@ def autocomplete(index: dict[str, DataFrame], prefixes: DataFrame, k: int = 10,
             names.withColumn("_len", F.explode(F.sequence(F.lit(0), F.length("ident"))))
             .join(lengths, ["project", "_len"], "left_semi")
             .withColumn("prefix", F.substring(F.col("ident"), F.lit(1), F.col("_len")))
+            .join(wanted.select(*keys, "prefix").distinct(), [*keys, "prefix"], "left_semi")
             .withColumn("rank", F.row_number().over(ranked))
             .where(F.col("rank") <= k)
         )
