@@ -42,6 +42,19 @@ def closed_lines(text: Column) -> Column:
     return F.slice(split_lines(text), F.lit(1), F.size(split_lines(text)) - 1)
 
 
+def running_sums(sizes: Column, chunk: int = 64) -> Column:
+    """Sums of an array up to each of its places: of whole chunks first, then within each, so that a long
+    array costs little more than its length."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+    chunks = F.transform(
+        F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / chunk).cast("int"))).otherwise(F.array().cast("array<int>")),
+        lambda k: F.slice(sizes, k * chunk + 1, F.lit(chunk)),
+    )
+    sums = F.transform(chunks, total)
+    bases = F.transform(sums, lambda _, k: total(F.slice(sums, F.lit(1), k)))
+    return F.flatten(F.zip_with(chunks, bases, lambda part, base: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i + 1)))))
+
+
 def trim_blanks(text: Column) -> Column:
     """The text without blank space before it."""
     return F.ltrim(text, F.lit(" \t\r\n\f\x0b"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import DTS_WORD, WORD, mask_noncode, split_lines
+from tagloom.functions.text import DTS_WORD, WORD, mask_noncode, running_sums, split_lines
 from tagloom.schema import REF_FAMILIES
 
 
@@ -64,34 +64,27 @@ def ident_of_token(token: Column, family: Column) -> Column:
 def token_spans(blobs: DataFrame) -> DataFrame:
     """Tokens with their column span ``[start, end)`` on the line, from 0.
 
-    Masking keeps lengths, so the span holds in the raw text too. Offsets are a
-    running sum over the pieces of one line.
+    Masking keeps lengths, so the span holds in the raw text too. Offsets are
+    running sums over the pieces of one line, taken inside its row: nothing is shuffled.
     """
     family = F.col("family")
     lines = (
         blobs.where(family.isin(*REF_FAMILIES))
-        .select("project", "blob_id", "family", masked_text(F.col("content"), family).alias("_m"))
-        .select(
-            "project", "blob_id", "family",
-            F.size(split_lines(F.col("_m"))).alias("_n"),
-            F.posexplode(split_lines(F.col("_m"))).alias("_pos", "_line"),
-        )
+        .select("project", "blob_id", "family", split_lines(masked_text(F.col("content"), family)).alias("_lines"))
+        .select("project", "blob_id", "family", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("_pos", "_line"))
     )
     parts = lines.select(
         "project", "blob_id", "family", (F.col("_pos") + 1).alias("line"),
         F.when(F.col("_pos") == F.col("_n") - 1, F.length("_line")).alias("_eof"),
-        F.posexplode(
-            F.when(
-                family == "D",
-                F.regexp_extract_all("_line", F.lit(rf"[{DTS_WORD}]+|[^{DTS_WORD}]+"), F.lit(0)),
-            ).otherwise(F.regexp_extract_all("_line", F.lit(rf"[{WORD}]+|[^{WORD}]+"), F.lit(0)))
-        ).alias("_i", "token"),
-    )
-    in_line = (
-        Window.partitionBy("project", "blob_id", "line").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+        F.when(
+            family == "D",
+            F.regexp_extract_all("_line", F.lit(rf"[{DTS_WORD}]+|[^{DTS_WORD}]+"), F.lit(0)),
+        ).otherwise(F.regexp_extract_all("_line", F.lit(rf"[{WORD}]+|[^{WORD}]+"), F.lit(0))).alias("_parts"),
     )
-    spans = parts.withColumn("end", F.sum(F.length("token")).over(in_line).cast("int")).withColumn(
-        "start", (F.col("end") - F.length("token")).cast("int")
+    ends = running_sums(F.transform("_parts", F.length))
+    spans = parts.select(
+        "project", "blob_id", "family", "line", "_eof",
+        F.inline(F.zip_with("_parts", ends, lambda t, e: F.struct(t.alias("token"), (e - F.length(t)).alias("start"), e.alias("end")))),
     )
     return spans.where(
         F.col("token").rlike(f"^[{DTS_WORD}]")

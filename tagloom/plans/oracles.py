@@ -356,7 +356,7 @@ LINKS = "version, path, line::INT AS line"
 def oracles() -> dict[str, str]:
     code, config, prose = f"WITH {CODE}", f"WITH {CONFIG}", f"WITH {PROSE}"
     search = f"WITH {CODE}, {IDENT_QUERIES}, {SEARCH}"
-    return {
+    made = {
         # versions
         "versions_natural": f"WITH {TAGS} SELECT project, version, row_number() OVER (PARTITION BY project ORDER BY natkey, version) AS seq FROM tags",
         "projects": f"WITH {TAGS} SELECT DISTINCT project FROM tags",
@@ -554,3 +554,7 @@ def oracles() -> dict[str, str]:
             e AS (SELECT version, path AS target FROM web_f UNION SELECT version, {_dir('path')} FROM web_f)
             SELECT t.*, e.target IS NOT NULL AS target_exists FROM t LEFT JOIN e ON e.version = t.version AND e.target = t.target""",
     }
+    # Marked tokens of device trees, by the paths they lie at.
+    made["marked_file"] = f"""SELECT l.version, l.path, m.line, m.start, m."end", m.ident AS text FROM ({made["marked_tokens"]}) m
+        JOIN ({config} SELECT DISTINCT version, path, blob_id FROM loc) l ON l.blob_id = m.blob_id WHERE m.family = 'D' AND suffix(l.path, '.dts')"""
+    return made

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from tagloom.functions.text import (
     line_list_text, quote, unquote, valid_family, valid_ident, valid_path, valid_project, valid_version,
 )
+from tagloom.operators.defs import known_in_family
 from tagloom.operators.docs import docs_first
+from tagloom.operators.links import mark_idents
+from tagloom.operators.listing import of_versions
+from tagloom.operators.tokens import token_spans
 from tagloom.operators.versions import resolve_version
 from tagloom.schema import FAMILIES, REF_COMPAT
 
@@ -210,6 +214,24 @@ def search_json(result: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def marked_file(index: dict[str, DataFrame], keys: DataFrame) -> DataFrame:
+    """``(project, version, path, line, start, end, text, known)``: the identifiers of the files that
+    ``keys(project, version, path)`` name, with a flag for those their family knows.
+
+    A file of no family is one row, its whole content as ``text``, without line and span.
+    """
+    key = ["project", "blob_id"]
+    asked = of_versions(index["paths"], keys).join(keys.select("project", "version", "path").distinct(), ["project", "version", "path"]).select(
+        "project", "version", "path", "blob_id"
+    )
+    blobs = index["blobs"].join(asked.select(*key).distinct(), key, "left_semi")
+    spans = mark_idents(token_spans(blobs), known_in_family(index["defs"])).select(*key, "line", "start", "end", F.col("token").alias("text"), "known")
+    plain = blobs.where("family IS NULL").select(
+        *key, *[F.lit(None).cast("int").alias(c) for c in ("line", "start", "end")], F.col("content").alias("text"), F.lit(False).alias("known")
+    )
+    return spans.unionByName(plain).join(asked, key).select("project", "version", "path", "line", "start", "end", "text", "known")
+
+
 def defs_by_type(result: DataFrame) -> DataFrame:
     """Definition sections of each query: rows and files per type."""
     return result.where("section = 'definitions'").groupBy(
