@@ -525,6 +525,7 @@ def oracles() -> dict[str, str]:
             FROM item_f i JOIN part_f p ON p.version = i.version AND p.chunk = pk // 64 WHERE ln % 2 = 0""",
         "links_defconfig": f"""{config} SELECT version, path, 1 AS line, 'defconfig' AS rule, 'CONFIG_NATION_' || n AS text, 'ident K' AS target_kind, 'CONFIG_NATION_' || n AS target FROM defconfig
             UNION ALL SELECT version, path, 2, 'defconfig', 'CONFIG_ABSENT', 'ident K', 'CONFIG_ABSENT' FROM defconfig""",
+        "ingest_blobs": f"{config} SELECT version, path, {_git_id('content')} AS blob_id, octet_length(encode(content)) AS size FROM all_files",
         "link_rules": f"""{config} SELECT 'config' AS project, p.version, p.path, line, CASE family WHEN 'C' THEN 'comp_code' ELSE 'comp_dts' END AS rule,
                 ident AS text, 'ident B' AS target_kind, ident AS target FROM comps JOIN paths p USING (blob_id) WHERE family IN ('C', 'D')
             UNION ALL SELECT 'config', version, path, x.line, 'defconfig', x.name, 'ident K', x.name FROM defconfig,
