@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from tagloom.llm.common import add_columns, as_bytes
 
 #: Pieces, and pairs of tokens, that a worker remembers; once full it stays, as frequent ones come early.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -60,7 +60,7 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(binary).to_pylist()]
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes, so that what a task makes of one stays small."""
     for batch in batches:
         step = max(1, batch.num_rows * most // max(1, batch.nbytes))
