@@ -3,6 +3,7 @@ maps and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -60,6 +61,14 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(binary).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the C library keep after large batches: workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes, so that what a task makes of one stays small."""
     for batch in batches:
@@ -88,6 +97,7 @@ def add_columns(
         for batch in _parts(batches):
             made = fn(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[made[n] for n in names]], names=["kept", *names])
+        give_back()
 
     out = packed.mapInArrow(run, StructType([packed.schema["kept"], *extra.fields]))
     return out.select(*["kept.*"] * bool(kept), *names)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagloom.llm.common import as_bytes, stored
+from tagloom.llm.common import as_bytes, give_back, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -177,6 +177,7 @@ def pack_documents(
                 items, group = [], group + 1
         if items:
             yield _packed(items, 0, group, capacity, slack, carry, False)
+        give_back()
 
     def merged(level: int, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
