@@ -184,6 +184,59 @@ def test_graph_recall_and_audit():
     assert 0.95 * truth <= len(q) <= truth
 
 
+def test_audit_sees_small_groups_beside_a_large_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    near = lambda v, n: np.repeat(v, n, 0) + 0.01 * rng.standard_normal((len(v) * n, 24))
+    small = near(rng.standard_normal((200, 24)), 4)
+    v = np.concatenate([near(rng.standard_normal((1, 24)), 400), small])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    whole = neardup.links
+
+    def poor(graph, exact, queries, threshold, beam):  # narrow beams find a small group's vector by itself only
+        q, node = whole(graph, exact, queries, threshold, len(exact))
+        ok = (beam >= 128) | (node < 400) | (np.bincount(q, minlength=len(queries))[q] == 1) | (np.einsum("nd,nd->n", queries[q], exact[node]) > 1 - 1e-9)
+        return q[ok], node[ok]
+
+    monkeypatch.setattr(neardup, "links", poor)
+    assert neardup.audited_beam(hnsw.build(v.astype(np.float32)), v, 0.95) >= 128
+
+
+def test_links_count_at_both_ends(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.standard_normal((60, 16)), 5, 0) + 0.01 * rng.standard_normal((300, 16))
+    whole = neardup._searched
+
+    def one_way(threshold, everything=False):
+        run = whole(threshold, everything)
+        if everything:
+            return run
+
+        def halved(batches):
+            found = neardup.links
+
+            def forwards(graph, exact, queries, threshold, beam):  # only the end with the smaller first component finds a link
+                q, node = found(graph, exact, queries, threshold, len(exact))
+                ok = queries[q][:, 0] < exact[node][:, 0]
+                return q[ok], node[ok]
+
+            neardup.links = forwards
+            try:
+                yield from run(batches)
+            finally:
+                neardup.links = found
+
+        return halved
+
+    monkeypatch.setattr(neardup, "_searched", one_way)
+    rows = [(i, x) for i, x in enumerate(v.astype(np.float32).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    u = v.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(df, shards=3).collect()}
+    assert [got[i] for i in range(len(v))] == want.tolist()
+
+
 # --- WARC --------------------------------------------------------------------------------------------
 
 
