@@ -1,7 +1,7 @@
 """Secret scans: assignments, access keys, long hex strings, and strings that pass for random.
 
 Method: a battery of randomness tests. Each long token of a text is read in the smallest encoding that
-holds all its characters (hex, base32, letters and digits, base64) and tested for uniform use of the
+holds all its characters (hex, letters, base32 and base36 of either case, letters and digits, base64) and tested for uniform use of the
 alphabet (chi-squared), runs above and below its middle, and correlation of neighbours; Fisher's
 method joins the three. A token that these do not reject, though it may be too short for them to
 reject anything, must also be too unlikely for ordinary writing: the likelihood ratio of "uniform over
@@ -38,11 +38,13 @@ _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
 
 _UP, _LOW, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (
-    ("hex", _DIGIT + "abcdef"), ("hex", _DIGIT + "ABCDEF"), ("base32", _UP + "234567"),
+    ("hex", _DIGIT + "abcdef"), ("hex", _DIGIT + "ABCDEF"), ("letters", _LOW), ("letters", _UP),
+    ("base32", _UP + "234567"), ("base32", _LOW + "234567"), ("base36", _DIGIT + _LOW), ("base36", _DIGIT + _UP),
     ("alnum", _UP + _LOW + _DIGIT), ("base64", _UP + _LOW + _DIGIT + "+/"), ("base64", _UP + _LOW + _DIGIT + "-_"),
     ("mixed", _UP + _LOW + _DIGIT + "+/-_"),
 )
-# Model of ordinary writing: chance of the next character's class, characters of a class being alike.
+# Model of ordinary writing: chance of the next character's class, and of a character within its class:
+# letters by how often English has them (per mille), a fifth of them being alike as in other tongues; digits and signs alike.
 # Classes: lower, upper, digit, sign. Rows: class before (the last row: start of a token).
 _NEXT = np.array([
     [0.93, 0.02, 0.01, 0.04],
@@ -55,7 +57,11 @@ _SIZE = np.array([26, 26, 10, 4])
 _CLASS = np.full(128, 3, np.int64)
 for _k, _letters in enumerate((_LOW, _UP, _DIGIT)):
     _CLASS[[ord(c) for c in _letters]] = _k
-_LOG_TEXT = np.log(_NEXT / _SIZE)
+_OFTEN = np.array([82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.7])
+_WITHIN = 1 / _SIZE[_CLASS]
+for _letters in (_LOW, _UP):
+    _WITHIN[[ord(c) for c in _letters]] = 0.8 * _OFTEN / _OFTEN.sum() + 0.2 / 26
+_LOG_NEXT, _LOG_WITHIN = np.log(_NEXT), np.log(_WITHIN)
 _PLACES = []
 for _, _letters in ENCODINGS:
     _p = np.full(128, -1, np.int64)
@@ -106,7 +112,7 @@ def battery(token: str) -> tuple[str, float, float]:
     half = -sum(map(math.log, ps))
     joined = math.exp(-half) * (1 + half + half * half / 2)  # Fisher: chi-squared with six degrees, halved
     kinds = _CLASS[codes]
-    text = float(_LOG_TEXT[np.concatenate(([4], kinds[:-1])), kinds].sum())
+    text = float(_LOG_NEXT[np.concatenate(([4], kinds[:-1])), kinds].sum() + _LOG_WITHIN[codes].sum())
     return name, joined, -len(x) * math.log(k) - text
 
 
@@ -115,12 +121,9 @@ def random_tokens(text: str) -> list[tuple[int, int]]:
     tested = []
     for m in _TOKEN.finditer(text):
         word = m.group().rstrip("=")
-        if word.isalpha() and word.islower():
-            log_e = -math.inf  # the model gives lower-case words no chance; they still count as tested
-        else:
-            _, p, log_e = battery(word)
-            if p < REJECT:
-                log_e = -math.inf
+        _, p, log_e = battery(word)
+        if p < REJECT:
+            log_e = -math.inf
         tested.append((log_e, m.start(), m.end()))
     tested.sort(reverse=True)
     found = 0

@@ -123,6 +123,9 @@ def test_secret_patterns(text):
     assert [f"{k}:{a}:{b}" for a, k, b in secrets.find_secrets(text) if k != "random"] == base_spans(text)
 
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
 def test_battery():
     rnd = random.Random(0)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -133,6 +136,17 @@ def test_battery():
         assert secrets.random_tokens(f"see {plain} there") == [], plain
 
 
+@pytest.mark.parametrize("letters", [LOWER + "0123456789", LOWER.upper() + "0123456789", LOWER + "234567", LOWER.upper() + "234567", LOWER, LOWER.upper()])
+@pytest.mark.parametrize("n", [40, 64, 100])
+def test_battery_of_one_case(letters, n):
+    rnd = random.Random(n)
+    found = sum(bool(secrets.random_tokens("see " + "".join(rnd.choices(letters, k=n)) + " there")) for _ in range(200))
+    assert found >= 190
+    for plain in ("antidisestablishmentarianismisalongword", "llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch", "THEQUICKBROWNFOXANDTHELAZYDOGWENTOUTTOGETHER",
+                  "kraftfahrzeughaftpflichtversicherungsgesellschaft", "release20240131version2build0017final", "x86_64-unknown-linux-gnu-toolchain"):
+        assert secrets.random_tokens(f"see {plain} there") == [], plain
+
+
 def test_redaction(odd, none):
     out = secrets.redact(odd.union(odd.where("doc_id = 3").withColumn("text", F.lit("x password=hunter22 y"))))
     assert out.columns == odd.columns
