@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ KINDS = ("assign", "access", "hex", "random")
 #: Shortest token the battery looks at, rejection level of the joined tests, share of false discoveries.
 SHORTEST, REJECT, FALSE_SHARE = 20, 1e-4, 0.01
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST)
+_SIGNS = ("+", "/", "_", "-")
 
 _UP, _LOW, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = (
@@ -116,21 +119,50 @@ def battery(token: str) -> tuple[str, float, float]:
     return name, joined, -len(x) * math.log(k) - text
 
 
-def random_tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of tokens that pass for random, false discoveries controlled over the text's tokens."""
-    tested = []
+def _left(text: str, a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the sorted spans ``base`` leave of [a, b), without a sign that sets it apart from them."""
+    out, at = [], a
+    for x, y in [s for s in base if s[0] < b and a < s[1]]:
+        out.append((at, min(x, b)))
+        at = max(at, y)
+    out.append((at, b))
+    trimmed = [(p + (p > a and text[p : p + 1] in _SIGNS), q - (q < b and text[q - 1 : q] in _SIGNS)) for p, q in out if p < q]
+    return [(p, q) for p, q in trimmed if p < q]
+
+
+def random_tokens(text: str, base: Iterable[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Spans of tokens that pass for random, false discoveries controlled over the text's tokens.
+
+    Of a token that the sorted spans ``base`` touch, what they leave is tested too, and only that is given back.
+    """
+    base, at = list(base), 0
+    tested: list[tuple[float, list[tuple[int, int]]]] = []
+
+    def test(a: int, b: int, spans: list[tuple[int, int]]) -> None:
+        _, p, log_e = battery(text[a:b].rstrip("="))
+        tested.append((-math.inf if p < REJECT else log_e, spans))
+
+    reach = list(accumulate((y for _, y in base), max))
     for m in _TOKEN.finditer(text):
-        word = m.group().rstrip("=")
-        _, p, log_e = battery(word)
-        if p < REJECT:
-            log_e = -math.inf
-        tested.append((log_e, m.start(), m.end()))
-    tested.sort(reverse=True)
+        a, b = m.span()
+        while at < len(base) and reach[at] <= a:
+            at += 1
+        touching = base[at : bisect_left(base, (b,), at)]
+        if not any(x < b and a < y for x, y in touching):
+            test(a, b, [(a, b)])
+            continue
+        left = _left(text, a, b, touching)
+        if left:
+            test(a, b, left)
+        for p, q in left:
+            if len(text[p:q].rstrip("=")) >= SHORTEST:
+                test(p, q, [(p, q)])
+    tested.sort(key=lambda t: -t[0])
     found = 0
-    for k, (log_e, _, _) in enumerate(tested, 1):
+    for k, (log_e, _) in enumerate(tested, 1):
         if log_e >= math.log(len(tested) / (k * FALSE_SHARE)):
             found = k
-    return [(a, b) for _, a, b in tested[:found]]
+    return [*dict.fromkeys(s for _, spans in tested[:found] for s in spans)]
 
 
 def find_secrets(text: str) -> list[tuple[int, str, int]]:
@@ -143,9 +175,7 @@ def find_secrets(text: str) -> list[tuple[int, str, int]]:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     base = sorted((a, b) for a, _, b in found)
-    for a, b in random_tokens(text):
-        if not any(x < b and a < y for x, y in base):
-            found.append((a, 3, b))
+    found += [(a, 3, b) for a, b in random_tokens(text, base)]
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
@@ -153,7 +183,7 @@ def scan(df: DataFrame, text_col: str = "text", out_col: str = "secrets") -> Dat
     """``df`` with ``out_col``: array of (kind, start, end), code points, end exclusive.
 
     Kinds ``assign``, ``access`` and ``hex`` are leftmost non-overlapping matches of their patterns;
-    ``random`` are further tokens that overlap none of them. Null and empty texts have none. Texts are
+    ``random`` are further tokens, or what is left of tokens that those touch, and overlap none of them. Null and empty texts have none. Texts are
     read whole, whatever their length; each row stands by itself, so repeated rows give repeated results.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -147,6 +147,21 @@ def test_battery_of_one_case(letters, n):
         assert secrets.random_tokens(f"see {plain} there") == [], plain
 
 
+def test_secret_beside_a_pattern():
+    rnd = random.Random(9)
+    letters = LOWER + LOWER.upper() + "0123456789+/"
+    for head, tail in (("AKIA" + "ABCDEFGH23456789" + "/", ""), ("0123456789abcdef01234567-", ""), ("", "-0123456789abcdef01234567"), ("password=hunter22 ", "")):
+        hidden = 0
+        for _ in range(100):
+            key = "".join(rnd.choices(letters, k=40))
+            key = LOWER[3] + key[1:-1] + "Z"
+            text = f"see {head}{key}{tail} there"
+            spans = secrets.find_secrets(text)
+            assert all(b <= x for (_, _, b), (x, _, _) in zip(spans, spans[1:]))
+            hidden += key not in secrets.masked(text, spans) and (text.index(key), "random", text.index(key) + 40) in spans
+        assert hidden >= 90
+
+
 def test_redaction(odd, none):
     out = secrets.redact(odd.union(odd.where("doc_id = 3").withColumn("text", F.lit("x password=hunter22 y"))))
     assert out.columns == odd.columns
