@@ -1,12 +1,11 @@
 """Best-fit packing of tokenized documents into sequences of a fixed capacity.
 
 Method: hierarchical residual packing. Each task tokenizes its documents and packs their pieces
-best-fit (largest first). Bins that are nearly full are final; the others go on as items, several
-tasks' bins together, to further best-fit rounds until one group is left. A round is a stored table,
-so a lost executor never repacks what others have read already.
-
-What a group hands on is bounded by ``carry`` bins; beyond that its fullest bins become final as they
-are. No piece is lost by that, only the packing is a little looser.
+best-fit (largest first). Bins that are nearly full are final; all others, however many, go on to
+further rounds. A round spreads them by hash over groups of bounded size, each with a mix of all tasks'
+bins, and packs a group anew, by pieces or by whole bins, whichever takes fewer. Rounds end with
+one group, or when one no longer lowers the number of bins. A round is a stored table, so a lost
+executor never repacks what others have read already.
 """
 
 from __future__ import annotations
@@ -29,10 +28,11 @@ CAPACITY = 4096
 END_ID = 1
 #: A bin with this many tokens free or fewer is nearly full.
 SLACK = 24
-#: Tasks whose underfull bins meet in one task of the next round.
+#: About ``FAN_IN * CARRY`` underfull bins, of ``GO * CARRY`` pieces at most, meet in one task of a round.
 FAN_IN = 8
-#: Underfull bins that one task hands on.
 CARRY = 4_000
+#: Pieces that a task packs in one go are ``GO * CARRY``.
+GO = 50
 #: Words that a worker remembers.
 REMEMBERED = 150_000
 
@@ -126,10 +126,17 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _packed(items: list[tuple[int, list[dict]]], level: int, group: int, capacity: int, slack: int, carry: int, last: bool) -> pa.RecordBatch:
-    """Items (used, members) packed into bins; at most ``carry`` stay open, the emptiest."""
+def _fitted(items: list[tuple[int, list[dict]]], capacity: int) -> list[tuple[int, list[dict]]]:
     items.sort(key=lambda x: (-x[0], [tuple(-1 if v is None else v for v in m.values()) for m in x[1][:1]]))
-    made = [(sum(items[i][0] for i in b), [*chain.from_iterable(items[i][1] for i in b)]) for b in best_fit([u for u, _ in items], capacity)]
+    return [(sum(items[i][0] for i in b), [*chain.from_iterable(items[i][1] for i in b)]) for b in best_fit([u for u, _ in items], capacity)]
+
+
+def _packed(items: list[tuple[int, list[dict]]], level: int, group: int, capacity: int, slack: int, last: bool) -> pa.RecordBatch:
+    """Items (used, members) packed into bins, by members or as they are; all underfull bins stay open but in the last round."""
+    made = _fitted(items, capacity)
+    if level:
+        anew = _fitted([(m["length"], [m]) for _, members in items for m in members], capacity)
+        made = min(anew, made, key=len)
     made.sort(key=lambda x: x[0])
     for _, members in made:
         place = 0
@@ -141,7 +148,7 @@ def _packed(items: list[tuple[int, list[dict]]], level: int, group: int, capacit
         [
             pa.array([level] * n, pa.int32()), pa.array([group] * n, pa.int64()), pa.array(range(n), pa.int64()),
             pa.array([u for u, _ in made], pa.int32()),
-            pa.array([not last and k < carry and u < capacity - slack for k, (u, _) in enumerate(made)], pa.bool_()),
+            pa.array([not last and u < capacity - slack for u, _ in made], pa.bool_()),
             pa.array([m for _, m in made], pa.list_(_ARROW)),
         ],
         names=["round", "grp", "bin", "used", "open", "members"],
@@ -172,11 +179,11 @@ def pack_documents(
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4
                     items.append((n, [{"doc_id": doc, "piece": piece, "start": at // 4, "length": n, "ids_crc32": zlib.crc32(part), "place": 0}]))
-            if len(items) > 50 * carry:  # a very large partition is packed in several goes
-                yield _packed(items, 0, group, capacity, slack, carry, False)
+            if len(items) > GO * carry:  # a very large partition is packed in several goes
+                yield _packed(items, 0, group, capacity, slack, False)
                 items, group = [], group + 1
         if items:
-            yield _packed(items, 0, group, capacity, slack, carry, False)
+            yield _packed(items, 0, group, capacity, slack, False)
         give_back()
 
     def merged(level: int, last: bool):
@@ -185,12 +192,12 @@ def pack_documents(
             for batch in batches:
                 for g, used, members in zip(*(batch.column(c).to_pylist() for c in range(3))):
                     if g != group and items:
-                        yield _packed(items, level, group, capacity, slack, carry, last)
+                        yield _packed(items, level, group, capacity, slack, last)
                         items = []
                     group = g
                     items.append((used, members))
             if items:
-                yield _packed(items, level, group, capacity, slack, carry, last)
+                yield _packed(items, level, group, capacity, slack, last)
 
         return run
 
@@ -199,18 +206,22 @@ def pack_documents(
     done = bins.where("NOT open")
     while True:
         waiting = bins.where("open")
-        groups = waiting.agg(F.countDistinct("grp")).first()[0]
-        if not groups:
+        number, pieces = waiting.agg(F.count("*"), F.sum(F.size("members"))).first()
+        if not number:
             break
         level += 1
-        last = groups <= fan_in
-        meet = F.lit(0).cast("long") if last else F.expr(f"(grp >> 20) DIV {fan_in} << 20")
+        groups = max(-(-number // (fan_in * carry)), -(-pieces // (GO * carry)))
+        meet = F.pmod(F.xxhash64("round", "grp", "bin"), F.lit(groups))
         bins = stored(
             waiting.select(meet.alias("grp"), "used", "members").repartition("grp").sortWithinPartitions("grp")
-            .mapInArrow(merged(level, last), _BINS),
+            .mapInArrow(merged(level, groups == 1), _BINS),
             "packing",
         )
         done = done.union(bins.where("NOT open"))
-    return done.select(F.expr("(CAST(round AS BIGINT) << 59) + (grp << 20) + bin").alias("sequence_id"), F.explode("members").alias("m")).select(
+        if bins.count() >= number:
+            done = done.union(bins.where("open"))
+            break
+    place = F.expr("IF(round = 0, 0L, (1L << 59) + (CAST(round AS BIGINT) << 44)) + (grp << 20) + bin")
+    return done.select(place.alias("sequence_id"), F.explode("members").alias("m")).select(
         "m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", F.col("m.place").alias("offset")
     )

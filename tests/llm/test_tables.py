@@ -337,6 +337,13 @@ def test_packing_rounds(spark, carry):
     assert used <= least * (1.1 if carry > 2 else 1.4)
 
 
+def test_packing_of_lengths_apart(spark):
+    docs = [(i, " ".join(["word"] * (60 if i < 400 else 35 + i % 3))) for i in range(800)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartitionByRange(8, "doc_id")
+    used, least = check_packing(packing.pack_documents(df, WORDS, capacity=100, slack=2, fan_in=2, carry=20).collect(), docs, 100)
+    assert used <= 1.1 * 400
+
+
 def test_packing_odd_rows(odd, none):
     texts = [(r.doc_id, r.text) for r in odd.collect()]
     check_packing(packing.pack_documents(odd, WORDS).collect(), texts, 4096)
