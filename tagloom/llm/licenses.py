@@ -22,9 +22,38 @@ BASE = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-# Further wordings of well-known public licenses.
+_AS_IS = "<<optional>> as is <<end>> <<optional>> “as is” <<end>>"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "<<words 0..1>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "<<words 0..1>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution "
+)
+_BSD_DISCLAIMER = (
+    f"this software is provided by <<words 1..12>> {_AS_IS} and any express or implied warranties including but not limited to the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<words 1..12>> be liable for any direct "
+    "indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of "
+    "use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+    "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+# Further wordings of well-known public licenses: full texts, notices, and, under labels of their own, openings alone.
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<optional>> the software <<end>> "
+            "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of "
+            "the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission "
+            "notice <<optional>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software the software is provided "
+            f"{_AS_IS} without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+            "noninfringement in no event shall <<words 1..12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising "
+            "from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd-2", _BSD + _BSD_DISCLAIMER),
+    ("bsd-3", _BSD + "<<words 0..1>> neither the name of <<words 1..12>> nor the names of <<words 1..3>> may be used to endorse or promote products derived from this software "
+              "without specific prior written permission " + _BSD_DISCLAIMER),
+    ("isc", "permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above "
+            f"copyright notice and this permission notice appear in all copies the software is provided {_AS_IS} and <<words 1..12>> disclaims all warranties with regard to "
+            "this software including all implied warranties of merchantability and fitness in no event shall <<words 1..12>> be liable for any special direct indirect or "
+            "consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+            "arising out of or in connection with the use or performance of this software"),
+    ("mit-opening", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
             "<<optional>> the software <<end>> to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license <<words 0..3>> 2 <<optional>> 0 <<end>> <<optional>> the license <<end>> "
                  "you may not use this file except in compliance with the license"),
@@ -32,11 +61,11 @@ TEMPLATES = (
     ("gpl-3", "gnu general public license <<optional>> as published by the free software foundation either <<end>> version 3"),
     ("gpl-2", "gnu general public license <<optional>> as published by the free software foundation either <<end>> version 2"),
     ("lgpl", "gnu <<words 1..1>> general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-opening", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("isc-opening", "permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 <<optional>> 0 <<end>>"),
     ("cc-by-nc", "creative commons attribution <<optional>> non commercial <<end>> <<optional>> noncommercial <<end>> <<words 0..3>> license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense-opening", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "copyright <<optional>> c <<end>> <<words 1..8>> all rights reserved"),
 )
 

@@ -76,6 +76,18 @@ def test_template_regions():
             licenses.compile_template("x", bad)
 
 
+def test_openings_are_no_licenses():
+    scanner = licenses.Scanner()
+    found = lambda text: {m[2] for m in scanner.scan(text.encode())[1]}
+    for label, opening in (("mit", "mit-opening"), ("bsd-2", "bsd-opening"), ("bsd-3", "bsd-opening"), ("isc", "isc-opening")):
+        full = next(m for k, m in licenses.TEMPLATES if k == label)
+        full = re.sub(r"<<words \d+[.]{2}\d+>>", "it", re.sub(r"<<optional>> “as is” <<end>>", "", full))
+        full = re.sub(r"<<optional>>|<<end>>", "", full)
+        assert found(full) == {label, opening}
+        assert found(full.replace("warranties", "promises")) == {opening}
+        assert found(full[:400]) == {opening}
+
+
 def test_license_query(spark, texts):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for r in queries.QUERIES["op7_license_scan"](spark, SF).collect():
