@@ -88,9 +88,34 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
+OP13 = """
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents
+),
+k AS (
+  SELECT *, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(h, 1 + 8 * CAST(i AS INTEGER), 8) AS BIGINT)) AS r FROM u
+),
+c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+      WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+),
+p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(pre || mid || suf) AS restored_sha256
+FROM p
+"""
+
 ORACLES = {
     "op2_embedding_near_dedup": OP2,
     "op3_zip_warc": OP3,
     "op5_chat_formatting": OP5,
     "op9_ngram_jaccard_join": OP9,
+    "op13_fill_in_middle": OP13,
 }

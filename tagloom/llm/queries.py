@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, jaccard, jpeg, licenses, neardup, packing, quality, secrets, warc
+from tagloom.llm import bpe, chat, fim, jaccard, jpeg, licenses, neardup, packing, quality, secrets, warc
 from tagloom.llm.common import read, ship
 
 QUERIES: dict = {}
@@ -143,3 +143,12 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
         F.sha2(listed(F.filter("secrets", lambda s: s["kind"] != "random")), 256).alias("base_sha256"),
         listed("secrets").alias("spans"),
     )
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and restored; digests of both."""
+    pieces = fim.transform(read(spark, d, "documents").select("doc_id", "text"))
+    return fim.digests(fim.restore(pieces)).select(
+        "kept.doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"
+    )
