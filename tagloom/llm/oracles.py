@@ -88,6 +88,45 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
+#: CRC-32 bit by bit, lowest bit of each byte first; near words meet at the word with one code point masked or left out.
+OP12 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+),
+per AS (SELECT doc_id, run, count(*) AS k, hex(encode(doc_id || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+sums AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(len(x) // 2), lambda i:
+    list_transform(range(8), lambda b: (CAST('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT) >> b) & 1)))),
+    lambda c, b: xor(c >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) AS h
+  FROM per
+),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM sums GROUP BY 1 HAVING length(word) >= 6 AND sum(k) >= 5
+),
+spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+masked AS (
+  SELECT DISTINCT word, n, substr(word, 1, CAST(i - 1 AS INTEGER)) || '?' || substr(word, CAST(i + 1 AS INTEGER)) AS key FROM spots
+),
+cut AS (SELECT DISTINCT word, n, substr(word, 1, CAST(i - 1 AS INTEGER)) || substr(word, CAST(i + 1 AS INTEGER)) AS key FROM spots),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM masked x JOIN masked y ON x.key = y.key AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON w.word = c.key
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON w.word = c.key
+),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS top, max(m) AS top_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * w.n THEN top END AS form, CASE WHEN top_n >= 5 * w.n THEN top_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+),
+chain AS (
+  SELECT word, word AS up, 0 AS steps FROM forms
+  UNION ALL SELECT c.word, f.form, c.steps + 1 FROM chain c JOIN forms f ON f.word = c.up WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM forms f JOIN (SELECT word, last(up ORDER BY steps) AS root FROM chain GROUP BY word) c ON c.word = f.word
+"""
+
 OP13 = """
 WITH u AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents
@@ -117,5 +156,6 @@ ORACLES = {
     "op3_zip_warc": OP3,
     "op5_chat_formatting": OP5,
     "op9_ngram_jaccard_join": OP9,
+    "op12_spelling_variants": OP12,
     "op13_fill_in_middle": OP13,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, fim, jaccard, jpeg, licenses, neardup, packing, quality, secrets, warc
+from tagloom.llm import bpe, chat, fim, jaccard, jpeg, licenses, neardup, packing, quality, secrets, spelling, warc
 from tagloom.llm.common import read, ship
 
 QUERIES: dict = {}
@@ -145,6 +145,12 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all documents, each with the near word it follows and the last of that chain."""
+    return spelling.spelling_variants(read(spark, d, "documents"))
+
+
 @query
 def op13_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
     """Every document rearranged for filling in its middle, and restored; digests of both."""
