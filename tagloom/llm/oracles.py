@@ -88,6 +88,31 @@ SELECT conv_id, count(*) AS n_turns,
 FROM o GROUP BY conv_id
 """
 
+OP11 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+t AS (SELECT doc_id, x, unnest(range((len(x) + 199) // 200)) AS j FROM d),
+y AS (SELECT doc_id, j, substr(x, CAST(200 * j + 1 AS INTEGER), 298) AS y FROM t),
+b AS (SELECT doc_id, j, y, unnest(range(least(100, len(y) // 2))) AS k FROM y),
+w AS (
+  SELECT doc_id, 100 * j + k AS i, substr(y, CAST(2 * k + 1 AS INTEGER), 2) AS byte,
+    CASE WHEN 2 * k + 100 <= len(y) THEN substr(y, CAST(2 * k + 1 AS INTEGER), 100) END AS s
+  FROM b
+),
+f AS (SELECT s, min(doc_id) AS first_doc FROM w WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT w.doc_id, w.i, w.byte, coalesce(f.first_doc < w.doc_id, false) AS found FROM w LEFT JOIN f ON f.s = w.s),
+c AS (
+  SELECT doc_id, i, byte, coalesce(bool_or(found) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM r
+),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM c),
+g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
 #: CRC-32 bit by bit, lowest bit of each byte first; near words meet at the word with one code point masked or left out.
 OP12 = f"""
 WITH RECURSIVE runs AS (
@@ -156,6 +181,7 @@ ORACLES = {
     "op3_zip_warc": OP3,
     "op5_chat_formatting": OP5,
     "op9_ngram_jaccard_join": OP9,
+    "op11_suffix_dedup": OP11,
     "op12_spelling_variants": OP12,
     "op13_fill_in_middle": OP13,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import bpe, chat, fim, jaccard, jpeg, licenses, neardup, packing, quality, secrets, spelling, warc
+from tagloom.llm import bpe, chat, fim, jaccard, jpeg, licenses, neardup, packing, quality, repeats, secrets, spelling, warc
 from tagloom.llm.common import read, ship
 
 QUERIES: dict = {}
@@ -145,6 +145,13 @@ def op10_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the passages of 50 bytes or more that an earlier document has."""
+    found = repeats.remove_repeats(read(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
     """Words of all documents, each with the near word it follows and the last of that chain."""
