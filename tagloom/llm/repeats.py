@@ -10,8 +10,10 @@ anchor, and such a run of strings is one row, with the pair (name of the anchor,
 
 1. Runs equal to a run in an earlier document are settled whole. A run alone with its anchor has no equal strings elsewhere and goes.
    Others stay open: their anchor is known elsewhere in other surroundings, so some of their strings may be.
-2. The strings of open runs are ranked one by one, by the pair (first 32 bytes, last 32 bytes).
-3. Settled places, as spans by document, are taken out of the texts.
+2. Open runs fall into two sides, by the half of their surroundings that all strings of a side hold (16 bytes before or after the
+   anchor). Sides whose 34 bytes no other document has go.
+3. The strings of the sides left are ranked one by one, by the pair (first 32 bytes, last 32 bytes).
+4. Settled places, as spans by document, are taken out of the texts.
 
 Skew: map tasks settle what they can among their own rows and send one document's rows for each pair, and rows of anchors in very many
 surroundings are dealt by run instead of anchor, so that no group exceeds a few rows for each stretch of texts read.
@@ -21,7 +23,8 @@ Names have 64 bits, pairs 128; equal pairs are taken for equal strings.
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from tagloom.llm.common import _parts, as_bytes, give_back, stored
 
 LENGTH = 50
 #: Bytes named at once, and bytes of text whose rows a map task compares before it sends them.
-STRETCH, FLUSH = 1 << 20, 12 << 20
+STRETCH, FLUSH = 1 << 17, 12 << 20
 #: Surroundings of an anchor, among the rows of one flush, from which its rows are dealt by run.
 BUSY = 16
 #: Kinds of rows: asks by anchor, asks by run, tells that an anchor is busy, settled already.
@@ -88,35 +91,61 @@ class Names:
         return out
 
 
-def runs(buffer: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor name, run name, start, stop) of all runs of strings of ``length`` bytes; ``left``: bytes from each place to its text's end.
-
-    The buffer has at most ``STRETCH + length`` places.
-    """
-    none = np.zeros(0, np.uint64)
-    if len(buffer) < length:
-        return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(names: Names, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names of all anchor-long strings, place of the anchor of each string of ``length`` bytes); buffers of up to 2 MB."""
     k = anchor_length(length)
-    names = Names(buffer, length)
-    anchor = names.of(k)
-    order = (anchor & ~np.uint64((1 << 21) - 1)) | np.arange(len(anchor), dtype=np.uint64)  # 43 bits, then the first place
-    width, low = 1, order
+    name = names.of(k)
+    low_bits = np.uint64((1 << 21) - 1)
+    low = (name & ~low_bits) | np.arange(len(name), dtype=np.uint64)  # 43 bits, then the first place
+    width = 1
     while width * 2 <= length - k + 1:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if by := length - k + 1 - width:
         low = np.minimum(low[:-by], low[by:])
-    at = (low & np.uint64((1 << 21) - 1)).astype(np.int64)
-    whole = np.flatnonzero(left[: len(at)] >= length)
+    return name, (low & low_bits).astype(np.int64)
+
+
+def runs(buffer: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(anchor name, run name, start, stop) of all runs of strings of ``length`` bytes; ``left``: bytes from each place to its text's end."""
+    whole = np.flatnonzero(left >= length)
     if not len(whole):
-        return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
+    names = Names(buffer, length)
+    name, at = anchors(names, length)
     at = at[whole]
     first = np.ones(len(whole), bool)
     first[1:] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)
     last = np.ones(len(whole), bool)
     last[:-1] = first[1:]
     start, stop = whole[first], whole[last] + length
-    return anchor[at[first]], names.spans(start, stop), start, stop
+    return name[at[first]], names.spans(start, stop), start, stop
+
+
+def sides(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(which run, name, start, stop) of the sides of runs that lie in a buffer."""
+    k = anchor_length(length)
+    half = (length - k) // 2
+    names = Names(buffer, length)
+    at = anchors(names, length)[1][start]
+    name = names.of(k + half)
+    last = stop - length
+    before, after = np.flatnonzero(start <= at - half), np.flatnonzero(last > at - half)
+    which = np.concatenate((before, after))
+    starts = np.concatenate((start[before], np.maximum(start, at - half + 1)[after]))
+    ends = np.concatenate((np.minimum(last, at - half)[before], last[after])) + length
+    return which, np.concatenate((name[(at - half)[before]], ~name[at[after]])), starts, ends
+
+
+def strings(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(which run, first and second name, start) of the single strings of runs that lie in a buffer."""
+    names = Names(buffer, length)
+    h = names.levels[names.level]
+    n = stop - start - length + 1
+    which = np.repeat(np.arange(len(start)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[which]
+    return which, h[at], h[at + length - names.level], at
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -130,19 +159,27 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 def condense(key: np.ndarray, run: np.ndarray, doc: np.ndarray, place: np.ndarray, by_run: bool) -> tuple[np.ndarray, ...]:
     """What a map task sends of its rows: places with an earlier document among them are settled already."""
-    o = np.lexsort((place, doc, run, key))
+    o = np.argsort(key)
     key, run, doc, place = key[o], run[o], doc[o], place[o]
+    group = _groups(key)
+    alone = group.copy()
+    alone[:-1] &= group[1:]
+    some = np.flatnonzero(~alone)  # few keys have several rows
+    o = some[np.lexsort((place[some], doc[some], run[some], key[some]))]
+    run[some], doc[some], place[some] = run[o], doc[o], place[o]
     first = _groups(key, run)
     lowest = doc[first][np.cumsum(first) - 1]
-    kind = np.where(doc > lowest, SETTLED, ASK_RUN if by_run else ASK).astype(np.int32)
-    if by_run or not len(key):
-        return np.where(kind == SETTLED, _mix(place.astype(np.uint64)), key), run, doc, place, kind
-    group = _groups(key)
-    starts = np.flatnonzero(group)
-    busy = (np.add.reduceat(first.astype(np.int64), starts) > BUSY) & (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
-    told = key[starts[busy]]
-    kind[(kind == ASK) & busy[np.cumsum(group) - 1]] = ASK_RUN
-    key = np.where(kind == ASK, key, np.where(kind == SETTLED, _mix(place.astype(np.uint64)), pair(key, run)))
+    settled = doc > lowest
+    kind = np.where(settled, SETTLED, ASK_RUN if by_run else ASK).astype(np.int32)
+    told = key[:0]
+    if not by_run and len(key):
+        starts = np.flatnonzero(group)
+        busy = (np.add.reduceat(first.astype(np.int64), starts) > BUSY) & (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
+        told = key[starts[busy]]
+        many = (kind == ASK) & busy[np.cumsum(group) - 1]
+        kind[many] = ASK_RUN
+        key[many] = pair(key[many], run[many])
+    key[settled], run[settled] = doc[settled].view(np.uint64), 0
     zeros = np.zeros(len(told), np.int64)
     return (
         np.concatenate((key, told)), np.concatenate((run, zeros.astype(np.uint64))), np.concatenate((doc, zeros)),
@@ -274,8 +311,18 @@ def _first_rows(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _open_rows(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
-    """Rows of the single strings of open runs."""
+def _sides(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    which, name, x, y = sides(buffer, start, stop, length)
+    return which, name, doc[which].astype(np.uint64), x, y - x - length + 1  # documents stand for runs: a side that two have stays open
+
+
+def _strings(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    which, a, b, x = strings(buffer, start, stop, length)
+    return which, a + b * np.uint64(0xE7037ED1A0B428DB), b, x, np.ones(len(x), np.int64)
+
+
+def _open_rows(texts: DataFrame, spans: DataFrame, length: int, rows_of: Callable[..., tuple[np.ndarray, ...]], by_run: bool) -> DataFrame:
+    """Rows that ``rows_of`` makes of the open runs: (which run, key, run, start, number of strings)."""
     schema = StructType.fromDDL(_ROWS)
     asked = spans.where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = texts.join(asked, ["doc", "tag"]).select("doc", "tag", "text", "spans.start", "spans.stop")
@@ -289,17 +336,11 @@ def _open_rows(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
             if not waiting:
                 return
             lengths = np.array([len(p) for p in parts])
-            ends = np.cumsum(lengths)
-            buffer = np.frombuffer(b"".join(parts), np.uint8)
-            left = np.repeat(ends, lengths) - np.arange(ends[-1])
-            names = Names(buffer, length)
-            h = names.levels[names.level]
-            at = np.flatnonzero(left >= length)
-            a, b = h[at], h[at + length - names.level]
-            own = np.searchsorted(ends, at, "right")
+            stop = np.cumsum(lengths)
+            start = stop - lengths
             doc, tag, base = (np.array(x, np.int64) for x in zip(*owners))
-            place = _place(0, at - (ends - lengths)[own] + base[own], np.ones(len(at), np.int64)) + (tag[own] << 39)
-            found.append((a + b * np.uint64(0xE7037ED1A0B428DB), b, doc[own], place))
+            which, key, run_, at, windows = rows_of(np.frombuffer(b"".join(parts), np.uint8), start, stop, doc, length)
+            found.append((key, run_, doc[which], _place(0, at - start[which] + base[which], windows) + (tag[which] << 39)))
             waiting = 0
             parts.clear()
             owners.clear()
@@ -310,7 +351,7 @@ def _open_rows(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
             if found:
                 rows = [np.concatenate(x) for x in zip(*found)]
                 found.clear()
-                yield from _batches(condense(*rows, by_run=True), schema.fieldNames())
+                yield from _batches(condense(*rows, by_run=by_run), schema.fieldNames())
             size = 0
 
         for batch in _parts(batches):
@@ -330,7 +371,7 @@ def _open_rows(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def _union(starts: list[int], stops: list[int], length: int) -> list[tuple[int, int]]:
+def _union(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
     """Maximal runs of the bytes that the spans cover."""
     out: list[list[int]] = []
     for x, y in sorted(zip(starts, stops)):
@@ -342,17 +383,22 @@ def _union(starts: list[int], stops: list[int], length: int) -> list[tuple[int,
 
 
 def _let_go(spark: SparkSession) -> None:
-    """Exchange files of finished jobs go as soon as the driver's garbage is collected: a phase's files don't lie beside the next one's."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Exchange files of finished jobs go once the driver's garbage is collected, so that a phase's files don't lie beside the next one's."""
+    for _ in range(2):  # what Python lets go is garbage in the JVM only the next time
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _settled(docs: DataFrame, id_col: str, text_col: str, length: int) -> list[DataFrame]:
-    first = _ranked(_first_rows(_texts(docs, id_col, text_col), length), length, "repeats-runs")
-    _let_go(docs.sparkSession)
-    second = _ranked(_open_rows(_texts(docs, id_col, text_col), first, length), length, "repeats-strings")
-    _let_go(docs.sparkSession)
-    return [first, second]
+    spark, texts = docs.sparkSession, lambda: _texts(docs, id_col, text_col)
+    first = _ranked(_first_rows(texts(), length), length, "repeats-runs")
+    _let_go(spark)
+    second = _ranked(_open_rows(texts(), first, length, _sides, by_run=False), length, "repeats-sides")
+    _let_go(spark)
+    third = _ranked(_open_rows(texts(), second, length, _strings, by_run=True), length, "repeats-strings")
+    _let_go(spark)
+    return [first, third]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -377,7 +423,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in _parts(batches):
             sizes, counts, lists, outs = [], [], [], []
             for text, starts, stops in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                merged = _union(starts or [], stops or [], length)
+                merged = _union(starts or [], stops or [])
                 at, rest = 0, []
                 for x, y in merged:
                     rest.append(text[at:x])

@@ -103,7 +103,8 @@ def test_small_stretches_and_flushes(spark, monkeypatch):
             continue
         inside = lambda x, y, spans: any(a <= x and y <= b for a, b in spans)
         assert all(inside(x, y, versions[0][1]) for x, y in covered.get((i, False), []))
-        either = repeats._union(*zip(*(covered.get((i, False), []) + covered.get((i, True), []))), 50) if covered.get((i, False)) or covered.get((i, True)) else []
+        both = covered.get((i, False), []) + covered.get((i, True), [])
+        either = repeats._union(*zip(*both)) if both else []
         assert all(inside(a, b, either) for a, b in versions[0][1])
 
 
