@@ -233,6 +233,26 @@ def _pieces(word: str) -> str:
     )
 
 
+def _marks(files: str, defs: str) -> str:
+    """CTE ``marks``: tokens with their spans and whether their family knows them; ``files`` has blobs with content and path."""
+    before = "PARTITION BY blob_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+mf AS (SELECT DISTINCT blob_id, content, {_family('path')} AS family FROM {files}),
+mp AS (SELECT blob_id, family, unnest(ls) AS piece, generate_subscripts(ls, 1) AS i, len(ls) AS n FROM (
+        SELECT blob_id, family, CASE family WHEN 'D' THEN regexp_extract_all(content, '{_pieces("A-Za-z0-9_-")}')
+            ELSE regexp_extract_all(content, '{_pieces("A-Za-z0-9_")}') END AS ls FROM mf WHERE family IS NOT NULL)),
+mo AS (SELECT *, coalesce(sum(length(piece)) OVER w, 0) AS off,
+          1 + coalesce(sum(length(piece) - length(replace(piece, chr(10), ''))) OVER w, 0) AS line FROM mp WINDOW w AS ({before})),
+mc AS (SELECT *, off - coalesce(max(CASE WHEN contains(piece, chr(10)) THEN off + length(piece) - length(regexp_extract(piece, '[^\n]*$')) END) OVER w, 0) AS start
+       FROM mo WINDOW w AS ({before})),
+kd AS (SELECT DISTINCT ident, t.f AS family FROM {defs} d JOIN (VALUES ('C', 'C'), ('C', 'K'), ('K', 'K'), ('D', 'D'), ('M', 'K')) t(f, df) ON d.family = t.df
+       UNION SELECT ident, 'D' FROM {defs} d WHERE family = 'C' AND type = 'macro'),
+mt AS (SELECT blob_id, family, line::INT AS line, start::INT AS start, (start + length(piece))::INT AS "end", piece,
+          CASE WHEN family = 'K' THEN 'CONFIG_' || piece ELSE piece END AS ident FROM mc
+       WHERE i > 1 AND i < n AND (regexp_matches(piece, '^[A-Za-z0-9_]+$') OR (family = 'D' AND regexp_matches(piece, '^[A-Za-z0-9_-]+$')))),
+marks AS (SELECT mt.*, kd.ident IS NOT NULL AS known FROM mt LEFT JOIN kd ON kd.ident = mt.ident AND kd.family = mt.family)"""
+
+
 PROSE = f"""
 doc_f AS (SELECT source AS version, lang || '/' || CASE doc_id % 7
             WHEN 0 THEN 'f' || doc_id || '.c' WHEN 1 THEN 'f' || doc_id || '.H' WHEN 2 THEN 'Kconfig-' || doc_id
@@ -436,18 +456,6 @@ def oracles() -> dict[str, str]:
                 UNION ALL SELECT unnest(['define', 'part_' || p_partkey, p_size::VARCHAR]) FROM part WHERE p_partkey // 64 IN (SELECT chunk FROM part_f)
                 UNION ALL SELECT unnest(CASE WHEN s_suppkey % 100 = 0 THEN ['int', 'supp_' || s_suppkey] ELSE ['extern', 'int', 'supp_' || s_suppkey] END)
                     FROM supplier WHERE s_suppkey // 100 IN (SELECT chunk FROM supp_f)) GROUP BY token""",
-        "marked_tokens": f"""{config}, d AS (SELECT DISTINCT blob_id, dts.* FROM dts JOIN loc USING (path, version)),
-                k AS (SELECT DISTINCT blob_id, n FROM kconfig JOIN loc USING (path, version)),
-                mk AS (SELECT DISTINCT blob_id, n FROM makefile JOIN loc USING (path, version)),
-                cc AS (SELECT DISTINCT blob_id, n, c FROM code JOIN loc USING (path, version))
-            SELECT 'config' AS project, blob_id, family, line::INT AS line, start::INT AS start, (start + len)::INT AS "end", ident, true AS known FROM (
-                SELECT blob_id, 'K' AS family, 1 AS line, 7 AS start, length('NATION_' || n) AS len, 'CONFIG_NATION_' || n AS ident FROM k
-                UNION ALL SELECT blob_id, 'K', 3, 12, length('NATION_' || n), 'CONFIG_NATION_' || n FROM k
-                UNION ALL SELECT blob_id, 'M', 1, 6, length('CONFIG_NATION_' || n), 'CONFIG_NATION_' || n FROM mk
-                UNION ALL SELECT blob_id, 'C', 2, 8, length('VENDOR' || n || '_' || c), 'VENDOR' || n || '_' || c FROM cc
-                UNION ALL SELECT blob_id, 'C', 3, 7, length('CONFIG_NATION_' || n), 'CONFIG_NATION_' || n FROM cc
-                UNION ALL SELECT blob_id, 'D', 2, 0, length('node_' || n || '_' || c), 'node_' || n || '_' || c FROM d
-                UNION ALL SELECT blob_id, 'D', 3 + m, 8, length('VENDOR' || n || '_' || c), 'VENDOR' || n || '_' || c FROM d)""",
         # definitions
         "defs_extract": f"{code} SELECT 'code' AS project, ident, blob_id, type, line, 'C' AS family FROM defs",
         "defs_extract_config": f"{config} SELECT 'config' AS project, ident, blob_id, type, line, family FROM defs",
@@ -487,14 +495,6 @@ def oracles() -> dict[str, str]:
         # lookups
         "search_ident": f"{search} SELECT 'code' AS project, version, ident, family, section, type, path, lines FROM found",
         "search_ident_config": f"{config} SELECT 'config' AS project, version, ident, family, section, type, path, lines FROM found",
-        "search_ident_json": f"""{config}, d AS (SELECT version, ident, family, string_agg('{{"path":"' || path || '","line":' || lines || ',"type":"' || type || '"}}', ',' ORDER BY type DESC, path, lines::INT) AS t
-                FROM found WHERE section = 'definitions' GROUP BY ALL),
-            r AS (SELECT version, ident, family, string_agg('{{"path":"' || path || '","line":"' || lines || '","type":null}}', ',' ORDER BY path) AS t
-                FROM found WHERE section = 'references' GROUP BY ALL)
-            SELECT 'config' AS project, q.version, q.ident, q.family,
-                '{{"definitions":[' || coalesce(d.t, '') || '],"references":[' || coalesce(r.t, '') || '],"documentations":[]}}' AS json
-            FROM (SELECT * FROM asked WHERE family <> 'B') q LEFT JOIN d ON d.version = q.version AND d.ident = q.ident AND d.family = q.family
-                 LEFT JOIN r ON r.version = q.version AND r.ident = q.ident AND r.family = q.family""",
         "ident_exists": f"""WITH {CODE}, {IDENT_QUERIES} SELECT 'code' AS project, version, ident, family,
             ident IN (SELECT ident FROM defs) AS symbol_exists, version IN (SELECT version FROM vkeys) AS version_indexed FROM asked""",
         "ident_defs_by_family": f"{config} SELECT family, type, count(*) AS n FROM found WHERE section = 'definitions' GROUP BY ALL",
@@ -555,7 +555,34 @@ def oracles() -> dict[str, str]:
             e AS (SELECT version, path AS target FROM web_f UNION SELECT version, {_dir('path')} FROM web_f)
             SELECT t.*, e.target IS NOT NULL AS target_exists FROM t LEFT JOIN e ON e.version = t.version AND e.target = t.target""",
     }
-    # Marked tokens of device trees, by the paths they lie at.
-    made["marked_file"] = f"""SELECT l.version, l.path, m.line, m.start, m."end", m.ident AS text FROM ({made["marked_tokens"]}) m
-        JOIN ({config} SELECT DISTINCT version, path, blob_id FROM loc) l ON l.blob_id = m.blob_id WHERE m.family = 'D' AND suffix(l.path, '.dts')"""
+    trees = (("code", CODE, "paths", "(SELECT *, 'C' AS family FROM defs)"), ("config", CONFIG, "(SELECT * FROM all_files JOIN loc USING (path, version))", "defs"))
+    made["marked_tokens"] = " UNION ALL ".join(
+        f"""(WITH {tree}, {_marks(files, defs)} SELECT '{project}' AS project, blob_id, family, line, start, "end", ident, known FROM marks)"""
+        for project, tree, files, defs in trees
+    )
+    made["marked_file"] = " UNION ALL ".join(
+        f"""(WITH {tree}, {_marks(files, defs)}, placed AS (
+                SELECT DISTINCT version, path, blob_id FROM paths),
+            rows AS (SELECT version, path, line, start, "end", piece AS text, known FROM placed JOIN marks USING (blob_id)
+                UNION ALL SELECT version, path, NULL, NULL, NULL, content, false FROM placed JOIN mf USING (blob_id) WHERE family IS NULL)
+            SELECT '{project}' AS project, version, path, count(*) AS n_tokens, count(*) FILTER (known) AS n_known,
+                sum(line::BIGINT * 1000000 + start * 1000 + "end")::BIGINT AS spots, sum(length(text))::BIGINT AS chars,
+                min(text) AS first_text, max(text) AS last_text FROM rows GROUP BY ALL)"""
+        for project, tree, files, defs in trees
+    )
+    order = "type DESC NULLS LAST, path, CASE WHEN section = 'definitions' THEN lines::INT END"
+    made["search_ident_ranked"] = f"""SELECT *, row_number() OVER (PARTITION BY version, ident, family, section ORDER BY {order}) AS rank FROM ({made["search_ident"]})"""
+    made["search_compatible_ranked"] = f"""SELECT *, row_number() OVER (PARTITION BY version, ident, family, section ORDER BY path) AS rank FROM ({made["search_compatible"]})"""
+    made["search_ident_json"] = f"""WITH q AS ({config} SELECT version, ident, family FROM asked),
+        r AS (SELECT * FROM ({made["search_ident_config"]}) UNION ALL BY NAME SELECT * FROM ({made["search_compatible"]})),
+        i AS (SELECT version, ident, family, CASE section WHEN 'code' THEN 'definitions' WHEN 'dts' THEN 'references' ELSE section END AS part,
+                CASE section WHEN 'code' THEN 1 WHEN 'definitions' THEN 1 WHEN 'documentations' THEN 3 ELSE 2 END AS k,
+                row_number() OVER (PARTITION BY version, ident, family, section ORDER BY {order}) AS n,
+                '{{"path":"' || path || '","line":' || CASE section WHEN 'definitions' THEN lines ELSE '"' || lines || '"' END
+                    || ',"type":' || coalesce('"' || type || '"', 'null') || '}}' AS item FROM r),
+        b AS (SELECT *, coalesce(sum(length(item) + 1) OVER (PARTITION BY version, ident, family ORDER BY k, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // 200 AS piece FROM i),
+        t AS (SELECT version, ident, family, piece, {", ".join(f"coalesce(string_agg(item, ',' ORDER BY n) FILTER (part = '{x}'), '') AS {x}" for x in ("definitions", "references", "documentations")).replace(" AS references", " AS refs")} FROM b GROUP BY ALL)
+        SELECT 'config' AS project, q.version, q.ident, q.family, coalesce(piece, 0) AS piece,
+            '{{"definitions":[' || coalesce(definitions, '') || '],"references":[' || coalesce(refs, '') || '],"documentations":[' || coalesce(documentations, '') || ']}}' AS json
+        FROM q LEFT JOIN t ON t.version = q.version AND t.ident = q.ident AND t.family = q.family"""
     return made

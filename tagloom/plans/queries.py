@@ -422,19 +422,26 @@ def masked_tokens(spark, d):
 
 @query
 def marked_tokens(spark, d):
-    index = config_index(spark, d)
-    spans = TK.token_spans(index["blobs"])
-    return L.mark_idents(spans, D.known_in_family(index["defs"])).select(
-        "project", "blob_id", "family", "line", "start", "end", "ident", "known"
-    ).where("known")
+    """Every token of the code and configuration trees, known to its family or not."""
+    marked = [
+        L.mark_idents(TK.token_spans(index["blobs"]), D.known_in_family(index["defs"]))
+        for index in (code_index(spark, d), config_index(spark, d))
+    ]
+    return marked[0].unionByName(marked[1]).select("project", "blob_id", "family", "line", "start", "end", "ident", "known")
 
 
 @query
 def marked_file(spark, d):
-    """Device trees by their paths, in every version that has them."""
-    index = config_index(spark, d)
-    keys = index["paths"].where(F.col("path").endswith(".dts")).select("project", "version", "path")
-    return S.marked_file(index, keys).where("known").select("version", "path", "line", "start", "end", "text")
+    """Files of both trees by all their paths, unknown tokens too, and files of no family as text; sums of their spans."""
+    files = [
+        S.marked_file(index, index["paths"].select("project", "version", "path"))
+        for index in (code_index(spark, d), config_index(spark, d))
+    ]
+    spot = F.expr("CAST(line AS BIGINT) * 1000000 + start * 1000 + `end`")
+    return files[0].unionByName(files[1]).groupBy("project", "version", "path").agg(
+        F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"), F.sum(spot).alias("spots"),
+        F.sum(F.length("text")).alias("chars"), F.min("text").alias("first_text"), F.max("text").alias("last_text"),
+    )
 
 
 # --- definitions -------------------------------------------------------------------
@@ -619,10 +626,21 @@ def search_ident_config(spark, d):
     return _shown(S.search_ident(config_index(spark, d), config_queries(spark, d)))
 
 
+@query
+def search_ident_ranked(spark, d):
+    return _shown(S.ranked(_code_result(spark, d)))
+
+
+@query
+def search_compatible_ranked(spark, d):
+    return _shown(S.ranked(S.search_compatible(config_index(spark, d), config_queries(spark, d))))
+
+
 @query
 def search_ident_json(spark, d):
-    index, asked = config_index(spark, d), config_queries(spark, d).where("family <> 'B'")
-    return S.search_json(S.search_ident(index, asked), asked)
+    """Answers of all families, in pieces small enough that many have several."""
+    index, asked = config_index(spark, d), config_queries(spark, d)
+    return S.search_json(S.search_ident(index, asked).unionByName(S.search_compatible(index, asked)), asked, piece=200)
 
 
 @query

@@ -12,6 +12,7 @@ from tagloom.operators.defs import known_in_family
 from tagloom.operators.docs import docs_first
 from tagloom.operators.links import mark_idents
 from tagloom.operators.listing import of_versions
+from tagloom.operators.ranks import numbered
 from tagloom.operators.tokens import token_spans
 from tagloom.operators.versions import resolve_version
 from tagloom.schema import FAMILIES, REF_COMPAT
@@ -112,11 +113,19 @@ def search_ident(index: dict[str, DataFrame], queries: DataFrame, latest: DataFr
     )
 
 
-def in_result_order(result: DataFrame) -> DataFrame:
-    """Per query: definitions by type from the back, path, line; the rest by path."""
-    return result.orderBy(
-        "project", "version", "ident", "family", "section", F.desc("type"), "path", F.col("lines")[0]
-    )
+#: Sections of an answer in the order they are shown; bindings of compatible strings stand in for definitions, device trees for references.
+SECTIONS = {"definitions": "definitions", "references": "references", "documentations": "documentations", "code": "definitions", "dts": "references"}
+
+
+def _result_order() -> list[Column]:
+    return [F.desc("type"), F.col("path"), F.col("lines")]
+
+
+def ranked(result: DataFrame) -> DataFrame:
+    """``result`` with ``rank``, from 1 within each section of a query: definitions by type from the back, path, line; the rest by path.
+
+    A query with most of the rows is numbered by many tasks."""
+    return numbered(result, ["project", "version", "ident", "family", "section"], _result_order())
 
 
 def ident_exists(index: dict[str, DataFrame], queries: DataFrame, latest: DataFrame | None = None) -> DataFrame:
@@ -164,53 +173,36 @@ def search_compatible(index: dict[str, DataFrame], queries: DataFrame, latest: D
     )
 
 
-def search_json(result: DataFrame, queries: DataFrame) -> DataFrame:
-    """One JSON object per query, empty lists where nothing was found.
+def search_json(result: DataFrame, queries: DataFrame, piece: int = 1 << 20) -> DataFrame:
+    """Answers as JSON in pieces: ``(project, version, ident, family, piece, json)``, pieces numbered from 0 (a row longer than a
+    piece leaves numbers out).
 
-    An answer is as long as what was found; for bulk work keep the row form.
+    Each piece is an object with the lists ``definitions``, ``references`` and ``documentations``; an answer is their lists
+    joined in order of the pieces. A piece holds the rows whose text starts within its ``piece`` characters
+    of the answer, so that no answer is ever whole in a task. Queries that found nothing have one piece of empty lists.
     """
     keys = ["project", "version", "ident", "family"]
-    first = F.element_at("lines", 1)
-    defined = F.struct("type", "path", first.alias("line"))
-    placed = F.struct("path", line_list_text(F.col("lines")).alias("line"))
-
-    def rows(name: str, item: Column) -> Column:
-        return F.collect_list(F.when(F.col("section") == name, item))
-
-    found = result.groupBy(*keys).agg(
-        rows("definitions", defined).alias("_d"),
-        rows("references", placed).alias("_r"),
-        rows("documentations", placed).alias("_c"),
-    )
-    by_type = F.array_sort(
-        "_d",
-        lambda a, b: F.when(a["type"] != b["type"], F.when(a["type"] > b["type"], -1).otherwise(1))
-        .when(a["path"] != b["path"], F.when(a["path"] < b["path"], -1).otherwise(1))
-        .when(a["line"] != b["line"], F.when(a["line"] < b["line"], -1).otherwise(1))
-        .otherwise(0),
+    first, none = F.element_at("lines", 1), F.lit(None).cast("string")
+    defined = F.to_json(F.struct("path", first.alias("line"), "type"), {"ignoreNullFields": "false"})
+    placed = F.to_json(F.struct("path", line_list_text(F.col("lines")).alias("line"), F.coalesce("type", none).alias("type")), {"ignoreNullFields": "false"})
+    names = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
+    rows = result.select(
+        *keys, names[F.col("section")].alias("section"), "type", "path", "lines",
+        F.when(F.col("section") == "definitions", defined).otherwise(placed).alias("item"),
     )
-    answer = F.to_json(
-        F.struct(
-            F.transform(
-                by_type, lambda d: F.struct(d["path"].alias("path"), d["line"].alias("line"), d["type"].alias("type"))
-            ).alias("definitions"),
-            *[
-                F.transform(
-                    F.array_sort(c),
-                    lambda r: F.struct(
-                        r["path"].alias("path"), r["line"].alias("line"), F.lit(None).cast("string").alias("type")
-                    ),
-                ).alias(n)
-                for c, n in (("_r", "references"), ("_c", "documentations"))
-            ],
-        ),
-        {"ignoreNullFields": "false"},
+    lists = list(dict.fromkeys(SECTIONS.values()))
+    place = F.array_position(F.array(*[F.lit(n) for n in lists]), F.col("section"))
+    told = numbered(rows, keys, [place, *_result_order()], size=F.length("item") + 1)
+    found = told.groupBy(*keys, F.expr(f"before DIV {piece}").alias("piece")).agg(
+        F.array_sort(F.collect_list(F.struct("rank", "section", "item"))).alias("items")
     )
-    nothing = '{"definitions":[],"references":[],"documentations":[]}'
+    part = lambda name: F.array_join(F.transform(F.filter("items", lambda x: x["section"] == name), lambda x: x["item"]), ",")
+    text = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":['), part(n), F.lit("]")) for n in lists]), F.lit("}"))
+    nothing = "{" + ",".join(f'"{n}":[]' for n in lists) + "}"
     return (
         queries.select(*keys).distinct()
-        .join(found.select(*keys, answer.alias("json")), keys, "left")
-        .withColumn("json", F.coalesce("json", F.lit(nothing)))
+        .join(found.select(*keys, "piece", text.alias("json")), keys, "left")
+        .select(*keys, F.coalesce("piece", F.lit(0)).cast("long").alias("piece"), F.coalesce("json", F.lit(nothing)).alias("json"))
     )
 
 
