@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators import blobs as blob_ops
@@ -103,9 +103,15 @@ def build_index(files: DataFrame, options: IndexOptions = IndexOptions()) -> Laz
 STAGED = ("tags", "tokens", "docs", "comps", "comp_words")
 
 
-def write_table(df: DataFrame, name: str, path: str) -> None:
+def bucket_of(buckets: int) -> Column:
+    """The bucket a row's identifier falls into; the same for every batch of an index."""
+    return F.pmod(F.xxhash64("ident"), F.lit(buckets)).cast("int")
+
+
+def write_table(df: DataFrame, name: str, path: str, buckets: int | None = None) -> None:
     """Write one index table in full, partitioned by project and sorted for
     row-group skipping; identifier tables carry a bloom filter on the identifier.
+    With ``buckets`` the rows of a project also lie apart by bucket of their identifier.
 
     Rows are spread by range of their sort columns: files cover narrow key
     ranges, and a key that holds many rows is spread by the columns behind it.
@@ -118,21 +124,21 @@ def write_table(df: DataFrame, name: str, path: str) -> None:
     if name in STAGED:
         rows.write.mode("overwrite").parquet(staging)
         rows = spark.read.schema(INDEX_TABLES[name]).parquet(staging)
+    folders = ["project", "version"] if name in ("paths", "first_paths") else ["project"]
+    if buckets:
+        rows, folders = rows.withColumn("bucket", bucket_of(buckets)), ["project", "bucket"]
+    order = list(dict.fromkeys(["project", *folders, *SORT_COLUMNS[name]])) if buckets else ["project", *SORT_COLUMNS[name]]
     if name != "blobs":
-        rows = rows.repartitionByRange("project", *SORT_COLUMNS[name])
-    writer = (
-        rows.sortWithinPartitions("project", *SORT_COLUMNS[name])
-        .write.mode("overwrite")
-        .partitionBy(*(["project", "version"] if name in ("paths", "first_paths") else ["project"]))
-    )
+        rows = rows.repartitionByRange(*order)
+    writer = rows.sortWithinPartitions(*order).write.mode("overwrite").partitionBy(*folders)
     if "ident" in SORT_COLUMNS[name]:
         writer = writer.option("parquet.bloom.filter.enabled#ident", "true")
     writer.parquet(path)
     if name in STAGED:
-        _delete(spark, staging)
+        delete(spark, staging)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder this module wrote, on whatever file system it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -161,7 +167,7 @@ def write_index(files: DataFrame, root: str, options: IndexOptions = IndexOption
     path = f"{root}/paths"
     write_table(index["paths"], "paths", path)
     index["paths"] = read_table(files.sparkSession, "paths", path)
-    _delete(files.sparkSession, hidden)
+    delete(files.sparkSession, hidden)
     return index
 
 

@@ -196,9 +196,9 @@ def test_stored_content_is_not_read_again(spark, files, tmp_path, monkeypatch):
     ingest_batch(files(V1), 0, root)
     real = ingest.write_table
 
-    def spying(df, name, path):
+    def spying(df, name, path, *more):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
-        real(df, name, path)
+        real(df, name, path, *more)
 
     monkeypatch.setattr(ingest, "write_table", spying)
     ingest_batch(files(V2), 1, root)
@@ -208,6 +208,37 @@ def test_stored_content_is_not_read_again(spark, files, tmp_path, monkeypatch):
     assert not [x for x in scans if "content:string" in x]
 
 
+def test_batch_reads_the_buckets_of_its_new_names(spark, files, tmp_path, monkeypatch):
+    """Ten new names, used by files of an earlier batch, open a few of the old token files, however many batches there are."""
+    from tagloom.streaming import ingest
+
+    root, opened = str(tmp_path / "ix"), []
+    uses = "".join(f"\tuse(late_{i});\n" for i in range(10))
+    many = "".join(f"\tuse(name_{i});\n" for i in range(3000))
+    first = [("v1", "b.c", f"int first(void)\n{{\n{uses}{many}}}\n")]
+    third = [("v3", "late.h", "/* */\n" + "".join(f"int late_{i};\n" for i in range(10)))]
+    ingest_batch(files(first), 0, root)
+    old = {f for n in ("tokens", "defs") for f in spark.read.parquet(f"{root}/{n}").inputFiles()}
+    real = ingest.read_buckets
+
+    def spying(spark, root, name, idents, but=None):
+        out = real(spark, root, name, idents, but)
+        opened.append((name, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ingest, "read_buckets", spying)
+    ingest_batch(files(third), 2, root)
+    (tokens,) = [f for name, f in opened if name == "tokens"]
+    assert 0 < len(tokens) < 0.05 * sum("/tokens/" in f for f in old)
+    whole = build_index(files(first + third))
+    same(read_batches(spark, root), whole)
+    refs = read_batches(spark, root)["refs"]
+    assert refs.where("ident LIKE 'late%'").count() == 10
+    versions = {(r.project, r.version) for r in ingest.indexed_versions(spark, root).collect()}
+    assert versions == {("p", "v1"), ("p", "v3")}
+    assert ingest.indexed_versions(spark, root, but=2).count() == 1
+
+
 def test_first_names_in_the_projects_own_order(spark, files):
     from tagloom.operators.blobs import build_blobs
     from tagloom.operators.versions import VersionRules, list_versions, sequence_versions
