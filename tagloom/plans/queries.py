@@ -18,6 +18,7 @@ from tagloom.operators import listing as LS
 from tagloom.operators import refs as R
 from tagloom.operators import tokens as TK
 from tagloom.operators import versions as V
+from tagloom.plans import completion as CM
 from tagloom.plans import search as S
 from tagloom.plans.index import IndexOptions, StoredIndex, index_stats
 from tagloom.schema import REF_COMPAT, pairs
@@ -699,6 +700,14 @@ def queries_validated(spark, d):
     return S.validate_queries(asked).select("project", "version", "ident", "family", "accepted", "rejected_for")
 
 
+def _completions(index: StoredIndex, compatible: bool) -> DataFrame:
+    """The stored table of prefixes of an index, written when it is first asked for."""
+    name = "completions-b" if compatible else "completions"
+    if name not in index:
+        index[name] = CM.write_completions(S.completion_names(index, compatible), f"{index.root}/{name}")
+    return index[name]
+
+
 @query
 def autocomplete(spark, d):
     index = code_index(spark, d)
@@ -716,7 +725,7 @@ def autocomplete(spark, d):
         .distinct()
         .select(F.lit("code").alias("project"), "prefix", F.lit("C").alias("family"))
     )
-    return S.autocomplete(index, asked)
+    return CM.complete(_completions(index, False), asked).select("project", "prefix", "family", "rank", "ident")
 
 
 @query
@@ -727,7 +736,7 @@ def autocomplete_compatible(spark, d):
         F.concat(F.lit("vendor"), F.col("n_nationkey").cast("string"), F.lit(",")).alias("prefix"),
         F.lit("B").alias("family"),
     )
-    return S.autocomplete(index, asked)
+    return CM.complete(_completions(index, True), asked).select("project", "prefix", "family", "rank", "ident")
 
 
 # --- links ---------------------------------------------------------------------------
