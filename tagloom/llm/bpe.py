@@ -173,7 +173,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with ``out_col``: the bytes of the ids (binary: ids may end within a character). Null ids
-    give empty bytes; an id that the vocabulary lacks is an error."""
+    give empty bytes; an id that the vocabulary lacks is an error. A column named ``out_col`` gives way."""
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {out_col: pa.array([decode_ids(i or b"", path) for i in batch.column(1).to_pylist()], pa.binary())}

@@ -72,9 +72,14 @@ def _running(items: Column, size, chunk: int = 128) -> Column:
     total = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + size(x))
     places = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     chunks = F.transform(places(F.ceil(F.size(items) / chunk).cast("int")), lambda k: F.slice(items, k * chunk + 1, F.lit(chunk)))
-    sums = F.transform(chunks, total)
-    before = F.transform(sums, lambda _, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda acc, x: acc + x))
-    return F.flatten(F.zip_with(chunks, before, lambda part, base: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i + 1)))))
+    ahead = lambda sums: F.transform(sums, lambda _, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda acc, x: acc + x))
+    within = lambda part, base: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i + 1)))
+    return _let(chunks, lambda c: F.flatten(F.zip_with(c, _let(F.transform(c, total), ahead), within)))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, the value worked out once for a row however often ``use`` names it, within other lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -89,7 +94,8 @@ def read_turns(formatted: Column) -> Column:
 
 def read_spans(formatted: Column, spans: Column) -> Column:
     """The unescaped text under each span."""
-    wide = F.encode(formatted, "UTF-32")  # 4 bytes a code point: a span is cut out without counting from the start
-    return F.transform(
+    # 4 bytes a code point: a span is cut out without counting from the start
+    cut = lambda wide: F.transform(
         spans, lambda s: unescape(F.decode(F.substring(wide, s["start"] * 4 + 1, s["length"] * 4), "UTF-32"))
     )
+    return _let(F.encode(formatted, "UTF-32"), cut)

@@ -83,7 +83,7 @@ def add_columns(
     """``df`` with the Arrow columns ``added`` (a DDL string) that ``fn`` makes of a batch of ``inputs``.
 
     ``keep`` names the columns to carry along (all by default). Inputs come to ``fn`` by position,
-    so that columns of any name may stand beside them.
+    so that columns of any name may stand beside them; one with the name of an added column (upper and lower case alike) gives way to it.
     """
     kept = df.columns if keep is None else keep
     packed = df.select(
@@ -100,7 +100,8 @@ def add_columns(
         give_back()
 
     out = packed.mapInArrow(run, StructType([packed.schema["kept"], *extra.fields]))
-    return out.select(*["kept.*"] * bool(kept), *names)
+    added_names = {n.lower() for n in names}
+    return out.select(*[F.col(f"kept.`{c}`").alias(c) for c in kept if c.lower() not in added_names], *[F.col(f"`{n}`") for n in names])
 
 
 def byte_map(rows: DataFrame, cells: int, chunk: int = 4096) -> np.ndarray:

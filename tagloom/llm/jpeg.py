@@ -338,7 +338,7 @@ def encode_media(df: DataFrame, text_col: str = "text", media_col: str = "media"
 def decode_media(df: DataFrame, media_col: str = "media", payload_col: str = "payload") -> DataFrame:
     """``df`` with what the stored bytes hold: ``note``, ``width`` and ``height`` (of the first frame), the
     thumbnail as bytes in ``payload_col`` (all frames, row by row), and its hash. Null media give nulls;
-    bytes that are no baseline JPEG are an error."""
+    bytes that are no baseline JPEG are an error. Columns with the names of the added ones give way."""
     names = ["note", "width", "height", payload_col, "thumb_hash"]
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:

@@ -188,7 +188,8 @@ def scan(df: DataFrame, base=BASE, templates=TEMPLATES, text_col: str = "text")
     ends exclusive, by start; ``base`` marks the fixed phrases, whose every place is reported.
 
     Null and empty texts have no words and no matches. Whole texts are scanned, whatever their length;
-    a template at several places gives several matches, several templates at one place one each.
+    a template at several places gives several matches, several templates at one place one each. Columns
+    of ``df`` named ``n_words`` or ``matches`` give way.
     """
     scanner = Scanner(base, templates)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("base", pa.bool_()), ("score", pa.float64())]))

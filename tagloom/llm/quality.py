@@ -124,7 +124,7 @@ def score(
 
     ``host`` and ``path`` name the site and the part of it a document comes from (defaults: columns
     ``source`` and ``lang``). Null hosts and paths are groups of their own; null and empty texts are
-    judged as empty texts. Each row counts, repeated rows too. An empty table stays empty.
+    judged as empty texts. Each row counts, repeated rows too. An empty table stays empty. Columns of ``docs`` with the names of the added ones give way.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
@@ -154,7 +154,7 @@ def score(
     rate = (F.col("site_s") - good + worth_path * F.col("host_rate")) / (F.col("site_n") - 1 + worth_path)
     rate = F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
     return own.withColumn("rate", rate).select(
-        *[F.col(n).alias(c) for c, n in zip(docs.columns, named)],
+        *[F.col(n).alias(c) for c, n in zip(docs.columns, named) if c.lower() not in ("evidence", "site_rate", "score")],
         (F.col("logit") - model.base).alias("evidence"),
         F.col("rate").alias("site_rate"),
         F.expr(f"1 / (1 + exp(-(logit - {model.base!r} + ln(rate / (1 - rate)))))").alias("score"),

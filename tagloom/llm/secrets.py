@@ -184,7 +184,8 @@ def scan(df: DataFrame, text_col: str = "text", out_col: str = "secrets") -> Dat
 
     Kinds ``assign``, ``access`` and ``hex`` are leftmost non-overlapping matches of their patterns;
     ``random`` are further tokens, or what is left of tokens that those touch, and overlap none of them. Null and empty texts have none. Texts are
-    read whole, whatever their length; each row stands by itself, so repeated rows give repeated results.
+    read whole, whatever their length; each row stands by itself, so repeated rows give repeated results. A column
+    of ``df`` named ``out_col`` gives way.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

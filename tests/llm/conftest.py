@@ -21,7 +21,8 @@ ROWS = [
     (5, "Ünïcödé 漢字 🙂 <|im_end|> \\ \t\n", "src1", "de"),
 ]
 #: Names that operators use inside.
-CLASHES = ("kept", "in0", "c0", "c1", "host", "path", "n", "matches", "secrets", "ids", "redacted", "logit", "component", "node", "gone", "k")
+CLASHES = ("kept", "in0", "c0", "c1", "host", "path", "n", "matches", "secrets", "ids", "redacted", "logit", "component", "node", "gone", "k",
+           "decoded", "media", "note", "width", "height", "payload", "thumb_hash", "n_words", "score", "evidence", "site_rate", "rate", "host_rate", "site_n", "site_s")
 
 
 @pytest.fixture

@@ -393,6 +393,34 @@ def test_chat_plan_has_no_python(spark):
 # --- pipeline ----------------------------------------------------------------------------------------
 
 
+def test_stages_keep_clashing_columns(spark, odd, none):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and {r.score for r in out.collect()} == {7}, name
+        assert stage(spark, none, SF).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).count() >= 8
+
+
+def test_chat_work_is_linear(spark):
+    import time
+
+    def seconds(turns):
+        rows = spark.range(turns).select(
+            F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") % 2 + 1).cast("int")).alias("role"),
+            F.repeat(F.lit("some text <|x "), 14).alias("text"),
+        )
+        out = chat.format_conversations(rows)
+        took = []
+        for _ in range(2):
+            start = time.time()
+            n = out.select(F.size(chat.read_turns(F.col("formatted"))).alias("t"), F.length(F.array_join(chat.read_spans(F.col("formatted"), F.col("loss_spans")), "")).alias("l")).first()
+            took.append(time.time() - start)
+            assert (n.t, n.l) == (turns, turns // 2 * 14 * 14)
+        return min(took)
+
+    assert seconds(8000) < 5 * max(1.0, seconds(2000))
+
+
 def test_pipeline_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
