@@ -14,7 +14,7 @@ def of_versions(paths: DataFrame, keys: DataFrame) -> DataFrame:
     The test of the version's name, true of every name, tells the planner that the keys are worth
     asking before the scan.
     """
-    asked = keys.where("version <> ''").select("project", "version").distinct()
+    asked = keys.where("length(version) >= 0").select("project", "version").distinct()
     return paths.join(asked, ["project", "version"], "left_semi")
 
 
@@ -51,10 +51,16 @@ def list_dir(paths: DataFrame, dirs: DataFrame | None = None, blobs: DataFrame |
     """
     if dirs is not None:
         paths = of_versions(paths, dirs)
-    out = entries(paths).where(~F.col("name").startswith("."))
+    out = entries(paths)
     if dirs is not None:
         wanted = dirs.select("project", "version", strip_slashes(F.col("dir")).alias("dir")).distinct()
         out = out.join(wanted, ["project", "version", "dir"], "left_semi")
+    return show(out, blobs)
+
+
+def show(out: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """Entries as a listing shows them."""
+    out = out.where(~F.col("name").startswith("."))
     out = out.withColumn("target", F.col("path"))
     if blobs is not None:
         links = (

@@ -417,6 +417,16 @@ def oracles() -> dict[str, str]:
             SELECT version, {_dir('path')} AS dir, 'blob' AS kind, {_base('path')} AS name, octet_length(encode(content)) AS size, '100644' AS perm FROM paths
             UNION ALL SELECT version, {_dir('dir')}, 'tree', {_base('dir')}, NULL, '040000' FROM dirs WHERE dir <> '')
             SELECT * FROM every SEMI JOIN asked USING (version, dir)""",
+        "directory_nodes": f"""{code}, {DIRS}, held AS (
+                SELECT version, {_dir('path')} AS dir, {_base('path')} AS name, blob_id AS child FROM paths),
+            leaves AS (SELECT version, dir, string_agg(name || ' ' || child, chr(10) ORDER BY name) AS content FROM held GROUP BY ALL),
+            under AS (SELECT d.version, d.dir, string_agg(substr(l.dir, length(d.dir) + 1) || chr(9) || l.content, chr(12) ORDER BY l.dir) AS content,
+                    (SELECT count(*) FROM held h WHERE h.version = d.version AND h.dir = d.dir)
+                    + (SELECT count(*) FROM dirs s WHERE s.version = d.version AND s.dir <> '' AND {_dir('s.dir')} = d.dir) AS n_entries,
+                    least((SELECT min(name) FROM held h WHERE h.version = d.version AND h.dir = d.dir),
+                          (SELECT min({_base('s.dir')}) FROM dirs s WHERE s.version = d.version AND s.dir <> '' AND {_dir('s.dir')} = d.dir)) AS first_name
+                FROM dirs d JOIN leaves l ON l.version = d.version AND (d.dir = '' OR l.dir = d.dir OR starts_with(l.dir, d.dir || '/')) GROUP BY d.version, d.dir)
+            SELECT count(*) AS n_places, min(dir) AS first_dir, any_value(n_entries) AS n_entries, any_value(first_name) AS first_name FROM under GROUP BY md5(content)""",
         "path_type": f"""{code}, {DIRS}, {PATH_QUERIES}
             SELECT q.version, q.path, CASE WHEN p.path IS NOT NULL THEN 'blob' WHEN d.dir IS NOT NULL THEN 'tree' END AS type
             FROM path_queries q LEFT JOIN paths p ON p.version = q.version AND p.path = trim(q.path, '/')

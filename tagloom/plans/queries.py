@@ -19,6 +19,7 @@ from tagloom.operators import refs as R
 from tagloom.operators import tokens as TK
 from tagloom.operators import versions as V
 from tagloom.plans import completion as CM
+from tagloom.plans import directories as DR
 from tagloom.plans import search as S
 from tagloom.plans.index import IndexOptions, StoredIndex, index_stats
 from tagloom.schema import REF_COMPAT, pairs
@@ -54,6 +55,14 @@ def code_index(spark: SparkSession, d: str) -> StoredIndex:
     return _stored(spark, d, "code", lenses.code_files)
 
 
+def code_directories(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The stored directories of the code tree, written when they are first asked for."""
+    index = code_index(spark, d)
+    if "directories" not in index:
+        index["directories"] = DR.write_directories(index["paths"], f"{index.root}/directories")
+    return index["directories"]
+
+
 def config_index(spark: SparkSession, d: str) -> StoredIndex:
     return _stored(spark, d, "config", lenses.config_files)
 
@@ -309,19 +318,26 @@ def dir_listing(spark, d):
 def dir_listing_asked(spark, d):
     """The directories that are asked for, of the versions asked for."""
     asked = path_queries(spark, d).select("project", "version", F.col("path").alias("dir"))
-    return LS.list_dir(code_index(spark, d)["paths"], asked).select("version", "dir", "kind", "name", "size", "perm")
+    return DR.list_directories(code_directories(spark, d), asked).select("version", "dir", "kind", "name", "size", "perm")
 
 
 @query
 def path_type(spark, d):
-    return LS.path_type(code_index(spark, d)["paths"], path_queries(spark, d)).select(
-        "version", "path", "type"
-    )
+    return DR.path_types(code_directories(spark, d), path_queries(spark, d)).select("version", "path", "type")
 
 
 @query
 def path_exists(spark, d):
-    return LS.path_exists(path_queries(spark, d), code_index(spark, d)["paths"]).select("version", "path")
+    return DR.paths_exist(path_queries(spark, d), code_directories(spark, d)).select("version", "path")
+
+
+@query
+def directory_nodes(spark, d):
+    """How often each distinct directory is shared, by its entries."""
+    tree = code_directories(spark, d)
+    shared = tree["dirs"].groupBy("node").agg(F.count("*").alias("n_places"), F.min("dir").alias("first_dir"))
+    held = tree["nodes"].groupBy("node").agg(F.count("*").alias("n_entries"), F.min("name").alias("first_name"))
+    return shared.join(held, "node").drop("node")
 
 
 @query

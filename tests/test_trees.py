@@ -107,3 +107,28 @@ def test_two_equal_links_on_a_line_stay_two(files):
 def test_compatible_strings_in_devicetree(files):
     got = links(files, [("a.dts", '\t"before" compatible = "x,y", "z";\n')], [L.COMP_DTS])
     assert {g[3] for g in got} == {"x,y", "z"}
+
+
+def test_directories_by_content(spark, files, tmp_path):
+    from tagloom.operators import listing as LS
+    from tagloom.operators.blobs import listing
+    from tagloom.plans import directories as DR
+
+    same = [("lib/a/x.c", "1"), ("lib/a/y.c", "2"), ("copy/x.c", "1"), ("copy/y.c", "2")]
+    rows = [(v, p, c) for v in ("v1", "v2") for p, c in [*same, (".hidden", "h"), ("deep/er/and/deeper/z", "z")]]
+    rows += [("v2", "lib/b.c", "new"), ("v3", "only.c", "1"), ("v3", "lib/a/x.c", "changed"), ("v3", "lib/a/y.c", "2")]
+    paths = listing(files(rows))
+    tree = DR.write_directories(paths, str(tmp_path / "t"))
+    dirs = {(r.version, r.dir): r.node for r in tree["dirs"].collect()}
+    assert dirs["v1", "lib/a"] == dirs["v2", "lib/a"] == dirs["v1", "copy"] != dirs["v3", "lib/a"]
+    assert dirs["v1", "deep"] == dirs["v2", "deep"] and dirs["v1", "lib"] != dirs["v2", "lib"] and dirs["v1", ""] != dirs["v2", ""]
+    assert tree["nodes"].where(F.col("node") == dirs["v1", "copy"]).count() == 2
+    asked = ["", "/", "lib", "lib/a/", "copy", "deep/er", "gone", "only.c", "lib/a/x.c", ".hidden", "deep/er/and/deeper/z", "deep"]
+    keys = spark.createDataFrame([("p", v, p) for v in ("v1", "v2", "v3", "v4") for p in asked], "project string, version string, path string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    wanted = keys.withColumnRenamed("path", "dir")
+    assert rows(DR.list_directories(tree, wanted)) == rows(LS.list_dir(paths, wanted))
+    assert rows(DR.path_types(tree, keys)) == rows(LS.path_type(paths, keys))
+    assert rows(DR.paths_exist(keys, tree)) == rows(LS.path_exists(keys, paths))
+    empty = DR.write_directories(paths.where("false"), str(tmp_path / "none"))
+    assert empty["dirs"].count() == 0 and DR.paths_exist(keys, empty).count() == 0
