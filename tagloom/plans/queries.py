@@ -117,8 +117,8 @@ def ident_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def config_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Every nation symbol, vendor macro and compatible string, for each family."""
-    nation = table(spark, d, "nation").select(
+    """Every symbol of an office, vendor macro and compatible string, for each family."""
+    nation = lenses.offices(spark, d).select(
         "n_nationkey", F.concat(F.lit("v1."), F.col("n_regionkey").cast("string")).alias("version")
     )
     n = F.col("n_nationkey").cast("string")
@@ -747,7 +747,7 @@ def autocomplete(spark, d):
 @query
 def autocomplete_compatible(spark, d):
     index = config_index(spark, d)
-    asked = table(spark, d, "nation").select(
+    asked = lenses.offices(spark, d).select(
         F.lit("config").alias("project"),
         F.concat(F.lit("vendor"), F.col("n_nationkey").cast("string"), F.lit(",")).alias("prefix"),
         F.lit("B").alias("family"),

@@ -124,10 +124,17 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_from_text(rows.withColumn("project", F.lit("code")))
 
 
+def offices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(n_nationkey, n_name, n_regionkey)`` of the nations, and after them of all customers whose keys are no nation's: each has a directory."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", "n_regionkey")
+    customers = table(spark, sf_dir, "customer").where("c_custkey > 24").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return nation.unionByName(customers.select(F.col("c_custkey").cast("bigint").alias("n_nationkey"), F.col("c_name").alias("n_name"), "n_regionkey"))
+
+
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project ``config``: Kconfig, makefiles, C, devicetree, bindings and
     defconfig files; one version per region."""
-    nation = table(spark, sf_dir, "nation").select(
+    nation = offices(spark, sf_dir).select(
         "n_nationkey", "n_name", _cat("v1.", _s("n_regionkey")).alias("version"),
         _cat("net/r", _s("n_regionkey"), "/n", _s("n_nationkey")).alias("dir"),
     )
