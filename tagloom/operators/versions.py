@@ -267,10 +267,10 @@ def latest_version(versions: DataFrame, indexed: DataFrame) -> DataFrame:
 def resolve_version(queries: DataFrame, latest: DataFrame) -> DataFrame:
     """Replace ``latest`` and ``latest-rc`` in a query table.
 
-    ``latest`` has one row per project, so it is sent to the queries: a project with most of them is no hot key.
+    ``latest`` has one row per project; AQE sends it to the queries if it proves small, else splits a project with most of them.
     """
     return (
-        queries.join(F.broadcast(latest), "project", "left")
+        queries.join(latest, "project", "left")
         .withColumn(
             "version",
             F.when(F.col("version") == "latest", F.col("latest"))

@@ -18,7 +18,11 @@ from tagloom.schema import INDEX_TABLES, SORT_COLUMNS
 
 @dataclass(frozen=True)
 class IndexOptions:
-    """Choices where more than one reading is sensible; defaults are faithful."""
+    """Choices where more than one reading is sensible; defaults are faithful.
+
+    ``versions`` (project, version and their order, as ``sequence_versions`` gives them) says which version of a project comes first, and so
+    which name a content is first seen under; without it, release numbers do.
+    """
 
     rules: tuple = DEFAULT_RULES
     statements: bool = True
@@ -28,6 +32,7 @@ class IndexOptions:
     stop: DataFrame | None = field(default=None, compare=False)
     dts_projects: DataFrame | None = field(default=None, compare=False)
     tags: DataFrame | None = field(default=None, compare=False)
+    versions: DataFrame | None = field(default=None, compare=False)
 
 
 def table_plan(name: str, files: DataFrame, tables: Mapping[str, DataFrame],
@@ -35,7 +40,7 @@ def table_plan(name: str, files: DataFrame, tables: Mapping[str, DataFrame],
     """The plan of one index table, from ``files`` and the tables before it."""
     blobs = lambda: tables["blobs"]
     if name == "blobs":
-        return blob_ops.build_blobs(files)
+        return blob_ops.build_blobs(files, options.versions)
     if name == "paths":
         return blob_ops.listing(files)
     if name == "first_paths":

@@ -251,6 +251,8 @@ def test_first_names_in_the_projects_own_order(spark, files):
         versions = sequence_versions(list_versions(tags, (rule,)))
         (blob,) = build_blobs(made, versions).collect()
         assert blob.first_version == want and blob.filename == want + ".c"
+        (same_blob,) = build_index(made, IndexOptions(versions=versions))["blobs"].collect()
+        assert same_blob == blob
 
 
 class Lost(Exception):
