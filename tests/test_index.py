@@ -50,6 +50,17 @@ def test_stored_equals_lazy(spark, files, index):
     same(read_index(spark, index.root), build_index(files(V1 + V2)))
 
 
+def test_projects_of_one_index_do_not_mix(spark, files, tmp_path):
+    """The same contents, versions and names in two projects, one of them with more: as each for itself."""
+    one, two = files(V1 + V2, "p"), files(V1, "q/r")
+    both = write_index(one.unionByName(two).repartition(5), str(tmp_path / "both"))
+    alone = [write_index(f, str(tmp_path / f"alone{i}")) for i, f in enumerate((one, two))]
+    stored = read_index(spark, both.root)
+    for name in INDEX_TABLES:
+        assert rows(stored[name]) == rows(alone[0][name].unionByName(alone[1][name])), name
+    assert both["refs"].where("project = 'q/r' AND ident = 'MAC'").count() == 0 < both["refs"].where("project = 'p' AND ident = 'MAC'").count()
+
+
 def test_partitioning_changes_nothing(files, index):
     same(build_index(files(V1 + V2).orderBy(F.desc("path")).repartition(7)), index)
 

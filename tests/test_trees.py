@@ -6,7 +6,8 @@ from tagloom.operators import blobs as B
 from tagloom.operators import links as L
 from tagloom.operators import listing as LS
 from tagloom.functions import paths as P
-from tagloom.sources.trees import files_from_text, scan_paths, union_sources
+from tagloom.sources import trees as T
+from tagloom.sources.trees import files_from_text, scan_paths, tree_versions, union_sources
 
 
 def test_scan_exported_trees(spark, tmp_path):
@@ -21,11 +22,65 @@ def test_scan_exported_trees(spark, tmp_path):
     assert got["b.c"].content == "é\n" and got["b.c"].size == 3
 
 
+def test_modes_and_links_of_trees(spark, tmp_path):
+    import hashlib
+    import os
+
+    base = tmp_path / "t" / "proj" / "v1"
+    (base / "d" / "deep").mkdir(parents=True)
+    (base / "d" / "run.sh").write_text("#!/bin/sh\n")
+    (base / "d" / "run.sh").chmod(0o755)
+    (base / "d" / "deep" / "plain.c").write_text("int;\n")
+    (base / "link").symlink_to("d/deep/plain.c")
+    (base / "d" / "up").symlink_to("../d")  # a link to a directory above it is not walked
+    (base / "gone").symlink_to("nowhere/é")
+    (base / "empty.c").write_text("")
+    os.mkfifo(base / "pipe")
+    (tmp_path / "t" / "proj" / "v2").mkdir()
+    (tmp_path / "t" / "stray.c").write_text("in no version")
+    for root in (str(tmp_path / "t"), f"file://{tmp_path}/t/"):
+        found = scan_paths(spark, root)
+        got = {r.path: (r.kind, r.perm, r.size, r.content) for r in found.collect()}
+        assert got == {
+            "d/run.sh": ("blob", "100755", 10, "#!/bin/sh\n"), "d/deep/plain.c": ("blob", "100644", 5, "int;\n"),
+            "link": ("blob", "120000", 14, "d/deep/plain.c"), "d/up": ("blob", "120000", 4, "../d"),
+            "gone": ("blob", "120000", 10, "nowhere/é"), "empty.c": ("blob", "100644", 0, "")}
+        git = hashlib.sha1(b"blob 14\0d/deep/plain.c").hexdigest()
+        assert [r.blob_id for r in found.where("path = 'link'").collect()] == [git]
+    assert found.rdd.getNumPartitions() == 3  # v1: its own files and d; v2: its own files
+    assert [tuple(r) for r in tree_versions(spark, str(tmp_path / "t")).collect()] == [("proj", "v1")]
+    shown = LS.list_dir(B.listing(found), None, B.build_blobs(found)).where("dir = ''").collect()
+    assert {(r.kind, r.name, r.target) for r in shown} == {
+        ("tree", "d", "d"), ("symlink", "link", "d/deep/plain.c"), ("symlink", "gone", "nowhere/é"), ("blob", "empty.c", "empty.c")}
+    (tmp_path / "none").mkdir()
+    assert scan_paths(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_first_source_of_a_version_counts(files):
     got = union_sources(files([("v1", "a", "1")]), files([("v1", "a", "2"), ("v2", "a", "3")])).collect()
     assert {(r.version, r.content) for r in got} == {("v1", "1"), ("v2", "3")}
 
 
+def test_sources_are_united_without_moving_content(spark, files, tmp_path, monkeypatch):
+    one = [("v1", "a", "1"), ("v1", "b", "1"), (None, "n", "5")]
+    two = [("v1", "a", "2"), ("v2", "a", "3"), (None, "n", "6")]
+    made = []
+    for i, part in enumerate((one, two)):
+        files(part).write.parquet(f"{tmp_path}/{i}")
+        made.append(spark.read.parquet(f"{tmp_path}/{i}"))
+    wanted = {("v1", "a", "1"), ("v1", "b", "1"), (None, "n", "5"), ("v2", "a", "3")}
+    rows = lambda df: {(r.version, r.path, r.content) for r in df.collect()}
+    known = [s.select("project", "version") for s in made]
+    for got in (union_sources(*made), union_sources(*made, versions=known)):
+        assert rows(got) == wanted
+        plan = got._jdf.queryExecution().explainString(got._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        sections = [s for s in plan.split("\n\n") if ") Exchange" in s.split("\n")[0]]
+        assert sections and not [s for s in sections if "content#" in s]
+        assert plan.count("content:string") == 2  # each source is scanned with its content once
+    monkeypatch.setattr(T, "OWNERS", 1)
+    assert rows(union_sources(*made)) == wanted
+
+
 def test_name_of_a_blob_is_the_first_seen(files):
     got = B.build_blobs(files([("v1.10", "a.c", "x"), ("v1.9", "z/b.dts", "x"), ("v1.9", "z/c.c", "x")])).collect()
     assert [(r.filename, r.family, r.first_version) for r in got] == [("b.dts", "D", "v1.9")]
