@@ -32,7 +32,7 @@ from tagloom.llm.common import _parts, scratch, stored
 
 DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
 #: Bytes of records in an archive before the next one begins, and of a range read in one go.
-ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 4 << 20
+ARCHIVE_BYTES, RANGE_BYTES, TASK_BYTES = 64 << 20, 4 << 20, 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -178,7 +178,7 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
         F.encode(F.coalesce(F.col(f"`{payload_col}`"), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("k", F.sha1("payload"))
+    ).withColumn("k", F.sha2("payload", 256))  # payloads of equal SHA-1 can be made
     groups = (
         rows.where(F.length("payload") >= least).groupBy("k").agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
         .where("n > 1").select("k", "response")
@@ -251,9 +251,12 @@ def archive_index(manifest: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "path string, offset long, length long")
 
 
-def read_records(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_records(index: DataFrame, range_bytes: int = RANGE_BYTES, tasks: int | None = None) -> DataFrame:
     """The records at (path, offset, length): page_id, record_type, refers_to, url, payload_bytes,
-    payload_digest, payload (null for revisits). Records of a stretch of ``range_bytes`` are one read."""
+    payload_digest, payload (null for revisits). Records of a stretch of ``range_bytes`` are one read.
+
+    ``tasks`` is the number of reading tasks: the index is small beside what it points at, so its own size says nothing of it.
+    """
     kinds = {
         "page_id": pa.int64(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(),
         "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary(),
@@ -286,7 +289,8 @@ def read_records(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             file.close()
 
     stretch = F.expr(f"offset DIV {range_bytes}")
-    ordered = index.withColumn("stretch", stretch).repartition("path", "stretch").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    dealt = ["path", "stretch"] if tasks is None else [tasks, "path", "stretch"]
+    ordered = index.withColumn("stretch", stretch).repartition(*dealt).sortWithinPartitions("path", "offset").select("path", "offset", "length")
     return ordered.mapInArrow(
         run, "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
     )
@@ -298,4 +302,11 @@ def round_trip(spark: SparkSession, pages: DataFrame, **columns: str) -> DataFra
     Null payloads are empty; null urls have no target; rows with a null id refer to an equal payload
     with an id if there is one. Repeated rows of the largest id are responses both. Other columns are not read.
     """
-    return read_records(archive_index(write_archives(mark_revisits(pages, **columns), scratch(spark, "warc"))))
+    manifest = write_archives(mark_revisits(pages, **columns), scratch(spark, "warc"))
+    return read_records(archive_index(manifest), tasks=read_tasks(manifest))
+
+
+def read_tasks(manifest: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """A task for every ``task_bytes`` of the archives, one at least."""
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return max(1, -(-total // task_bytes))
