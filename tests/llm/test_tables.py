@@ -201,6 +201,43 @@ def test_audit_sees_small_groups_beside_a_large_one(monkeypatch):
     assert neardup.audited_beam(hnsw.build(v.astype(np.float32)), v, 0.95) >= 128
 
 
+def test_group_of_near_copies_takes_little_memory():
+    import subprocess
+    import sys
+
+    script = """
+import resource
+import numpy as np
+from tagloom.llm import hnsw, neardup
+rng = np.random.default_rng(8)
+v = np.concatenate([np.repeat(rng.standard_normal((1, 64)), 3000, 0) + 0.01 * rng.standard_normal((3000, 64)), rng.standard_normal((1000, 64))])
+v /= np.linalg.norm(v, axis=1)[:, None]
+graph = hnsw.build(v.astype(np.float32))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = [0, 0]
+for q, node in neardup.link_slices(graph, v, v, 0.95, 32):
+    found[0] += int((q < 3000).sum())
+    found[1] += int((q >= 3000).sum())
+print(*found, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    ran = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=240, check=True)
+    hot, others, grown_mb = map(int, ran.stdout.split())
+    # the group is compared one by one; a lone vector finds itself as far as the graph's recall goes
+    assert hot == 3000 * 3000 and neardup.RECALL * 1000 <= others <= 1000 and grown_mb < 1_000
+
+
+def test_slices_of_links_are_the_links(monkeypatch):
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.standard_normal((40, 16)), 12, 0) + 0.01 * rng.standard_normal((480, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    graph = hnsw.build(v.astype(np.float32))
+    monkeypatch.setattr(neardup, "PAIRS", 5_000)
+    monkeypatch.setattr(neardup, "SLICE_CELLS", 1_000)
+    for beam in (4, 480):  # widened and then whole; whole
+        got = [(a, b) for q, node in neardup.link_slices(graph, v, v, 0.95, beam) for a, b in zip(q.tolist(), node.tolist())]
+        assert sorted(got) == [tuple(x) for x in np.argwhere(v @ v.T >= 0.95).tolist()]
+
+
 def test_links_count_at_both_ends(spark, monkeypatch):
     rng = np.random.default_rng(6)
     v = np.repeat(rng.standard_normal((60, 16)), 5, 0) + 0.01 * rng.standard_normal((300, 16))
@@ -240,6 +277,19 @@ def test_links_count_at_both_ends(spark, monkeypatch):
 # --- WARC --------------------------------------------------------------------------------------------
 
 
+def test_warc_is_read_back_in_many_tasks(spark):
+    rng = np.random.default_rng(4)
+    pages = spark.createDataFrame([(i, "u", rng.bytes(3_000).hex()) for i in range(400)], "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.mark_revisits(pages.repartition(2)), common.scratch(spark, "warc"), 200_000)
+    total = sum(r.bytes for r in manifest.collect())
+    tasks = warc.read_tasks(manifest, 100_000)
+    assert tasks == -(-total // 100_000) > 8
+    back = warc.read_records(warc.archive_index(manifest), 20_000, tasks)
+    used = back.select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert len({r.page_id for r in used}) == len(used) == 400 and len({r.task for r in used}) > tasks / 2
+    assert warc.read_tasks(manifest.where("false")) == 1
+
+
 def test_warc_odd_rows(spark):
     rows = [(1, "http://a/ b", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "u", "same"), (None, None, "alone"), (5, "u", "é" * 100_000), (5, "u", "é" * 100_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("k", F.lit(1)).withColumn("payload", F.lit("x"))
