@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.functions.text import acceptable_ident, count_newlines, mask_for_statements, split_lines
+from tagloom.functions.text import acceptable_ident, count_newlines, mask_for_statements, split_lines, trim_blanks
 from tagloom.schema import DEF_FAMILIES, DEF_TYPES
 
 DEF_COLUMNS = ["project", "ident", "blob_id", "type", "line", "family"]
@@ -124,6 +124,7 @@ _NOT_FUNCTIONS = ("if", "while", "for", "switch", "return", "sizeof", "do", "els
 
 _ATTRIBUTE = r"__attribute__[ \t\n]*\(\([^()]*(?:\([^()]*\)[^()]*)*\)\)"
 _CALL = r"^([\w\s*]*?)\b([A-Za-z_]\w*)\s*\((?!\s*\*)"
+_OLD_HEAD = r"^[^(]*+\(([\w\s,]*+)\)([\s\S]*+)$"
 _BLOCK = r"\b(struct|union|enum|class)\b(?:\s+([A-Za-z_]\w*))?[\w\s:,]*$"
 
 
@@ -163,6 +164,13 @@ def _enumerators(head: Column) -> Column:
     )
 
 
+def _declares_its_parameters(head: Column) -> Column:
+    """Whether a list of bare names is followed by a declaration of one of them: ``int f(a, b) char *a``."""
+    listed = F.transform(F.split(F.regexp_extract(head, _OLD_HEAD, 1), ","), lambda name: trim_blanks(name))
+    declared = F.transform(_declarators(F.regexp_extract(head, _OLD_HEAD, 2)), lambda d: d["name"])
+    return head.rlike(r"\)\s*[A-Za-z_]\w*[\s*]") & F.arrays_overlap(listed, declared)
+
+
 def _settle(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later expressions read as values. A generator stands
     between, so the optimizer does not put their text into each use again."""
@@ -226,6 +234,8 @@ def _statements(blobs: DataFrame) -> DataFrame:
         ).alias("_tag"),
         (~opens & head.rlike(r"^\s*(?:struct|union|enum)\s+\w+\s*$")).alias("_forward"),
         head.rlike(r"[\w*]\s+[\w*(]|\*\w").alias("_two_words"),
+        F.when((F.col("_term") == ";") & call & ~F.col("_typedef"), _declares_its_parameters(head)).otherwise(False).alias("_old"),
+        (opens & ~head.rlike(r"\S")).alias("_bare"),
         F.when(declares, _declarators(head)).when(closes, _enumerators(head)).alias("_names"),
     )
 
@@ -236,8 +246,9 @@ def c_statement_defs(blobs: DataFrame) -> DataFrame:
     Depth and enclosing block come from running sums per blob; all windows
     share the one shuffle by blob. A closing brace in column 0 ends a top-level
     block and resets the depth, so ``#if`` branches with unequal braces do no
-    lasting harm. Also yields ``at_start``: a function whose line begins with
-    its name.
+    lasting harm. An old-style parameter list is told by the declarations behind
+    it: a function once its body follows, its parameters no variables. Also yields
+    ``at_start``: a function whose line begins with its name.
     """
     blob = Window.partitionBy("project", "blob_id").orderBy("_i")
     earlier = blob.rowsBetween(Window.unboundedPreceding, -1)
@@ -260,12 +271,23 @@ def c_statement_defs(blobs: DataFrame) -> DataFrame:
     )
     level = Window.partitionBy("project", "blob_id", "_part", "_level").orderBy("_i")
     opener = F.when(F.col("_kind").isNotNull() & ~outer, F.struct("_kind", "_typedef"))
+    top = F.col("_depth") == 0
+    # The last old-style head, forgotten at the next brace.
+    head = F.when(
+        F.col("_old") & top,
+        F.struct(F.col("_call").alias("name"), (F.col("_first") + F.col("_call_nl")).alias("line"), "_typed", "_at_start"),
+    )
+    brace = F.col("_term").isin("{", "}")
     rows = rows.withColumn(
         "_in", F.last(opener, ignorenulls=True).over(level.rowsBetween(Window.unboundedPreceding, -1))
-    ).select("*", F.lag("_term").over(blob).alias("_prev"), F.lag("_in").over(blob).alias("_closed"))
+    ).select(
+        "*", F.lag("_term").over(blob).alias("_prev"), F.lag("_in").over(blob).alias("_closed"),
+        F.last(F.when(head.isNotNull() | brace, F.struct(head.alias("head"))), ignorenulls=True).over(earlier)["head"].alias("_wait"),
+    )
 
-    top = F.col("_depth") == 0
     ends, opens = F.col("_term") == ";", F.col("_term") == "{"
+    body = F.col("_wait").isNotNull() & F.col("_bare") & top
+    parameter = F.coalesce(F.col("_wait._typed"), F.lit(False)) & ends & top & ~F.col("_extern")
     call = F.col("_call") != ""
     after_block = F.coalesce(
         (F.col("_prev") == "}") & F.col("_closed._kind").isin("struct", "union", "enum"), F.lit(False)
@@ -278,11 +300,12 @@ def c_statement_defs(blobs: DataFrame) -> DataFrame:
         .when(ends & after_block & top, "variable")
         .when(ends & inside & (after_block | F.col("_two_words")) & ~call, "member")
         .when(ends & top & F.col("_typedef"), "typedef")
+        .when(parameter, None)
         .when(ends & top & ~call & F.col("_two_words") & ~F.col("_forward") & F.col("_extern"), "externvar")
         .when(ends & top & ~call & F.col("_two_words") & ~F.col("_forward"), "variable")
     )
     call_type = F.when(opens & top & (F.col("_kind") == "function"), "function").when(
-        ends & top & call & F.col("_typed") & ~F.col("_typedef"), "prototype"
+        ends & top & call & F.col("_typed") & ~F.col("_typedef") & ~F.col("_old"), "prototype"
     )
     none = F.lit(None).cast("string")
     found = F.concat(
@@ -294,6 +317,10 @@ def c_statement_defs(blobs: DataFrame) -> DataFrame:
             F.struct(
                 F.col("_tag.name").alias("ident"), F.col("_kind").alias("type"), F.col("_tag.nl").alias("nl")
             ),
+            F.struct(
+                F.when(body, F.col("_wait.name")).alias("ident"), F.lit("function").alias("type"),
+                (F.col("_wait.line") - F.col("_first")).cast("int").alias("nl"),
+            ),
         ),
         F.transform(
             F.when(name_type.isNotNull(), F.col("_names")).otherwise(F.array().cast("array<struct<name:string,nl:int>>")),
@@ -302,7 +329,7 @@ def c_statement_defs(blobs: DataFrame) -> DataFrame:
     )
     return (
         rows.select(
-            "project", "blob_id", "family", "_first", "_at_start",
+            "project", "blob_id", "family", "_first", F.when(body, F.col("_wait._at_start")).otherwise(F.col("_at_start")).alias("_at_start"),
             F.explode(F.filter(found, lambda d: F.coalesce(d["ident"], F.lit("")) != "")).alias("_d"),
         )
         .select(

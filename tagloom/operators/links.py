@@ -30,6 +30,10 @@ class LinkRule:
     ``ident_family``, or a path: ``target`` with ``{}`` for the text, taken from the directory of the file
     or, when ``absolute``, from the root. ``check`` keeps links to existing paths only; several ``target``
     forms are then tried in order. ``gated`` rules hold in projects with devicetree support only.
+
+    What options can't say is said by functions of columns: ``when`` tests the path beside them, ``resolve`` makes
+    the target paths, an array in order of preference, of the path and the link text instead of ``target``. Both
+    become part of the plan; ``resolve`` may give null or an empty array for no link.
     """
 
     name: str
@@ -46,6 +50,8 @@ class LinkRule:
     check: bool = False
     hint: str = ""
     gated: bool = False
+    when: Callable[[Column], Column] | None = None
+    resolve: Callable[[Column, Column], Column] | None = None
 
 
 # --- readers -----------------------------------------------------------------
@@ -189,6 +195,8 @@ def applies(rule: LinkRule) -> Column:
         tests.append(path.endswith(rule.suffix))
     if rule.bindings:
         tests.append(is_binding(path))
+    if rule.when:
+        tests.append(F.coalesce(rule.when(path), F.lit(False)))
     test = reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
     return test & ~path.rlike(rule.except_paths) if rule.except_paths else test
 
@@ -278,6 +286,8 @@ def extract_links(
     for r in rules:
         if r.ident_family:
             value, what = F.array(F.col("text")), f"ident {r.ident_family}"
+        elif r.resolve:
+            value, what = F.transform(r.resolve(F.col("path"), F.col("text")), lambda t: join_path(F.lit(""), t)), "path"
         else:
             forms = [
                 F.concat(*[F.lit(part) if i % 2 == 0 else F.col("text")
@@ -289,6 +299,8 @@ def extract_links(
         kind = F.when(rule_is(r), what).otherwise(kind)
         target = F.when(rule_is(r), value).otherwise(target)
     links = links.withColumn("target_kind", kind).withColumn("_targets", target)
+    if any(r.resolve for r in rules):
+        links = links.where(F.size("_targets") > 0)
 
     checked = [r.name for r in rules if r.check]
     columns = ["project", "version", "path", "line", "rule", "text", "target_kind"]
@@ -298,7 +310,7 @@ def extract_links(
     free = links.where(~is_checked).select(*columns, F.col("_targets")[0].alias("target"))
     tested = links.where(is_checked)
     exists = existing_paths(paths).withColumnRenamed("path", "target")
-    if all(len(r.target) == 1 for r in rules if r.check):
+    if all(len(r.target) == 1 and not r.resolve for r in rules if r.check):
         hits = tested.withColumn("target", F.col("_targets")[0]).join(
             exists, ["project", "version", "target"], "left_semi"
         )

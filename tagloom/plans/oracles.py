@@ -470,6 +470,16 @@ def oracles() -> dict[str, str]:
         # definitions
         "defs_extract": f"{code} SELECT 'code' AS project, ident, blob_id, type, line, 'C' AS family FROM defs",
         "defs_extract_config": f"{config} SELECT 'config' AS project, ident, blob_id, type, line, family FROM defs",
+        "defs_old_style": f"""WITH f AS (SELECT p_partkey AS k, 'int take_' || p_partkey || '(size, name)' || chr(10) || 'int size;' || chr(10) || 'char *name;' || chr(10)
+                    || '{{' || chr(10) || chr(9) || 'return size;' || chr(10) || '}}' || chr(10) || CASE WHEN p_size % 2 = 0
+                    THEN 'put_' || p_partkey || '(n)' || chr(10) || 'long n;' || chr(10) || '{{' || chr(10) || '}}' || chr(10) ELSE '' END
+                    || 'int told_' || p_partkey || '(int size);' || chr(10) || 'int kept_' || p_partkey || ';' || chr(10) AS content,
+                CASE WHEN p_size % 2 = 0 THEN 4 ELSE 0 END AS more, p_size FROM part),
+            b AS (SELECT *, {_git_id('content')} AS blob_id FROM f)
+            SELECT 'old' AS project, x.ident, blob_id, x.type, x.line, 'C' AS family FROM b, unnest([
+                {{'ident': 'take_' || k, 'type': 'function', 'line': 1}}, {{'ident': 'put_' || k, 'type': 'function', 'line': 7}},
+                {{'ident': 'told_' || k, 'type': 'prototype', 'line': 7 + more}}, {{'ident': 'kept_' || k, 'type': 'variable', 'line': 8 + more}}]) AS t(x)
+            WHERE more > 0 OR NOT starts_with(x.ident, 'put_')""",
         "defs_extract_prose": f"{prose} SELECT 'prose' AS project, ident, blob_id, type, line, family FROM defs",
         "defs_stop_filtered": f"""{prose} SELECT 'prose' AS project, ident, blob_id, type, line, family FROM defs
             WHERE ident NOT IN (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) FROM benchmark)""",
@@ -532,6 +542,8 @@ def oracles() -> dict[str, str]:
         "links_comp_docs": f"{config} SELECT p.version, p.path, line, 'comp_docs' AS rule, ident AS text, 'ident B' AS target_kind, ident AS target FROM comp_docs JOIN paths p USING (blob_id)",
         "links_include": f"""{code} SELECT version, path, 1 AS line, 'include' AS rule, '../../../include/part_' || (pk // 64) || '.h' AS text, 'path' AS target_kind,
             'include/part_' || (pk // 64) || '.h' AS target FROM item_f""",
+        "links_resolved": f"""{code} SELECT i.version, i.path, 1 AS line, 'nearest' AS rule, '../../../include/part_' || (pk // 64) || '.h' AS text, 'path' AS target_kind, p.path AS target
+            FROM item_f i JOIN part_f p ON p.version = i.version AND p.chunk = pk // 64 WHERE (k % 7) % 2 = 0""",
         "links_sysinclude": f"""{code} SELECT i.version, i.path, 2 AS line, 'sysinclude' AS rule, 'part_' || (pk // 64) || '.h' AS text, 'path' AS target_kind, p.path AS target
             FROM item_f i JOIN part_f p ON p.version = i.version AND p.chunk = pk // 64 WHERE ln % 2 = 0""",
         "links_defconfig": f"""{config} SELECT version, path, 1 AS line, 'defconfig' AS rule, 'CONFIG_NATION_' || n AS text, 'ident K' AS target_kind, 'CONFIG_NATION_' || n AS target FROM defconfig

@@ -469,6 +469,12 @@ def defs_extract(spark, d):
     return D.extract_defs(code_index(spark, d)["blobs"])
 
 
+@query
+def defs_old_style(spark, d):
+    """Old-style functions, one or two a file, written from every part."""
+    return D.extract_defs(B.build_blobs(lenses.old_style_files(spark, d)))
+
+
 @query
 def defs_extract_config(spark, d):
     return D.extract_defs(config_index(spark, d)["blobs"])
@@ -793,6 +799,19 @@ def links_include(spark, d):
     return _code_links(spark, d, L.INCLUDE)
 
 
+@query
+def links_resolved(spark, d):
+    """A rule by functions: includes of files in even folders, beside the file if there, else below ``include``."""
+    rule = L.LinkRule(
+        "nearest", L.named("#include", '"', '"'), extensions=L.C_EXTENSIONS, hint="#include", check=True,
+        when=lambda path: path.rlike("^drivers/q[0246]/"),
+        resolve=lambda path, text: F.array(
+            F.concat(P.dir_name(path), F.lit("/"), P.base_name(text)), F.concat(F.lit("include/"), P.base_name(text))
+        ),
+    )
+    return _code_links(spark, d, rule)
+
+
 @query
 def links_sysinclude(spark, d):
     return _code_links(spark, d, L.sys_include(("drivers", "include", "net")))

@@ -131,6 +131,20 @@ def offices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.unionByName(customers.select(F.col("c_custkey").cast("bigint").alias("n_nationkey"), F.col("c_name").alias("n_name"), "n_regionkey"))
 
 
+def old_style_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project ``old``: a C file per part with functions whose parameters are declared behind their list."""
+    key = _s("p_partkey")
+    second = _cat("put_", key, "(n)\nlong n;\n{\n}\n")
+    return files_from_text(table(spark, sf_dir, "part").select(
+        F.lit("old").alias("project"), F.lit("v1").alias("version"), _cat("lib/part_", key, ".c").alias("path"),
+        _cat(
+            "int take_", key, "(size, name)\nint size;\nchar *name;\n{\n\treturn size;\n}\n",
+            F.when(F.col("p_size") % 2 == 0, second).otherwise(""),
+            "int told_", key, "(int size);\nint kept_", key, ";\n",
+        ).alias("content"),
+    ))
+
+
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Project ``config``: Kconfig, makefiles, C, devicetree, bindings and
     defconfig files; one version per region."""

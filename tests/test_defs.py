@@ -182,3 +182,49 @@ def test_first_documentation_per_blob(blobs):
 def test_tags_at_hand_give_the_same(blobs):
     b = blobs("a.c", DOCUMENTED)
     assert DOC.extract_docs(b, D.extract_tags(b)).exceptAll(DOC.extract_docs(b)).count() == 0
+
+
+OLD_STYLE = """\
+int add(a, b)
+int a;
+long b;
+{
+\treturn a + b;
+}
+static char *
+pick(names, n, fn)
+\tregister char **names;
+\tint n, (*fn)();
+{
+\tint inner;
+\treturn names[n];
+}
+int after;
+main(argc, argv)
+char *argv[];
+{
+}
+int marked(int a) __init __cold;
+int unknown(a) int b;
+int real(int a);
+"""
+
+
+def test_old_style_parameter_lists(blobs):
+    assert names(D.extract_defs(blobs("a.c", OLD_STYLE))) == {
+        ("add", "function", 1), ("pick", "function", 8), ("after", "variable", 15), ("main", "function", 16),
+        ("marked", "prototype", 20), ("unknown", "prototype", 21), ("real", "prototype", 22),
+    }
+    starts = {r.ident: r.at_start for r in D.extract_tags(blobs("a.c", OLD_STYLE)).where("type = 'function'").collect()}
+    assert starts == {"add": False, "pick": True, "main": True}
+
+
+def test_old_style_head_without_a_body(blobs):
+    text = "int ff(a) int a;\nstruct ss { int mm; };\nint gg(void)\n{\n}\nint vv;\n{\n}\n"
+    got = names(D.extract_defs(blobs("a.c", text)))
+    assert got == {("ss", "struct", 2), ("mm", "member", 2), ("gg", "function", 3), ("vv", "variable", 6)}
+
+
+def test_old_style_head_is_linear(blobs):
+    many = "int ff(" + ", ".join(f"a{i}" for i in range(4000)) + ")\n" + "".join(f"int a{i};\n" for i in range(4000)) + "{\n}\n"
+    assert names(D.extract_defs(blobs("a.c", many))) == {("ff", "function", 1)}

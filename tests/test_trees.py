@@ -154,6 +154,18 @@ def test_system_includes(files):
         ("include/uapi/y.h", 1, "sysinclude", "linux/a.h", "include/linux/a.h")}
 
 
+def test_rule_by_functions(files):
+    rule = L.LinkRule(
+        "near", L.named("use", "<", ">"), when=lambda path: path.endswith(".x"),
+        resolve=lambda path, text: F.when(text != "skip", F.array(F.concat(P.dir_name(path), F.lit("/../"), text), F.concat(F.lit("lib/"), text))),
+    )
+    rows = [("a/b/m.x", "use <f>\nuse <skip>\nuse <g>\nuse <none>\n"), ("a/m.y", "use <f>\nuse <q>\n"), ("a/f", "1"), ("lib/f", "2"), ("lib/g", "3")]
+    assert links(files, rows, [rule]) == {
+        ("a/b/m.x", 1, "near", "f", "a/f"), ("a/b/m.x", 3, "near", "g", "a/g"), ("a/b/m.x", 4, "near", "none", "a/none")}
+    assert links(files, rows, [L.replace(rule, check=True), L.INCLUDE]) == {
+        ("a/b/m.x", 1, "near", "f", "a/f"), ("a/b/m.x", 3, "near", "g", "lib/g")}
+
+
 def test_two_equal_links_on_a_line_stay_two(files):
     f = files([("v1", "a_defconfig", "CONFIG_A CONFIG_A\n")])
     assert L.extract_links(B.listing(f), B.build_blobs(f), [L.DEFCONFIG]).count() == 2
