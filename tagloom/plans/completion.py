@@ -60,16 +60,19 @@ def complete(table: DataFrame, prefixes: DataFrame, k: int = K) -> DataFrame:
 
     A question meets its own prefix, or else the one short list that holds all its names, which stands at one of its
     own prefixes: both by key. ``k`` is at most that of the table.
+
+    Both joins sort and merge: the planner sizes the questions by the files they come from, before each is cut into all its prefixes,
+    and would send the whole lot through the driver.
     """
     asked = prefixes.distinct()
     keys = asked.select("project", "prefix").distinct()
     tried = keys.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0), F.length("prefix")), lambda i: F.substring(F.col("prefix"), F.lit(1), i))))
     held = table.select("project", F.col("prefix").alias("_at"), "more", "names")
     found = (
-        tried.join(held, ["project", "_at"]).where(~F.col("more") | (F.col("_at") == F.col("prefix")))
+        tried.join(held.hint("merge"), ["project", "_at"]).where(~F.col("more") | (F.col("_at") == F.col("prefix")))
         .select("project", "prefix", F.posexplode(_fitting(F.col("prefix"), F.col("names"), k)).alias("_pos", "ident"))
     )
-    return asked.join(found, ["project", "prefix"]).select(*asked.columns, (F.col("_pos") + 1).alias("rank"), "ident")
+    return asked.join(found.hint("merge"), ["project", "prefix"]).select(*asked.columns, (F.col("_pos") + 1).alias("rank"), "ident")
 
 
 def complete_one(table: DataFrame, project: str, prefix: str, k: int = K) -> DataFrame:

@@ -39,3 +39,12 @@ def test_table_is_small_and_read_by_key(spark, tmp_path):
     plan = C.complete_one(table, "p", "name_12")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(prefix" in plan and "PartitionFilters: [isnotnull(project" in plan
     assert C.write_completions(names.where("false"), str(tmp_path / "none")).count() == 0
+
+
+def test_questions_do_not_go_through_the_driver(spark, tmp_path):
+    """Files of few bytes hold many questions, each with many prefixes: neither they nor their answers are sized by their files."""
+    names = spark.range(50).select(F.lit("p").alias("project"), F.concat(F.lit("name_"), F.col("id").cast("string")).alias("ident"))
+    names.select("project", F.col("ident").alias("prefix"), F.lit("C").alias("family")).write.parquet(str(tmp_path / "q"))
+    got = C.complete(C.write_completions(names, str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "q")))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("rank = 1 AND ident = prefix").count() == 50
