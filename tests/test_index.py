@@ -9,7 +9,7 @@ from tagloom.operators.blobs import build_blobs
 from tagloom.operators.refs import explode_lines, extract_refs
 from tagloom.operators.defs import extract_defs
 from tagloom.plans import search as S
-from tagloom.plans.index import IndexOptions, build_index, read_index, write_index
+from tagloom.plans.index import IndexOptions, StoredIndex, build_index, read_index, write_index
 from tagloom.schema import FILES, INDEX_TABLES
 from tagloom.streaming.ingest import MANIFEST, compact, fresh_blob_stream, ingest_available, ingest_batch, read_batches
 
@@ -50,6 +50,12 @@ def test_stored_equals_lazy(spark, files, index):
     same(read_index(spark, index.root), build_index(files(V1 + V2)))
 
 
+def test_references_alone_need_no_stored_candidates(files, index, tmp_path):
+    alone = StoredIndex(files(V1 + V2), str(tmp_path / "alone"))
+    assert rows(alone["refs"]) == rows(index["refs"]) and "tokens" not in alone
+    assert not (tmp_path / "alone" / "tokens").exists()
+
+
 def test_projects_of_one_index_do_not_mix(spark, files, tmp_path):
     """The same contents, versions and names in two projects, one of them with more: as each for itself."""
     one, two = files(V1 + V2, "p"), files(V1, "q/r")
