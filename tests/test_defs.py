@@ -228,3 +228,11 @@ def test_old_style_head_without_a_body(blobs):
 def test_old_style_head_is_linear(blobs):
     many = "int ff(" + ", ".join(f"a{i}" for i in range(4000)) + ")\n" + "".join(f"int a{i};\n" for i in range(4000)) + "{\n}\n"
     assert names(D.extract_defs(blobs("a.c", many))) == {("ff", "function", 1)}
+
+
+def test_files_without_a_rules_hint_are_not_cut_into_lines(blobs):
+    assert all(rule.hint for rule in D.DEFAULT_RULES)
+    plan = D.line_defs(blobs("a.c", "int a;\n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Contains(content") >= len(D.DEFAULT_RULES)
+    own = D.DefRule("C", r"^(\w+)!", "macro")
+    assert [r.ident for r in D.line_defs(blobs("a.c", "yes!\nno\n"), (own, *D.DEFAULT_RULES)).collect()] == ["yes"]
