@@ -11,7 +11,7 @@ executor never repacks what others have read already.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tagloom.llm.common import as_bytes, give_back, stored
+from tagloom.llm.common import _parts, as_bytes, give_back, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -33,8 +33,12 @@ FAN_IN = 8
 CARRY = 4_000
 #: Pieces that a task packs in one go are ``GO * CARRY``.
 GO = 50
-#: Words that a worker remembers.
-REMEMBERED = 150_000
+#: Words that a worker remembers, bytes of text whose words it looks up together, and new words in one call of the tokenizer.
+REMEMBERED = 300_000
+AT_ONCE = 2 << 20
+TOGETHER = 1_000
+#: Stands between words; a token of its own, which no word without it has.
+MARK = "\x01"
 
 _MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,place:bigint>"
 _BINS = f"round int, grp bigint, bin bigint, used int, open boolean, members array<{_MEMBER}>"
@@ -42,10 +46,11 @@ _ARROW = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 
 class Words:
-    """Ids of a text's words, packed. The tokenizer drops white space and never looks across it, so the
+    """Ids of texts' words, packed. The tokenizer drops white space and never looks across it, so the
     ids of a text are those of its blank-separated words, and each distinct word is tokenized once; a
-    letters-only word and the punctuation after it are apart, too. New letters-only words of a text are
-    tokenized together: each ends with its only end-of-word token."""
+    letters-only word and the punctuation after it are apart, too. New letters-only words are
+    tokenized together: each ends with its only end-of-word token. All other new words are, too, with a
+    mark between them that none of them holds."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,48 +59,82 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.mark = self._encode(MARK)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._encode(word).tobytes()
 
     def _letters(self, stems: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        ids = self._encode(" ".join(stems))
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(stems):
-            return [self._one(s) for s in stems]
+            return self._halved(self._letters, stems)
         packed, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [packed[a:b] for a, b in zip(at, at[1:])]
 
-    def ids(self, text: bytes) -> bytes:
-        if b"\xcc" not in text and b"\xcd" not in text:
-            text = text.lower()  # ASCII letters; the tokenizer would, after composing marks (of which there are none)
-        found, known = text.split(), self.known
-        new: dict[bytes, bytes] = {}
-        if missing := set(found).difference(known):
-            parted, stems = {}, {}
-            for w in missing:
-                stem = w.rstrip(b".,!?")
-                s = stem.decode()
-                if s.isalpha() and s.lower().isalpha():
+    def _any(self, others: list[str]) -> list[bytes]:
+        ids = self._encode(f" {MARK} ".join(others))
+        cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
+        if len(cuts) != len(others) - 1 or any(MARK in w for w in others):
+            return self._halved(self._any, others)
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(packed)])]
+
+    def _halved(self, way: Callable[[list[str]], list[bytes]], some: list[str]) -> list[bytes]:
+        if len(some) == 1:
+            return [self._one(some[0])]
+        half = len(some) // 2
+        return way(some[:half]) + way(some[half:])
+
+    def _tokenized(self, way: Callable[[list[str]], list[bytes]], some: dict[bytes, str]) -> dict[bytes, bytes]:
+        out: list[bytes] = []
+        texts = list(some.values())
+        for at in range(0, len(texts), TOGETHER):
+            out += way(texts[at : at + TOGETHER])
+        return dict(zip(some, out))
+
+    def _add(self, missing: set[bytes]) -> list[bytes]:
+        """Adds the ids of these words to those known; what was added."""
+        known = self.known
+        parted: dict[bytes, bytes] = {}
+        stems: dict[bytes, str] = {}
+        others: dict[bytes, str] = {}
+        for w in missing:
+            stem = w.rstrip(b".,!?")
+            s = stem.decode()
+            if s.isalpha() and s.lower().isalpha():
+                if len(stem) < len(w):
                     parted[w] = stem
-                    if stem not in known:
-                        stems[stem] = s
-            if stems:
-                new.update(zip(stems, self._letters(list(stems.values()))))
-            for w in missing - stems.keys():
-                if w in parted:
-                    tail = w[len(parted[w]) :]
+                    tail = w[len(stem) :]
                     if tail not in known:
-                        known[tail] = self._one(tail.decode())
-                    new[w] = (known[parted[w]] if parted[w] in known else new[parted[w]]) + known[tail]
-                else:
-                    new[w] = self._one(w.decode())
-            if len(known) < REMEMBERED:  # once full it stays: frequent words have come by then
-                known.update(new)
-                new = {}
-        if new:
-            return b"".join([new[w] if w in new else known[w] for w in found])
-        return b"".join(map(known.__getitem__, found))
+                        others[tail] = tail.decode()
+                if stem not in known:
+                    stems[stem] = s
+            else:
+                others[w] = w.decode()
+        new = self._tokenized(self._letters, stems) | self._tokenized(self._any, others)
+        known.update(new)
+        for w, stem in parted.items():
+            known[w] = known[stem] + known[w[len(stem) :]]
+        return [*new, *parted]
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """The packed ids of each text; words that are new to several of them are tokenized once."""
+        # ASCII letters are lowered; the tokenizer would, after composing marks (of which there are none).
+        found = [(t if b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        known = self.known
+        added = self._add(missing) if (missing := set().union(*found).difference(known)) else []
+        out = [b"".join(map(known.__getitem__, some)) for some in found]
+        if len(known) > REMEMBERED:  # once full it stays: frequent words have come by then
+            for w in added:
+                del known[w]
+        return out
+
+    def ids(self, text: bytes) -> bytes:
+        return self.ids_of([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -172,9 +211,9 @@ def pack_documents(
         items: list[tuple[int, list[dict]]] = []
         end = np.array([end_id], "<u4").tobytes()
         group = TaskContext.get().partitionId() << 20
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                ids = known.ids(text) + end
+        for batch in _parts(batches, AT_ONCE):
+            for doc, packed in zip(batch.column(0).to_pylist(), known.ids_of(as_bytes(batch.column(1)))):
+                ids = packed + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4

@@ -409,6 +409,24 @@ def test_words_are_those_of_the_whole_text():
         assert np.frombuffer(w.ids(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_words_of_many_texts_are_tokenized_together(monkeypatch):
+    w, rnd, calls = packing.Words(WORDS), random.Random(5), []
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    plain, monkeypatched = w._encode, lambda text: calls.append(text) or plain(text)
+    monkeypatch.setattr(w, "_encode", monkeypatched)
+    texts = [f"same's re-used w{i} \x01 a\x01b , \u0301x \u00a0 Straße" + "".join(rnd.choices("aß7'-\x01\u0301 ", k=30)) for i in range(300)]
+    for most in (packing.REMEMBERED, 10):  # and once full
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        for text, ids in zip(texts, w.ids_of([t.encode() for t in texts])):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert w.ids_of([]) == [] and w.ids_of([b"", b" "]) == [b"", b""]
+    calls.clear()
+    clean = [f"again's w{i}x fresh{'abcdefghij'[i % 10]}" for i in range(300)]
+    w.ids_of([t.encode() for t in clean])
+    assert len(calls) <= 2
+
+
 # --- chat --------------------------------------------------------------------------------------------
 
 
