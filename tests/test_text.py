@@ -1,6 +1,8 @@
 """Masking, tokenising, quoting, hashing."""
 
 import hashlib
+import random
+import re
 from urllib.parse import quote as py_quote, unquote as py_unquote
 
 from hypothesis import given, settings, strategies as st
@@ -102,3 +104,28 @@ def test_validation(spark):
     df = spark.createDataFrame([("ok_1.2",), ("no space",), (None,)], "t string")
     got = [r[0] for r in df.select(X.valid_version(F.col("t"))).collect()]
     assert got == [True, False, False]
+
+
+def test_spans_of_short_and_long_lines(spark):
+    rnd, rows = random.Random(6), []
+    for n in (0, 1, 2, TK.LONG_LINE - 1, TK.LONG_LINE, TK.LONG_LINE + 1, 3 * TK.LONG_LINE):
+        line = lambda: "".join(rnd.choice(["w%d" % k, "a-b", "-", "é", "日"]) + rnd.choice([" ", "  ", "(", "-+", "\t"]) for k in range(n))
+        for family in "CD":
+            rows.append((f"{family}{n}", family, line() + "\n" + rnd.choice(["", " ", "+"]) + line() + "\n" + line().strip()))
+    df = spark.createDataFrame([("p", *r) for r in rows], "project string, blob_id string, family string, content string")
+    got = sorted((r.blob_id, r.line, r.start, r.end, r.token) for r in TK.token_spans(df).collect())
+    want = []
+    for blob, family, text in rows:
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            for m in re.finditer("[A-Za-z0-9_-]+" if family == "D" else "[A-Za-z0-9_]+", line):
+                if (i or m.start()) and (i < len(lines) - 1 or m.end() < len(line)):
+                    want.append((blob, i + 1, m.start(), m.end(), m[0]))
+    assert got == sorted(want)
+
+
+def test_spans_do_not_sum_lengths_on_short_lines(blobs, capsys):
+    """A nested sum over the parts of every line was most of the time; it is left to long lines."""
+    TK.token_spans(blobs("a.c", "\nint a;\n")).explain(True)
+    plan = capsys.readouterr().out
+    assert re.search(r"size\(_words#\d+[^)]*\) > 64", plan) and "zip_with(_parts" not in plan
