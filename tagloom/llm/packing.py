@@ -34,8 +34,8 @@ CARRY = 4_000
 #: Pieces that a task packs in one go are ``GO * CARRY``.
 GO = 50
 #: Words that a worker remembers, bytes of text whose words it looks up together, and new words in one call of the tokenizer.
-REMEMBERED = 300_000
-AT_ONCE = 2 << 20
+REMEMBERED = 150_000
+AT_ONCE = 1 << 20
 TOGETHER = 1_000
 #: Stands between words; a token of its own, which no word without it has.
 MARK = "\x01"
