@@ -129,3 +129,25 @@ def test_spans_do_not_sum_lengths_on_short_lines(blobs, capsys):
     TK.token_spans(blobs("a.c", "\nint a;\n")).explain(True)
     plan = capsys.readouterr().out
     assert re.search(r"size\(_words#\d+[^)]*\) > 64", plan) and "zip_with(_parts" not in plan
+
+
+def test_blank_keeps_lengths_of_any_text(spark):
+    texts = ["", "\n", "a\n\n\u00e9\U0001f600b", "no newline \U0001f600", "\r\n\t\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.blank(F.col("t"))).collect()
+    assert [r[0] for r in got] == [re.sub(r"[^\n]", " ", t) for t in texts]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(alphabet="ab_9- \n\"'/*#\\<>include\u00e9\U0001f600", max_size=40), min_size=150, max_size=150))
+def test_mask_cuts_as_single_characters_do(spark, texts):
+    """The pieces are those of the pattern that takes ordinary characters one by one and steps through comments."""
+    def plain(word):
+        return (
+            r"/\*[\s\S]*?\*/" r"|//[^\n]*\n" r"""|[^']"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+\"""" r"|# *include *<[^>]*>"
+            rf"""|(?:[{word}][{word}]++|[{word}](?!")|'|[^{word}"/#'](?!"))++""" r"|[\s\S]"
+        )
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    for ranges, word in (("A-Za-z0-9_", X.WORD), (r"A-Za-z0-9_\-", X.DTS_WORD)):
+        pieces = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+        assert df.where(~pieces(plain(ranges)).eqNullSafe(pieces(X._pieces(word)))).count() == 0
