@@ -300,3 +300,39 @@ def test_blob_stream_by_state(spark, files, tmp_path):
     query = stream.writeStream.format("memory").queryName("fresh").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("fresh").count() == build_blobs(files(V1 + V2)).count()
+
+
+def test_common_words_without_definition_are_left_out_early(spark, files):
+    from tagloom.operators.refs import common_strangers, known_idents, resolve, token_postings
+
+    many = build_blobs(files([("v1", f"f{i}.c", f"\nint fun{i}(void)\n{{\n\tshared(fun{i % 7});\n}}\n") for i in range(30)]))
+    defs = extract_defs(many)
+    strangers = common_strangers(many, known_idents(defs), one_in=1)
+    assert {"int", "void", "shared"} == {r.ident for r in strangers.collect()}
+    every = token_postings(many, defs)
+    fewer = token_postings(many, defs, strangers=strangers)
+    assert rows(fewer) == rows(every.where("ident NOT IN ('int', 'void', 'shared')"))
+    assert rows(extract_refs(many, defs)) == rows(resolve(every, known_idents(defs)))
+
+
+def test_first_paths_cross_the_network_once(spark, index):
+    from tagloom.operators.blobs import first_paths
+    from tagloom.plans.index import UNSPREAD, table_plan
+
+    plan = table_plan("first_paths", None, index, IndexOptions())
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and "first_paths" in UNSPREAD
+    assert rows(index["first_paths"]) == rows(first_paths(index["paths"]).select(*index["first_paths"].columns))
+
+
+def test_tables_are_stored_small(spark, index):
+    assert all(".zstd." in name for t in ("blobs", "paths", "first_paths", "refs") for name in index[t].inputFiles())
+
+
+def test_documentation_asks_blobs_no_second_time(spark, files):
+    from tagloom.operators.docs import extract_docs
+
+    some = build_blobs(files(V1))
+    blocks = extract_docs(some)
+    assert [(r.ident, r.line, r.family) for r in blocks.collect()] == [("foo", 1, "C")]
+    # Blocks, and the heads of functions that begin their line.
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
