@@ -151,3 +151,11 @@ def test_mask_cuts_as_single_characters_do(spark, texts):
     for ranges, word in (("A-Za-z0-9_", X.WORD), (r"A-Za-z0-9_\-", X.DTS_WORD)):
         pieces = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
         assert df.where(~pieces(plain(ranges)).eqNullSafe(pieces(X._pieces(word)))).count() == 0
+
+
+def test_names_of_blobs_cross_the_network_as_bytes(spark):
+    names = ["0f" * 20, "AB" * 20, "b1", "", None, "é", "0f" * 19, "ab" * 20 + "\n", "\0" * 20]
+    packed = X.pack_id(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in names], "t string").select("t", packed.alias("p"), X.unpack_id(packed).alias("back")).collect()
+    assert all(r.t == r.back for r in got) and len({bytes(r.p) for r in got if r.p is not None}) == len(names) - 1
+    assert len(got[0].p) == 20

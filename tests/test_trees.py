@@ -1,11 +1,14 @@
 """Sources, blobs, listings, links."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators import blobs as B
 from tagloom.operators import links as L
 from tagloom.operators import listing as LS
+from tagloom.operators import versions as V
 from tagloom.functions import paths as P
+from tagloom.plans.directories import write_directories
 from tagloom.sources import trees as T
 from tagloom.sources.trees import files_from_text, scan_paths, tree_versions, union_sources
 
@@ -199,3 +202,18 @@ def test_directories_by_content(spark, files, tmp_path):
     assert rows(DR.paths_exist(keys, tree)) == rows(LS.path_exists(keys, paths))
     empty = DR.write_directories(paths.where("false"), str(tmp_path / "none"))
     assert empty["dirs"].count() == 0 and DR.paths_exist(keys, empty).count() == 0
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contents_stay_when_few_are_asked_for(spark, files, tmp_path):
+    B.build_blobs(files([("v1", "a.c", "int aa;\n"), ("v1", "b.c", "int bb;\n")])).write.parquet(f"{tmp_path}/blobs")
+    blobs = spark.read.parquet(f"{tmp_path}/blobs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = B.read_blob(blobs, blobs.where("filename = 'a.c'").select("project", "blob_id"))
+        assert "SortMergeJoin" not in _plan(got) and [r.content for r in got.collect()] == ["int aa;\n"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
