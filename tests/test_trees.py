@@ -217,3 +217,14 @@ def test_contents_stay_when_few_are_asked_for(spark, files, tmp_path):
         assert "SortMergeJoin" not in _plan(got) and [r.content for r in got.collect()] == ["int aa;\n"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_nodes_of_directories_are_not_spread_again(spark, files, tmp_path, monkeypatch):
+    spreads = []
+    told = DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, *a: spreads.append(a) or told(self, *a))
+    tree = write_directories(B.listing(files([("v1", "a/b.c", "x"), ("v2", "a/b.c", "x"), ("v2", "a/c.c", "y")])), f"{tmp_path}/tree")
+    assert not spreads and tree["nodes"].where("kind <> 'tree'").count() == 3
+    assert tree["dirs"].groupBy("node").count().count() == 4 and set(tree["nodes"].where("kind <> 'tree'").select("child").distinct().toPandas()["child"]) == {
+        r.blob_id for r in files([("v1", "x", "x"), ("v1", "y", "y")]).collect()
+    }
