@@ -219,6 +219,14 @@ def test_contents_stay_when_few_are_asked_for(spark, files, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_checked_links_are_read_once(files):
+    tree = files([("v1", "a/x.c", '#include "y.h"\n#include "gone.h"\n'), ("v1", "a/y.h", "int yy;\n")])
+    rule = L.LinkRule("near", L.named("#include", '"', '"'), extensions=L.C_EXTENSIONS, hint="#include", check=True)
+    got = L.extract_links(B.listing(tree), B.build_blobs(tree), [rule])
+    assert _plan(got).count("Generate posexplode") == 2  # lines, and what a line holds
+    assert [(r.path, r.line, r.target) for r in got.collect()] == [("a/x.c", 1, "a/y.h")]
+
+
 def test_nodes_of_directories_are_not_spread_again(spark, files, tmp_path, monkeypatch):
     spreads = []
     told = DataFrame.repartitionByRange
