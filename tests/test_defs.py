@@ -236,3 +236,11 @@ def test_files_without_a_rules_hint_are_not_cut_into_lines(blobs):
     assert plan.count("Contains(content") >= len(D.DEFAULT_RULES)
     own = D.DefRule("C", r"^(\w+)!", "macro")
     assert [r.ident for r in D.line_defs(blobs("a.c", "yes!\nno\n"), (own, *D.DEFAULT_RULES)).collect()] == ["yes"]
+
+
+def test_statements_are_dealt_to_a_number_of_tasks_that_stays(blobs):
+    found = D.c_statement_defs(blobs("a.c", "int aa;\nint ff(void)\n{\n}\n"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.ident, r.type) for r in found.collect()} == {("aa", "variable"), ("ff", "function")}
+    # One exchange for the dedup of contents, one for the windows.
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 2
