@@ -219,6 +219,18 @@ def test_contents_stay_when_few_are_asked_for(spark, files, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_questions_of_one_project_do_not_meet_in_a_task(spark):
+    asked = spark.createDataFrame([("p", v) for v in ("latest", "latest-rc", "v1")] + [("q", "latest")], "project string, version string")
+    latest = spark.createDataFrame([("p", "v2", "v3-rc")], "project string, latest string, latest_rc string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = V.resolve_version(asked, latest)
+        assert "Exchange hashpartitioning" not in _plan(got)
+        assert sorted((r.project, r.version or "") for r in got.collect()) == [("p", "v1"), ("p", "v2"), ("p", "v3-rc"), ("q", "")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_checked_links_are_read_once(files):
     tree = files([("v1", "a/x.c", '#include "y.h"\n#include "gone.h"\n'), ("v1", "a/y.h", "int yy;\n")])
     rule = L.LinkRule("near", L.named("#include", '"', '"'), extensions=L.C_EXTENSIONS, hint="#include", check=True)
