@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.paths import ancestors, base_name, dir_name, join_path, strip_slashes
+from tagloom.session import spread
 
 
 def of_versions(paths: DataFrame, keys: DataFrame) -> DataFrame:
@@ -22,12 +23,13 @@ def directories(paths: DataFrame) -> DataFrame:
     """Every directory a file implies, the root (empty path) included.
 
     Distinct parents come first: they are few beside the files, so the
-    ancestors are exploded from them only.
+    ancestors are exploded from them only, in one pass. They are dealt to a number
+    of tasks that stays, as paths compress too well to be sized by their bytes.
     """
-    parents = paths.select("project", "version", dir_name(F.col("path")).alias("path")).distinct()
-    above = parents.select("project", "version", F.explode(ancestors(F.col("path"))).alias("path"))
-    roots = parents.select("project", "version", F.lit("").alias("path"))
-    return parents.unionByName(above).unionByName(roots).distinct()
+    parents = spread(paths.select("project", "version", dir_name(F.col("path")).alias("path")), "version", "path").distinct()
+    path = F.col("path")
+    every = F.concat(F.array(path, F.lit("")), F.coalesce(ancestors(path), F.array().cast("array<string>")))
+    return parents.select("project", "version", F.explode(every).alias("path")).distinct()
 
 
 def entries(paths: DataFrame) -> DataFrame:

@@ -248,3 +248,9 @@ def test_nodes_of_directories_are_not_spread_again(spark, files, tmp_path, monke
     assert tree["dirs"].groupBy("node").count().count() == 4 and set(tree["nodes"].where("kind <> 'tree'").select("child").distinct().toPandas()["child"]) == {
         r.blob_id for r in files([("v1", "x", "x"), ("v1", "y", "y")]).collect()
     }
+
+
+def test_directories_are_dealt_to_a_number_of_tasks_that_stays(files):
+    got = LS.directories(files([("v1", "a/b/c.c", "x"), ("v1", "a/d.c", "y"), ("v1", "e", "z"), ("v2", "a/b/f.c", "x")]))
+    assert sorted((r.version, r.path) for r in got.collect()) == [("v1", ""), ("v1", "a"), ("v1", "a/b"), ("v2", ""), ("v2", "a"), ("v2", "a/b")]
+    assert "REPARTITION_BY_NUM" in _plan(got) and "Union" not in _plan(got)
