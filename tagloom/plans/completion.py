@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.plans.index import delete
+
 #: ``names``: in byte order. A prefix with ``more`` names than ``K`` has its first ``K``; a prefix with fewer is in the table if it is the
 #: shortest such one of its names, with all of them. So each name stands below one short list at most, besides the first names of long ones.
 COMPLETIONS = T.StructType([
@@ -21,16 +23,25 @@ def completion_table(names: DataFrame, k: int = K) -> DataFrame:
     Of each prefix ``k + 1`` names leave a map task, however many share it; nothing else is shuffled. Prefixes whose own parent
     has few names are covered by the parent and left out.
     """
+    return _kept(_lists(names, k), k)
+
+
+def _lists(names: DataFrame, k: int) -> DataFrame:
+    """Every prefix with its first ``k + 1`` names."""
     first = Window.partitionBy("project", "prefix").orderBy("ident")
-    lists = (
+    return (
         names.select("project", "ident").distinct()
         .withColumn("_len", F.explode(F.sequence(F.lit(0), F.length("ident"))))
         .select("project", F.substring(F.col("ident"), F.lit(1), F.col("_len")).alias("prefix"), "ident")
         .withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") <= k + 1)
         .groupBy("project", "prefix").agg(F.array_sort(F.collect_list("ident")).alias("names"))
-        .withColumn("more", F.size("names") > k)
+        .select("project", "prefix", "names", (F.size("names") > k).alias("more"))
     )
+
+
+def _kept(lists: DataFrame, k: int) -> DataFrame:
+    """The lists that stand in the table."""
     # A prefix is in the table if it is the empty one or its parent has more: the parent's first k + 1 names can't tell all children,
     # so children ask for their parent by an equi join of keys.
     parents = lists.where("more").select("project", F.col("prefix").alias("_parent"))
@@ -41,10 +52,19 @@ def completion_table(names: DataFrame, k: int = K) -> DataFrame:
 
 
 def write_completions(names: DataFrame, path: str, k: int = K) -> DataFrame:
-    """The table below ``path``, sorted by prefix in ranges, with a bloom filter on prefixes."""
-    rows = completion_table(names, k).repartitionByRange("project", "prefix").sortWithinPartitions("project", "prefix")
+    """The table below ``path``, sorted by prefix in ranges, with a bloom filter on prefixes.
+
+    The lists of all prefixes, which are asked twice for parents and children and again by the sampling for ranges, are put down first.
+    """
+    spark = names.sparkSession
+    parent, _, leaf = path.rpartition("/")
+    staging = f"{parent}/_staging-{leaf}"
+    lists = _lists(names, k)
+    lists.write.mode("overwrite").option("compression", "zstd").parquet(staging)
+    rows = _kept(spark.read.schema(lists.schema).parquet(staging), k).repartitionByRange("project", "prefix").sortWithinPartitions("project", "prefix")
     rows.write.mode("overwrite").partitionBy("project").option("parquet.bloom.filter.enabled#prefix", "true").parquet(path)
-    return read_completions(names.sparkSession, path)
+    delete(spark, staging)
+    return read_completions(spark, path)
 
 
 def read_completions(spark: SparkSession, path: str) -> DataFrame:
